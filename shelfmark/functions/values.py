@@ -25,12 +25,7 @@ def parse_number(text: Column) -> Column:
 
 def is_integral(number: Column) -> Column:
     """A finite number without fraction; infinities and NaN are not integers."""
-    return (
-        number.isNotNull()
-        & ~F.isnan(number)
-        & (F.abs(number) != F.lit(float("inf")))
-        & (F.floor(number).cast("double") == number)
-    )
+    return number % 1 == 0
 
 
 def is_date_text(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The sketch is off by at most one part in ACCURACY of the ranks; the bracket is twice
@@ -13,51 +13,46 @@ ACCURACY = 10_000
 MARGIN = 2.0 / ACCURACY
 
 
-def median_sketch(value) -> list:
-    """Aggregates for the bracket of the median; part of a caller's first aggregation."""
-    ends = F.percentile_approx(value, [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY)
-    return [ends.alias("__ends"), F.count(value).alias("__n")]
+def bracket(value: Column) -> Column:
+    """Aggregate: two values between which the median lies, in bounded memory."""
+    return F.percentile_approx(value, [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY)
 
 
 def exact_medians(
-    values: DataFrame, sketches: DataFrame, keys: Sequence[str], value: str
+    values: DataFrame, brackets: DataFrame, keys: Sequence[str], value: str
 ) -> DataFrame:
-    """``keys, median`` from the values and the sketches computed over the same values.
+    """``keys, median`` from the values and ``keys, ends, n`` computed over the same values.
 
     A second pass counts what lies below the bracket and, per distinct value, what lies
     inside; both are combined on the map side, so a group of any size shrinks before the
-    shuffle and only the bracket's few distinct values are ordered. A rank that
-    the sketch failed to bracket stops the query rather than giving a wrong median.
+    shuffle and only the bracket's few distinct values are ordered. A rank that the
+    sketch failed to bracket stops the query rather than giving a wrong median.
     """
     keys = list(keys)
-    joined = values.where(F.col(value).isNotNull()).join(
-        sketches.select(*keys, "__ends", "__n"), keys
-    )
-    low, high = F.element_at("__ends", 1), F.element_at("__ends", 2)
+    v = F.col(value)
+    joined = values.where(v.isNotNull()).join(brackets, keys)
+    low, high = F.get("ends", F.lit(0)), F.get("ends", F.lit(1))
     # Null stands for everything below the bracket.
-    place = F.when(F.col(value) >= low, F.col(value))
     counted = (
-        joined.where(F.col(value) <= high)
-        .select(*keys, "__n", place.alias("__value"))
-        .groupBy(*keys, "__n", "__value")
-        .agg(F.count("*").alias("__count"))
-    )
-    order = Window.partitionBy(*keys).orderBy(F.col("__value").asc_nulls_first())
-    upto = F.sum("__count").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("__upto", upto).withColumn(
-        "__from", F.col("__upto") - F.col("__count") + 1
-    )
-    left, right = F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1
-    at = lambda rank: F.max(
-        F.when((rank >= F.col("__from")) & (rank <= F.col("__upto")), F.col("__value"))
+        joined.where(v <= high)
+        .select(*keys, "n", F.when(v >= low, v).alias("at"))
+        .groupBy(*keys, "n", "at")
+        .agg(F.count("*").alias("here"))
     )
-    both = ranked.groupBy(*keys).agg(at(left).alias("__a"), at(right).alias("__b"))
+    order = Window.partitionBy(*keys).orderBy(F.col("at").asc_nulls_first())
+    upto = F.sum("here").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("upto", upto)
+    left, right = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+
+    def value_at(rank: Column) -> Column:
+        covered = (rank > F.col("upto") - F.col("here")) & (rank <= F.col("upto"))
+        return F.max(F.when(covered, F.col("at")))
+
+    both = ranked.groupBy(*keys).agg(value_at(left).alias("a"), value_at(right).alias("b"))
+    middle = (F.col("a") + F.col("b")) / 2
     return both.select(
         *keys,
-        F.when(
-            F.col("__a").isNull() | F.col("__b").isNull(),
-            F.raise_error(F.lit("median not bracketed")).cast("double"),
-        )
-        .otherwise((F.col("__a") + F.col("__b")) / 2)
+        F.when(middle.isNull(), F.raise_error(F.lit("median not bracketed")).cast("double"))
+        .otherwise(middle)
         .alias("median"),
     )

@@ -1,14 +1,11 @@
 """Shape, column types and column statistics of tables and of tabular files.
 
-Every table is brought to one long form, ``column, present, number, is_date, is_flag``
-per cell. The long rows are combined on the map side straight after they are made, so
-what is shuffled is one row per task and column.
+A table is profiled by one aggregation whose partial result is a single row per task;
+only that row is shuffled. Files held in a column are cut into cells first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,36 +25,87 @@ def table_shape(df: DataFrame) -> DataFrame:
     )
 
 
-def _cell(name: Column, text: Column, number: Column, present: Column) -> Column:
-    return F.struct(
-        name.alias("column"),
-        present.alias("present"),
-        number.alias("number"),
-        values.is_date_text(text).alias("is_date"),
-        values.is_boolean_text(text).alias("is_flag"),
-    )
-
-
-def _typed_cell(df: DataFrame, name: str) -> Column:
-    """A cell of a typed column; only text columns are read for numbers."""
-    column, kind = F.col(f"`{name}`"), df.schema[name].dataType
-    if isinstance(kind, T.NumericType):
-        nothing = F.lit(None).cast("string")
-        return _cell(F.lit(name), nothing, column.cast("double"), column.isNotNull())
-    if isinstance(kind, T.StringType):
-        return _text_cell(F.lit(name), column)
-    text = column.cast("string") if isinstance(kind, T.AtomicType) else F.to_json(F.struct(column))
-    return _cell(F.lit(name), text, F.lit(None).cast("double"), column.isNotNull())
-
-
-def _text_cell(name: Column, text: Column) -> Column:
-    present = text.isNotNull() & (text != "")
-    return _cell(name, text, values.parse_number(text), present)
+def _prepare(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """One column set per input column: ``p`` present, ``v`` number, ``t`` text.
 
+    The numbers of a text column are computed once here, below the aggregation that
+    uses them several times. Returns the kind of every column as well.
+    """
+    kinds, out = {}, []
+    for i, field in enumerate(df.schema.fields):
+        column, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, T.NumericType):
+            kinds[field.name] = "number"
+            out += [column.isNotNull().alias(f"p{i}"), column.cast("double").alias(f"v{i}")]
+        elif isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
+            kinds[field.name] = "text"
+            present = F.when(column != "", column)
+            out += [
+                present.isNotNull().alias(f"p{i}"),
+                values.parse_number(present).alias(f"v{i}"),
+                present.alias(f"t{i}"),
+            ]
+        else:
+            kinds[field.name] = (
+                "date" if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+                else "boolean" if isinstance(kind, T.BooleanType)
+                else "other"
+            )
+            out.append(column.isNotNull().alias(f"p{i}"))
+    return df.select(*out), kinds
+
+
+def _column_profiles(
+    prepared: DataFrame, kinds: dict[str, str], median: str | None
+) -> DataFrame:
+    """One pass over the table: a row of aggregates, turned into one row per column.
 
-def long_cells(df: DataFrame) -> DataFrame:
-    """The cells of a table, one row per row and column."""
-    return df.select(F.inline(F.array(*[_typed_cell(df, c) for c in df.columns])))
+    ``median`` adds ``sketch`` columns, an ``approx`` or a (bounded input only) ``sample``
+    value, or nothing.
+    """
+    aggregates, rows = [F.count("*").alias("n")], []
+    zero, missing = F.lit(0).cast("long"), F.lit(None).cast("double")
+    for i, (name, kind) in enumerate(kinds.items()):
+        parts = {"n_present": F.count_if(F.col(f"p{i}"))}
+        if kind in ("number", "text"):
+            v = F.col(f"v{i}")
+            parts |= {
+                "n_number": F.count(v),
+                "n_integral": F.count_if(values.is_integral(v)),
+                "min": F.min(v), "max": F.max(v), "mean": F.avg(v),
+            }
+            if median == "sketch":
+                parts["ends"] = quantiles.bracket(v)
+            elif median == "approx":
+                parts["median"] = F.percentile_approx(v, 0.5)
+            elif median == "sample":
+                parts["median"] = F.percentile(v, F.lit(0.5))
+        if kind == "text":
+            parts["n_date"] = F.count_if(values.is_date_text(F.col(f"t{i}")))
+            parts["n_flag"] = F.count_if(values.is_boolean_text(F.col(f"t{i}")))
+        aggregates += [a.alias(f"{part}_{i}") for part, a in parts.items()]
+
+        def part(field: str, default: Column, i=i, parts=parts) -> Column:
+            return F.col(f"{field}_{i}") if field in parts else default
+
+        present = F.col(f"n_present_{i}")
+        rows.append(
+            F.struct(
+                F.lit(name).alias("column"),
+                F.col("n").alias("count"),
+                present.alias("n_present"),
+                part("n_number", zero).alias("n_number"),
+                part("n_integral", zero).alias("n_integral"),
+                part("n_date", present if kind == "date" else zero).alias("n_date"),
+                part("n_flag", present if kind == "boolean" else zero).alias("n_flag"),
+                part("min", missing).alias("min"),
+                part("max", missing).alias("max"),
+                part("mean", missing).alias("mean"),
+                part("median", missing).alias("median"),
+                part("ends", F.lit(None).cast("array<double>")).alias("ends"),
+            )
+        )
+    return prepared.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
 def _detected_type() -> Column:
@@ -73,83 +121,59 @@ def _detected_type() -> Column:
     )
 
 
-def profile_cells(
-    cells: DataFrame,
-    keys: Sequence[str] = ("column",),
-    median: str = "exact",
-    statistics: bool = True,
-) -> DataFrame:
-    """Type and statistics per group of cells.
-
-    ``median``: ``exact`` reads the cells twice, ``approx`` once, ``none`` leaves it out.
-    """
-    keys = list(keys)
-    number = F.when(F.col("present"), F.col("number"))
-    aggregates = [
-        F.count("*").alias("count"),
-        F.count_if("present").alias("n_present"),
-        F.count(number).alias("n_number"),
-        F.count_if(values.is_integral(number)).alias("n_integral"),
-        F.count_if(F.col("present") & F.col("is_date")).alias("n_date"),
-        F.count_if(F.col("present") & F.col("is_flag")).alias("n_flag"),
-    ]
-    if statistics:
-        aggregates += [
-            F.min(number).alias("min"), F.max(number).alias("max"), F.avg(number).alias("mean"),
-        ]
-        if median == "approx":
-            aggregates.append(F.percentile_approx(number, 0.5).alias("median"))
-        elif median == "exact":
-            aggregates += quantiles.median_sketch(number)
-    profiled = cells.groupBy(*keys).agg(*aggregates)
-    out = profiled.withColumn("null_count", F.col("count") - F.col("n_present")).withColumn(
-        "column_type", _detected_type()
-    )
-    if not statistics:
-        return out.select(*keys, "column_type")
-    if median == "exact":
-        medians = quantiles.exact_medians(
-            cells.select(*keys, number.alias("number")), profiled, keys, "number"
-        )
-        out = out.join(medians, keys, "left")
-    elif median == "none":
-        out = out.withColumn("median", F.lit(None).cast("double"))
-    return out.select(*keys, "column_type", *STATISTICS)
-
-
-def _complete(df: DataFrame, profiled: DataFrame) -> DataFrame:
-    """A table without rows still has columns: their type is ``unknown``."""
-    names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
-    known = F.broadcast(profiled)  # one row per column of the schema
-    return names.join(known, "column", "left").withColumns(
-        {
-            "column_type": F.coalesce("column_type", F.lit("unknown")),
-            **{
-                n: F.coalesce(n, F.lit(0)) for n in ("count", "null_count") if n in profiled.columns
-            },
-        }
-    )
-
-
 def infer_column_types(df: DataFrame) -> DataFrame:
     """``column, column_type`` over the whole columns, in the order unknown, empty, integer,
     float, date, boolean, string."""
-    return _complete(df, profile_cells(long_cells(df), statistics=False))
-
-
-def column_statistics(df: DataFrame, median: str = "exact") -> DataFrame:
-    """``column, count, null_count, min, max, mean, median``; missing means null or empty,
-    and the numbers are those of the cells that read as numbers."""
-    return _complete(df, profile_cells(long_cells(df), median=median)).drop("column_type")
+    profiles = _column_profiles(*_prepare(df), median=None)
+    return profiles.select("column", _detected_type().alias("column_type"))
 
 
 def profile_table(
     df: DataFrame, sample_rows: int | None = None, median: str = "exact"
 ) -> DataFrame:
-    """Types and statistics in one long table; the whole table unless a sample is asked for."""
+    """``column, column_type, count, null_count, min, max, mean, median`` per column.
+
+    Missing means null or empty; the numbers are those of the cells that read as
+    numbers. The whole table is profiled unless a sample of rows is asked for.
+    ``median``: ``exact`` reads the table a second time, ``approx`` once, ``none`` leaves
+    it out.
+    """
     if sample_rows is not None:
         df = df.limit(sample_rows)
-    return _complete(df, profile_cells(long_cells(df), median=median))
+        median = "sample" if median == "exact" else median
+    prepared, kinds = _prepare(df)
+    mode = {"exact": "sketch", "none": None}.get(median, median)
+    profiles = _column_profiles(prepared, kinds, mode)
+    numeric = [(i, n) for i, (n, k) in enumerate(kinds.items()) if k in ("number", "text")]
+    if mode == "sketch" and numeric:
+        numbers = prepared.select(
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(F.lit(n).alias("column"), F.col(f"v{i}").alias("number"))
+                        for i, n in numeric
+                    ]
+                )
+            )
+        )
+        # One row per column of the schema: small enough for every task.
+        brackets = F.broadcast(profiles.select("column", "ends", F.col("n_number").alias("n")))
+        medians = quantiles.exact_medians(numbers, brackets, ["column"], "number")
+        profiles = profiles.drop("median").join(F.broadcast(medians), "column", "left")
+    return profiles.select(
+        "column",
+        _detected_type().alias("column_type"),
+        "count",
+        (F.col("count") - F.col("n_present")).alias("null_count"),
+        "min", "max", "mean", "median",
+    )
+
+
+def column_statistics(
+    df: DataFrame, sample_rows: int | None = None, median: str = "exact"
+) -> DataFrame:
+    """``column, count, null_count, min, max, mean, median``; see ``profile_table``."""
+    return profile_table(df, sample_rows, median).drop("column_type")
 
 
 def delimited_cells(
@@ -166,20 +190,21 @@ def delimited_cells(
     ).withColumn("__header", delimited.cells(F.get("__records", F.lit(0)), F.col("__sep")))
     # The header row is exploded too, as a row of no cells, so that a file without data
     # rows keeps its columns.
+    # Outer, so that no filter on the parsed records is derived that would parse twice.
     rows = parsed.select(
-        "path", "__sep", "__header", F.posexplode("__records").alias("row_no", "__record")
-    )
+        "path", "__sep", "__header", F.posexplode_outer("__records").alias("row_no", "__record")
+    ).where(F.col("row_no").isNotNull())
     if sample_rows is not None:
         rows = rows.where(F.col("row_no") <= sample_rows)
     named = rows.select(
         "path",
         "row_no",
-        F.posexplode("__header").alias("column_no", "column"),
+        F.posexplode_outer("__header").alias("column_no", "column"),
         F.when(
             F.col("row_no") > 0, delimited.cells(F.col("__record"), F.col("__sep"))
         ).alias("__cells"),
     )
-    return named.select(
+    return named.where(F.col("column_no").isNotNull()).select(
         "path", "column_no", "column", "row_no",
         F.get("__cells", F.col("column_no")).alias("text"),
     )
@@ -193,15 +218,17 @@ def json_cells(
     first_is_object = F.col(content).rlike(r"^\s*\[\s*\{")
     parsed = files.where(first_is_object).select("path", rows.alias("__rows"))
     parsed = parsed.withColumn("__header", F.map_keys(F.get("__rows", F.lit(0))))
-    exploded = parsed.select("path", "__header", F.posexplode("__rows").alias("row_no", "__row"))
+    exploded = parsed.select(
+        "path", "__header", F.posexplode_outer("__rows").alias("row_no", "__row")
+    ).where(F.col("row_no").isNotNull())
     if sample_rows is not None:
         exploded = exploded.where(F.col("row_no") < sample_rows)
     return exploded.select(
         "path",
         (F.col("row_no") + 1).alias("row_no"),
-        F.posexplode("__header").alias("column_no", "column"),
+        F.posexplode_outer("__header").alias("column_no", "column"),
         "__row",
-    ).select(
+    ).where(F.col("column_no").isNotNull()).select(
         "path", "column_no", "column", "row_no",
         F.try_element_at("__row", F.col("column")).alias("text"),
     )
@@ -215,21 +242,21 @@ def profile_files(cells: DataFrame) -> DataFrame:
     group is never larger than one file.
     """
     data = F.col("row_no") > 0
-    cell = _text_cell(F.col("column"), F.col("text"))
+    text = F.when(F.col("text") != "", F.col("text"))
+    number = F.col("number")
     long = cells.select(
-        "path", "column_no", "column", data.alias("__data"), cell.alias("__cell")
-    ).select("path", "column_no", "column", "__data", "__cell.present", "__cell.number",
-             "__cell.is_date", "__cell.is_flag")
-    number = F.when(F.col("present"), F.col("number"))
+        "path", "column_no", "column",
+        data.alias("is_data"), text.alias("text"), values.parse_number(text).alias("number"),
+    )
     per_column = (
         long.groupBy("path", "column_no", "column")
         .agg(
-            F.count_if("__data").alias("count"),
-            F.count_if("present").alias("n_present"),
+            F.count_if("is_data").alias("count"),
+            F.count("text").alias("n_present"),
             F.count(number).alias("n_number"),
             F.count_if(values.is_integral(number)).alias("n_integral"),
-            F.count_if(F.col("present") & F.col("is_date")).alias("n_date"),
-            F.count_if(F.col("present") & F.col("is_flag")).alias("n_flag"),
+            F.count_if(values.is_date_text(F.col("text"))).alias("n_date"),
+            F.count_if(values.is_boolean_text(F.col("text"))).alias("n_flag"),
             F.min(number).alias("min"),
             F.max(number).alias("max"),
             F.avg(number).alias("mean"),
