@@ -1,11 +1,10 @@
 """File relations: from a listing, from a mounted tree, or from a table of contents."""
 
-from __future__ import annotations
-
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
@@ -76,8 +75,6 @@ def _scan_directories(batches: Iterator) -> Iterator:
     import os
     from datetime import datetime, timezone
 
-    import pandas as pd
-
     def at(seconds: float) -> datetime:
         return datetime.fromtimestamp(seconds, timezone.utc)
 
@@ -123,22 +120,20 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     return files.where(~F.col("is_dir")).drop("is_dir")
 
 
-def read_bytes(path: str):
-    """The bytes of mounted files as a column; unreadable files give null."""
+def _read_all(names: pd.Series) -> pd.Series:
+    def read(name: str) -> bytes | None:
+        try:
+            with open(name, "rb") as f:
+                return f.read()
+        except OSError:
+            return None
 
-    def run(names):
-        import pandas as pd
+    return names.map(read)
 
-        def read(name):
-            try:
-                with open(name, "rb") as f:
-                    return f.read()
-            except OSError:
-                return None
-
-        return pd.Series([read(n) for n in names])
 
-    return F.pandas_udf(run, "binary", F.PandasUDFType.SCALAR)(F.col(path))
+def read_bytes(path: str) -> Column:
+    """The bytes of mounted files as a column; unreadable files give null."""
+    return F.pandas_udf(_read_all, "binary")(F.col(path))
 
 
 def read_text_content(
