@@ -218,7 +218,7 @@ QUERIES["detail_view"] = lambda spark, sf_dir: sm.detail_view(_catalog(spark, sf
 )
 ORACLES["detail_view"] = _search_sql(
     """filename AS title, content_preview AS description, keywords, mime_type AS file_type,
-  CASE WHEN size_bytes >= 1024 THEN printf('%.1f KB', size_bytes / 1024) ELSE size_bytes || ' B' END AS size,
+  CASE WHEN size_bytes >= 1024 THEN printf('%.1f KB', floor(size_bytes / 1024 * 10 + 0.5) / 10) ELSE size_bytes || ' B' END AS size,
   CAST(NULL AS VARCHAR) AS created, CAST(NULL AS VARCHAR) AS modified"""
 )
 

@@ -282,7 +282,8 @@ def import_frequency(imports: DataFrame, k: int | None = None) -> DataFrame:
 
 def code_complexity(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """Statement count, branch counts and ``1 + branches`` per module that parses."""
-    parsed = code_facts(df, content).where(F.col("facts.error").isNull())
+    facts = F.col("facts")
+    parsed = code_facts(df, content).where(facts.isNotNull() & facts["error"].isNull())
     return parsed.select(key, complexity(F.col("facts.kinds")).alias("c")).select(
         key,
         F.col("c.statement_count").alias("statement_count"),

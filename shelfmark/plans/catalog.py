@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.code import code_struct, module_facts
 from ..operators.identity import basic_metadata
@@ -21,6 +22,7 @@ from ..sources.files import read_text_content, scan_files
 from . import index_store
 
 ROW_PROFILES = ["text", "python", "json", "yaml"]
+PREFIX = "profile_"
 
 
 def _for_profile(name: str, content: Column) -> Column:
@@ -55,18 +57,18 @@ def catalog_from_files(
 
     columns: dict[str, Column] = {
         "text": text_struct(_for_profile("text", content), max_chars),
-        "__facts": module_facts(code_text),
         "json": json_struct(_for_profile("json", content), max_document_chars),
         "yaml": yaml_struct(_for_profile("yaml", content)),
     }
-    order = list(ROW_PROFILES)
     for name, fn in registry.functions.items():
         columns[name] = fn(_for_profile(name, content))
-        order.append(name)
-    profiled = routed.withColumns(columns)
+    profiled = routed.withColumns(
+        {PREFIX + n: c for n, c in columns.items()} | {"__facts": module_facts(code_text)}
+    )
     profiled = profiled.withColumn(
-        "python", code_struct(code_text, F.col("__facts"), local_prefixes)
+        PREFIX + "python", code_struct(code_text, F.col("__facts"), local_prefixes)
     ).drop("__facts", "content", "filename", "directory", "extension", "depth")
+    order = [PREFIX + n for n in [*ROW_PROFILES, *registry.functions]]
     record = merge_profiles(profiled, order)
     if not keep_profiles:
         record = record.drop(*order)
@@ -98,9 +100,17 @@ def build_catalog(
 
 
 def catalog_errors(catalog: DataFrame) -> DataFrame:
-    """Failed profiles per file, from a catalog built with ``keep_profiles``."""
-    have = [p for p in ROW_PROFILES[1:] if p in catalog.columns]
-    return extraction_errors(catalog, have)
+    """``path, profile, error`` of failed profiles, from a catalog built with
+    ``keep_profiles`` (which leaves one ``profile_<name>`` column per profile)."""
+    failing = [
+        field.name
+        for field in catalog.schema.fields
+        if field.name.startswith(PREFIX)
+        and isinstance(field.dataType, StructType)
+        and "error" in field.dataType.fieldNames()
+    ]
+    errors = extraction_errors(catalog, failing)
+    return errors.withColumn("profile", F.substr("profile", F.lit(len(PREFIX) + 1)))
 
 
 def refresh_index(
