@@ -255,7 +255,7 @@ ORACLES["profile_table"] = with_views(
 
 def profile_delimited_files(spark, sf_dir):
     """Each brand's parts as one small delimited file held in a column."""
-    from shelfmark.operators.tabular import delimited_cells, profile_files
+    from shelfmark.operators.tabular import file_cells, profile_files
 
     rows = table(spark, sf_dir, "part").select(
         "p_brand", F.concat_ws(",", "p_partkey", "p_size", F.concat(F.lit('"'), "p_name", F.lit(', x"'))).alias("line")
@@ -263,7 +263,7 @@ def profile_delimited_files(spark, sf_dir):
     files = rows.groupBy("p_brand").agg(
         F.concat(F.lit("key,size,name\n"), F.array_join(F.collect_list("line"), "\n")).alias("content")
     ).select(F.concat(F.lit("/"), "p_brand", F.lit(".csv")).alias("path"), "content")
-    profiled = profile_files(delimited_cells(files))
+    profiled = profile_files(file_cells(files))
     size = F.col("sample_statistics")["size"]
     return profiled.select(
         "path", "column_count", "line_count", "row_count", F.array_join("columns", ",").alias("columns"),

@@ -8,7 +8,7 @@ import shelfmark as sm
 from pyspark.sql import functions as F
 from shelfmark.functions import text as text_functions
 from shelfmark.operators.routing import Registry
-from shelfmark.operators.semistructured import json_struct
+from shelfmark.operators.semistructured import json_judgement, json_struct
 from shelfmark.session import work_dir
 
 from .views import table, view, with_views
@@ -325,7 +325,7 @@ FROM files""",
 def extraction_errors(spark, sf_dir):
     rows = view(spark, sf_dir, "json_rows").select(
         "p_partkey",
-        json_struct(F.col("content")).alias("json"),
+        json_struct(F.col("content"), json_judgement(F.col("content"))).alias("json"),
         F.struct(
             F.when(F.length("content") > 60, F.lit("too long")).alias("error")
         ).alias("size"),

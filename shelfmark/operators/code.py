@@ -214,34 +214,28 @@ def code_struct(content: Column, facts: Column, local_prefixes: Sequence[str] =
         return F.transform(mine, import_text)
 
     counted = complexity(facts["kinds"])
-    return F.when(
-        content.isNotNull(),
-        F.struct(
-            line_count(content).alias("line_count"),
-            char_count(content).alias("char_count"),
-            facts["module_docstring"].alias("module_docstring"),
-            F.when(
-                facts["error"].isNull(),
-                F.struct(
-                    *[imports_of(n).alias(n) for n in ("standard_library", "third_party", "local")]
-                ),
-            ).alias("imports"),
-            of_kind("class").alias("classes"),
-            of_kind("method").alias("methods"),
-            of_kind("function").alias("functions"),
-            of_kind("variable").alias("variables"),
-            F.when(
-                facts["error"].isNull(),
-                F.struct(
-                    counted["statement_count"].alias("statement_count"),
-                    counted["control_flow"].alias("control_flow"),
-                    counted["cyclomatic_complexity"].alias("cyclomatic_complexity"),
-                    comment_lines(content).alias("comment_lines"),
-                    comment_ratio(content).alias("comment_ratio"),
-                ),
-            ).alias("complexity"),
-            facts["error"].alias("error"),
-        ),
+    parsed = facts.isNotNull() & facts["error"].isNull()
+    classes = ("standard_library", "third_party", "local")
+    return F.struct(
+        line_count(content).alias("line_count"),
+        char_count(content).alias("char_count"),
+        facts["module_docstring"].alias("module_docstring"),
+        F.when(parsed, F.struct(*[imports_of(n).alias(n) for n in classes])).alias("imports"),
+        of_kind("class").alias("classes"),
+        of_kind("method").alias("methods"),
+        of_kind("function").alias("functions"),
+        of_kind("variable").alias("variables"),
+        F.when(
+            parsed,
+            F.struct(
+                counted["statement_count"].alias("statement_count"),
+                counted["control_flow"].alias("control_flow"),
+                counted["cyclomatic_complexity"].alias("cyclomatic_complexity"),
+                comment_lines(content).alias("comment_lines"),
+                comment_ratio(content).alias("comment_ratio"),
+            ),
+        ).alias("complexity"),
+        facts["error"].alias("error"),
     )
 
 
@@ -252,8 +246,10 @@ def code_facts(df: DataFrame, content: str = "content") -> DataFrame:
 
 def code_symbols(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """One row per class, method, function and global variable."""
-    rows = code_facts(df, content).select(key, F.inline("facts.symbols"))
-    return rows.withColumn("visibility", visibility(F.col("kind"), F.col("name")))
+    # The outer form here and below: the plain one lets Spark derive a filter on the parsed
+    # array and evaluate the parser a second time for it.
+    rows = code_facts(df, content).select(key, F.inline_outer("facts.symbols"))
+    return rows.where(F.col("kind").isNotNull()).withColumn("visibility", visibility(F.col("kind"), F.col("name")))
 
 
 def code_imports(
@@ -263,8 +259,8 @@ def code_imports(
     local_prefixes: Sequence[str] = (),
 ) -> DataFrame:
     """One row per import with its class and display text."""
-    rows = code_facts(df, content).select(key, F.explode("facts.imports").alias("item"))
-    return rows.select(
+    rows = code_facts(df, content).select(key, F.explode_outer("facts.imports").alias("item"))
+    return rows.where(F.col("item").isNotNull()).select(
         key,
         F.col("item.module").alias("module"),
         F.col("item.level").alias("level"),
@@ -282,9 +278,10 @@ def import_frequency(imports: DataFrame, k: int | None = None) -> DataFrame:
 
 def code_complexity(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """Statement count, branch counts and ``1 + branches`` per module that parses."""
-    facts = F.col("facts")
-    parsed = code_facts(df, content).where(facts.isNotNull() & facts["error"].isNull())
-    return parsed.select(key, complexity(F.col("facts.kinds")).alias("c")).select(
+    parsed = code_facts(df, content).select(
+        key, F.explode_outer(F.array("facts.kinds")).alias("kinds")
+    )
+    return parsed.where(F.col("kinds").isNotNull()).select(key, complexity(F.col("kinds")).alias("c")).select(
         key,
         F.col("c.statement_count").alias("statement_count"),
         *[F.col(f"c.control_flow.{n}").alias(f"n_{n}") for n in BRANCH_KINDS],

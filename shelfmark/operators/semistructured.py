@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..fixed_values import PREVIEW_CHARS, SAMPLE_KEYS
 from ..functions import json_text as jt
 from ..functions.arrow import map_texts
-from ..functions.binding import let
 
 JSON_ERROR = "not a single valid JSON value"
 TRUNCATED = "text is longer than the limit and was not parsed"
@@ -22,47 +21,55 @@ def json_validity(df: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
-def json_struct(content: Column, max_chars: int | None = None) -> Column:
-    """All JSON fields as one struct.
+def _json_fields(content: Column, valid: Column, too_long: Column) -> dict[str, Column]:
+    """The JSON fields; ``valid`` is null for a text that is too long to be judged."""
+    return {
+        "json_valid": valid,
+        "json_error": F.when(too_long, F.lit(TRUNCATED)).when(~valid, F.lit(JSON_ERROR)),
+        "json_truncated": too_long,
+        "json_structure": F.when(valid, jt.structure(content)),
+        "json_root_keys": F.when(valid, jt.root_keys(content)),
+        "json_root_key_count": F.when(valid, F.size(jt.root_keys(content)).cast("long")),
+        "json_depth": F.when(valid, jt.depth(content)),
+        "json_size": F.when(valid, F.length(content).cast("long")),
+    }
+
+
+def _too_long(content: Column, max_chars: int | None) -> Column:
+    return F.lit(False) if max_chars is None else F.length(content) > max_chars
+
+
+def json_judgement(content: Column, max_chars: int | None = None) -> Column:
+    """Is the text valid JSON? Null for null and for a text longer than ``max_chars``."""
+    known = content.isNotNull() & ~_too_long(content, max_chars)
+    return F.when(known, jt.is_valid_json(content))
+
+
+def json_struct(content: Column, valid: Column, max_chars: int | None = None) -> Column:
+    """All JSON fields as one struct, given the judgement of ``json_judgement``.
 
     The whole text is parsed by default. With ``max_chars`` a longer text is flagged
-    ``truncated`` and not judged.
+    ``json_truncated`` and not judged.
     """
-    too_long = F.lit(False) if max_chars is None else F.length(content) > max_chars
-
-    def fields(state: Column) -> Column:
-        valid = state["valid"]
-        return F.struct(
-            valid.alias("json_valid"),
-            F.when(state["too_long"], F.lit(TRUNCATED))
-            .when(~valid, F.lit(JSON_ERROR))
-            .alias("json_error"),
-            state["too_long"].alias("json_truncated"),
-            F.when(valid, jt.structure(content)).alias("json_structure"),
-            F.when(valid, jt.root_keys(content)).alias("json_root_keys"),
-            F.when(valid, F.size(jt.root_keys(content)).cast("long")).alias("json_root_key_count"),
-            F.when(valid, jt.depth(content)).alias("json_depth"),
-            F.when(valid, F.length(content).cast("long")).alias("json_size"),
-            F.when(valid, F.substring(content, 1, PREVIEW_CHARS)).alias("content_preview"),
-            F.when(~valid, F.lit(JSON_ERROR)).alias("error"),
-        )
-
-    state = F.struct(
-        F.when(~too_long, jt.is_valid_json(content)).alias("valid"), too_long.alias("too_long")
-    )
-    return F.when(content.isNotNull(), let(state, fields))
+    fields = _json_fields(content, valid, _too_long(content, max_chars))
+    fields["content_preview"] = F.when(valid, F.substring(content, 1, PREVIEW_CHARS))
+    fields["error"] = fields["json_error"]
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
 
 
 def json_profile(
     df: DataFrame, content: str = "content", max_chars: int | None = None
 ) -> DataFrame:
-    """Add the JSON fields: validity, structure, root keys, depth and size."""
-    names = [
-        "json_valid", "json_error", "json_structure", "json_root_keys",
-        "json_root_key_count", "json_depth", "json_size",
-    ]
-    profiled = df.withColumn("__json", json_struct(F.col(content), max_chars))
-    return profiled.withColumns({n: F.col(f"__json.{n}") for n in names}).drop("__json")
+    """Add the JSON fields: validity, structure, root keys, depth and size.
+
+    Every field is a column of its own, so a query computes only those it uses.
+    """
+    text = F.col(content)
+    too_long = _too_long(text, max_chars)
+    judged = df.withColumn("json_valid", json_judgement(text, max_chars))
+    fields = _json_fields(text, F.col("json_valid"), too_long)
+    del fields["json_valid"], fields["json_truncated"]
+    return judged.withColumns(fields)
 
 
 def key_frequency(df: DataFrame, content: str = "content") -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import delimited, values
+from ..functions import delimited, paths, values
+from ..functions.binding import let
 from . import quantiles
 
 STATISTICS = ["count", "null_count", "min", "max", "mean", "median"]
@@ -176,61 +177,61 @@ def column_statistics(
     return profile_table(df, sample_rows, median).drop("column_type")
 
 
-def delimited_cells(
+def file_cells(
     files: DataFrame, content: str = "content", sample_rows: int | None = None
 ) -> DataFrame:
-    """Cells of delimited files held in a column: ``path, column_no, column`` and the cell.
+    """Cells of tabular files held in a column: ``path, column_no, column, row_no, text``.
 
-    The delimiter follows the suffix; the first record names the columns, and a record
-    that is too short has missing cells.
+    ``.json`` files are arrays of objects whose first object names the columns (any other
+    JSON has no cells); ``.csv`` files are split at commas and others at tabs, and their
+    first record names the columns. Row 0 stands for the header, so that a file without
+    data rows keeps its columns; a record that is too short has missing cells. All rows
+    are read unless a sample is asked for.
     """
-    tab = F.when(F.endswith(F.lower("path"), F.lit(".csv")), ",").otherwise("\t")
-    parsed = files.select(
-        "path", tab.alias("__sep"), delimited.records(F.col(content)).alias("__records")
-    ).withColumn("__header", delimited.cells(F.get("__records", F.lit(0)), F.col("__sep")))
-    # The header row is exploded too, as a row of no cells, so that a file without data
-    # rows keeps its columns.
-    # Outer, so that no filter on the parsed records is derived that would parse twice.
-    rows = parsed.select(
-        "path", "__sep", "__header", F.posexplode_outer("__records").alias("row_no", "__record")
-    ).where(F.col("row_no").isNotNull())
-    if sample_rows is not None:
-        rows = rows.where(F.col("row_no") <= sample_rows)
-    named = rows.select(
+    text, suffix = F.col(content), paths.extension(F.col("path"))
+    separator = F.when(suffix == ".csv", ",").otherwise("\t")
+    objects = F.when(
+        text.rlike(r"^\s*\[\s*\{"),
+        F.concat(F.array(F.lit(None).cast("string")), F.from_json(text, "array<string>")),
+    )
+    split = files.select(
         "path",
-        "row_no",
-        F.posexplode_outer("__header").alias("column_no", "column"),
-        F.when(
-            F.col("row_no") > 0, delimited.cells(F.col("__record"), F.col("__sep"))
-        ).alias("__cells"),
+        suffix.alias("suffix"),
+        F.when(suffix == ".json", objects).otherwise(delimited.records(text)).alias("records"),
     )
-    return named.where(F.col("column_no").isNotNull()).select(
-        "path", "column_no", "column", "row_no",
-        F.get("__cells", F.col("column_no")).alias("text"),
+    is_json = F.col("suffix") == ".json"
+    first_object = F.from_json(F.get("records", F.lit(1)), "map<string,string>")
+    named = split.withColumn(
+        "header",
+        F.when(is_json, F.map_keys(first_object)).otherwise(
+            delimited.cells(F.get("records", F.lit(0)), separator)
+        ),
     )
-
-
-def json_cells(
-    files: DataFrame, content: str = "content", sample_rows: int | None = None
-) -> DataFrame:
-    """Cells of JSON files that hold an array of objects; the first object names the columns."""
-    rows = F.from_json(F.col(content), "array<map<string,string>>")
-    first_is_object = F.col(content).rlike(r"^\s*\[\s*\{")
-    parsed = files.where(first_is_object).select("path", rows.alias("__rows"))
-    parsed = parsed.withColumn("__header", F.map_keys(F.get("__rows", F.lit(0))))
-    exploded = parsed.select(
-        "path", "__header", F.posexplode_outer("__rows").alias("row_no", "__row")
+    # Outer generators: the plain ones let Spark derive filters that parse once more.
+    rows = named.select(
+        "path", "suffix", "header", F.posexplode_outer("records").alias("row_no", "record")
     ).where(F.col("row_no").isNotNull())
     if sample_rows is not None:
-        exploded = exploded.where(F.col("row_no") < sample_rows)
-    return exploded.select(
-        "path",
-        (F.col("row_no") + 1).alias("row_no"),
-        F.posexplode_outer("__header").alias("column_no", "column"),
-        "__row",
-    ).where(F.col("column_no").isNotNull()).select(
-        "path", "column_no", "column", "row_no",
-        F.try_element_at("__row", F.col("column")).alias("text"),
+        rows = rows.where(F.col("row_no") <= sample_rows)
+    record = F.col("record")
+    values_in_order = F.when(
+        is_json,
+        let(
+            F.from_json(record, "map<string,string>"),
+            lambda m: F.transform("header", lambda name: F.try_element_at(m, name)),
+        ),
+    ).otherwise(delimited.cells(record, separator))
+    return (
+        rows.select(
+            "path",
+            "row_no",
+            F.when(F.col("row_no") > 0, values_in_order).alias("cells"),
+            F.posexplode_outer("header").alias("column_no", "column"),
+        )
+        .where(F.col("column_no").isNotNull())
+        .select(
+            "path", "column_no", "column", "row_no", F.get("cells", F.col("column_no")).alias("text")
+        )
     )
 
 

@@ -7,33 +7,27 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import KEYWORDS_PER_FILE, PREVIEW_CHARS
 from ..functions import text as tf
-from ..functions.binding import let
 
 
-def text_struct(
-    content: Column,
-    max_chars: int | None = None,
-    k: int = KEYWORDS_PER_FILE,
-    preview_chars: int = PREVIEW_CHARS,
-) -> Column:
-    """All text fields as one struct; the word list is computed once per row.
+def _fields(content: Column, lowered: Column, k: int) -> dict[str, Column]:
+    """The text fields from the content and its lower-case words."""
+    return {
+        "content_preview": tf.content_preview(content, PREVIEW_CHARS),
+        "line_count": tf.line_count(content),
+        "word_count": tf.word_count(content, lowered),
+        "char_count": tf.char_count(content),
+        "language": F.when(content.isNotNull(), tf.detect_language(lowered)),
+        "keywords": F.when(content.isNotNull(), tf.keywords(lowered, k)),
+    }
 
-    The whole text is profiled unless ``max_chars`` asks for a prefix.
-    """
-    if max_chars is not None:
-        content = F.substring(content, 1, max_chars)
 
-    def fields(lowered: Column) -> Column:
-        return F.struct(
-            tf.content_preview(content, preview_chars).alias("content_preview"),
-            tf.line_count(content).alias("line_count"),
-            tf.word_count(content, lowered).alias("word_count"),
-            tf.char_count(content).alias("char_count"),
-            tf.detect_language(lowered).alias("language"),
-            tf.keywords(lowered, k).alias("keywords"),
-        )
+def text_struct(content: Column, lowered: Column, k: int = KEYWORDS_PER_FILE) -> Column:
+    """All text fields as one struct, over the content and its lower-case words.
 
-    return F.when(content.isNotNull(), let(tf.lower_words(content), fields))
+    A plain struct of fields that are null for null content, so that the optimizer can
+    drop the fields nobody reads.
+    """
+    return F.struct(*[c.alias(n) for n, c in _fields(content, lowered, k).items()])
 
 
 def text_profile(
@@ -42,10 +36,14 @@ def text_profile(
     max_chars: int | None = None,
     k: int = KEYWORDS_PER_FILE,
 ) -> DataFrame:
-    """Add preview, line, word and character counts, language and keywords."""
-    names = ["content_preview", "line_count", "word_count", "char_count", "language", "keywords"]
-    profiled = df.withColumn("__text", text_struct(F.col(content), max_chars, k))
-    return profiled.withColumns({n: F.col(f"__text.{n}") for n in names}).drop("__text")
+    """Add preview, line, word and character counts, language and keywords.
+
+    Every field is a column of its own over a shared word list, so a query that uses
+    only some of them computes only those.
+    """
+    text = F.col(content) if max_chars is None else F.substring(content, 1, max_chars)
+    worded = df.withColumn("__words", tf.lower_words(text))
+    return worded.withColumns(_fields(text, F.col("__words"), k)).drop("__words")
 
 
 def extract_keywords(

@@ -9,20 +9,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import paths
+from ..functions.text import lower_words
 from ..operators.code import code_struct, module_facts
 from ..operators.identity import basic_metadata
 from ..operators.merging import extraction_errors, merge_profiles
 from ..operators.publishing import is_publishable, publish_summary, to_entries, upsert_entries
 from ..operators.routing import Registry, default_registry, route_extractors
 from ..operators.selection import select_files
-from ..operators.semistructured import json_struct, yaml_struct
-from ..operators.tabular import delimited_cells, json_cells, profile_files
+from ..operators.semistructured import json_judgement, json_struct, yaml_struct
+from ..operators.tabular import file_cells, profile_files
 from ..operators.text import text_struct
 from ..sources.files import read_text_content, scan_files
 from . import index_store
 
 ROW_PROFILES = ["text", "python", "json", "yaml"]
 PREFIX = "profile_"
+TABLE_SUFFIXES = [".csv", ".tsv", ".json"]
 
 
 def _for_profile(name: str, content: Column) -> Column:
@@ -37,6 +40,7 @@ def catalog_from_files(
     max_chars: int | None = None,
     max_document_chars: int | None = None,
     tabular: bool = True,
+    table_files: DataFrame | None = None,
     sample_rows: int | None = None,
     local_prefixes: Sequence[str] = (),
     registry: Registry | None = None,
@@ -47,27 +51,38 @@ def catalog_from_files(
     ``files`` has ``path``, ``size_bytes`` and text ``content``. The path rules in
     ``select`` come first, so nothing is computed for files they drop. Profiles are
     columns of the file's own row; only the tabular profile regroups cells and is joined
-    back by path.
+    back by path. ``table_files`` may name a cheaper source of the tabular files alone.
     """
     registry = registry or default_registry
     chosen = select_files(files, root=root, **(select or {}))
     routed = route_extractors(basic_metadata(chosen), registry)
     content = F.col("content")
-    code_text = _for_profile("python", content)
-
-    columns: dict[str, Column] = {
-        "text": text_struct(_for_profile("text", content), max_chars),
-        "json": json_struct(_for_profile("json", content), max_document_chars),
-        "yaml": yaml_struct(_for_profile("yaml", content)),
+    # What several fields share is computed once, below the structs that use it.
+    shared = routed.withColumns(
+        {"__text": _for_profile("text", content), "__code": _for_profile("python", content),
+         "__json": _for_profile("json", content), "__yaml": _for_profile("yaml", content)}
+    )
+    if max_chars is not None:
+        shared = shared.withColumn("__text", F.substring("__text", 1, max_chars))
+    shared = shared.withColumns(
+        {
+            "__words": lower_words(F.col("__text")),
+            "__valid": json_judgement(F.col("__json"), max_document_chars),
+            "__facts": module_facts(F.col("__code")),
+        }
+    )
+    profiles = {
+        "text": text_struct(F.col("__text"), F.col("__words")),
+        "python": code_struct(F.col("__code"), F.col("__facts"), local_prefixes),
+        "json": json_struct(F.col("__json"), F.col("__valid"), max_document_chars),
+        "yaml": yaml_struct(F.col("__yaml")),
     }
     for name, fn in registry.functions.items():
-        columns[name] = fn(_for_profile(name, content))
-    profiled = routed.withColumns(
-        {PREFIX + n: c for n, c in columns.items()} | {"__facts": module_facts(code_text)}
+        profiles[name] = fn(_for_profile(name, content))
+    profiled = shared.withColumns({PREFIX + n: c for n, c in profiles.items()}).drop(
+        *[c for c in shared.columns if c.startswith("__")],
+        "content", "filename", "directory", "extension", "depth",
     )
-    profiled = profiled.withColumn(
-        PREFIX + "python", code_struct(code_text, F.col("__facts"), local_prefixes)
-    ).drop("__facts", "content", "filename", "directory", "extension", "depth")
     order = [PREFIX + n for n in [*ROW_PROFILES, *registry.functions]]
     record = merge_profiles(profiled, order)
     if not keep_profiles:
@@ -76,27 +91,33 @@ def catalog_from_files(
         return record
 
     # Only tabular files are cut into cells.
-    table_files = route_extractors(basic_metadata(chosen), registry).where(
-        F.array_contains("profiles", "tabular")
+    candidates = chosen if table_files is None else select_files(
+        table_files, root=root, **(select or {})
     )
-    suffix = F.col("file.extension")
-    delimited = delimited_cells(
-        table_files.where(suffix.isin(".csv", ".tsv")), sample_rows=sample_rows
+    cells = file_cells(
+        candidates.where(paths.extension(F.col("path")).isin(*TABLE_SUFFIXES)),
+        sample_rows=sample_rows,
     )
-    cells = delimited.unionByName(
-        json_cells(table_files.where(suffix == ".json"), sample_rows=sample_rows)
-    )
-    return record.join(profile_files(cells).withColumnRenamed("line_count", "record_lines"),
-                       "path", "left")
+    tables = profile_files(cells).withColumnRenamed("line_count", "record_lines")
+    return record.join(tables, "path", "left")
 
 
 def build_catalog(
     spark: SparkSession, root: str, hidden: bool = False, **options: Any
 ) -> DataFrame:
-    """The catalog of a file tree; see ``catalog_from_files`` for the options."""
-    files = scan_files(spark, root, with_content=True, hidden=hidden)
+    """The catalog of a file tree; see ``catalog_from_files`` for the options.
+
+    The tabular profile reads the tabular files a second time; a name filter keeps all
+    other files out of that scan.
+    """
+    files = read_text_content(scan_files(spark, root, with_content=True, hidden=hidden))
+    tables = None
+    if not hidden and options.get("tabular", True):
+        tables = read_text_content(
+            scan_files(spark, root, with_content=True, suffixes=TABLE_SUFFIXES)
+        )
     base = root.removeprefix("file:")
-    return catalog_from_files(read_text_content(files), root=base, **options)
+    return catalog_from_files(files, root=base, table_files=tables, **options)
 
 
 def catalog_errors(catalog: DataFrame) -> DataFrame:

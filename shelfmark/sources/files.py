@@ -1,7 +1,7 @@
 """File relations: from a listing, from a mounted tree, or from a table of contents."""
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,26 +39,43 @@ def files_from_table(
     return _with_names(renamed, root)
 
 
+def _any_case(suffixes: Sequence[str]) -> str:
+    """A name filter for suffixes in any case, as the file listing understands it."""
+    spelled = [
+        "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+        for suffix in suffixes
+    ]
+    return "*{" + ",".join(spelled) + "}"
+
+
 def scan_files(
-    spark: SparkSession, root: str, with_content: bool = False, hidden: bool = False
+    spark: SparkSession,
+    root: str,
+    with_content: bool = False,
+    hidden: bool = False,
+    suffixes: Sequence[str] = (),
 ) -> DataFrame:
     """Every file below ``root``: path, names, size, times, depth and optionally the bytes.
 
     By default Spark lists the tree; contents are read only if asked for. Spark's own
     listing leaves out names that start with a dot or an underscore and knows only the
     modification time. With ``hidden`` a mounted tree (one path on all executors) is
-    listed by the executors, with all names and all three times.
+    listed by the executors, with all names and all three times. ``suffixes`` restricts
+    the listing, so that no other file is read.
     """
     base = root.removeprefix("file:").rstrip("/") or "/"
     base = "/" + base.lstrip("/") if root.startswith("file:") else base
     if hidden:
         files = list_tree(spark, base)
+        if suffixes:
+            files = files.where(paths.extension(F.col("path")).isin(*suffixes))
         if with_content:
             files = files.withColumn("content", read_bytes("path"))
         return _with_names(files, base)
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    )
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if suffixes:
+        reader = reader.option("pathGlobFilter", _any_case(suffixes))
+    listed = reader.load(root)
     # Local paths lose their scheme; others keep scheme and host.
     path = F.regexp_replace("path", "^file:/+", "/")
     columns = [

@@ -75,9 +75,9 @@ def test_sample_document_goldens(profiled):
 def test_long_text_is_flagged_not_judged(rows):
     from pyspark.sql import functions as F
 
-    from shelfmark.operators.semistructured import json_struct
+    from shelfmark.operators.semistructured import json_judgement, json_struct
 
-    r = rows([('{"a": 1}',)], "content string").select(json_struct(F.col("content"), 4).alias("j")).head()["j"]
+    r = rows([('{"a": 1}',)], "content string").select(json_struct(F.col("content"), json_judgement(F.col("content"), 4), 4).alias("j")).head()["j"]
     assert r["json_truncated"] and r["json_valid"] is None and "limit" in r["json_error"]
 
 

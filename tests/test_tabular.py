@@ -80,7 +80,7 @@ def test_delimited_content(rows):
         ],
         "path string, content string",
     )
-    cells = tb.delimited_cells(files)
+    cells = tb.file_cells(files)
     texts = {(r["path"], r["row_no"], r["column_no"]): r["text"] for r in cells.collect()}
     assert texts["/q.csv", 1, 1] == 'a, "q"' and texts["/q.csv", 3, 1] == "x\ny" and texts["/q.csv", 2, 2] is None
     got = {r["path"]: r for r in tb.profile_files(cells).collect()}
@@ -98,7 +98,7 @@ def test_json_content(rows):
         [("/a.json", '[{"a":1,"b":"x"},{"a":2.5,"z":1,"b":null}]'), ("/b.json", '{"a":1}'), ("/c.json", "[1]")],
         "path string, content string",
     )
-    got = tb.profile_files(tb.json_cells(files)).collect()
+    got = tb.profile_files(tb.file_cells(files)).collect()
     assert [r["path"] for r in got] == ["/a.json"]
     assert got[0]["columns"] == ["a", "b"] and got[0]["column_types"] == {"a": "float", "b": "string"}
 
