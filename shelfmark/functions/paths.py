@@ -30,6 +30,9 @@ def extension(path: Column) -> Column:
 
 
 def normalize_root(root: str) -> str:
+    """The root without a final slash; a root with a scheme keeps it as it is."""
+    if "://" in root:
+        return root.rstrip("/")
     return "/" + root.strip("/") if root.strip("/") else ""
 
 

@@ -38,12 +38,18 @@ def is_boolean_text(text: Column) -> Column:
 
 
 def parse_compact_date(text: Column) -> Column:
-    """``[D:]YYYYMMDDHHmmSS…`` to a timestamp; anything shorter or impossible is null.
-
-    What follows the seconds (a zone) is ignored.
+    """``[D:]YYYYMMDDHHmmSS…`` to a zone-less timestamp; anything shorter or impossible is
+    null. What follows the seconds (a zone) is ignored.
     """
     digits = F.regexp_extract(text, r"^(?:D:)?(\d{14})", 1)
+
+    def part(start: int, length: int) -> Column:
+        return F.substring(digits, start, length).try_cast("int")
+
+    year, second = part(1, 4), part(13, 2)
     return F.when(
-        digits != "",
-        F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss")),
+        (digits != "") & (year >= 1) & (second < 60),
+        F.try_make_timestamp_ntz(
+            year, part(5, 2), part(7, 2), part(9, 2), part(11, 2), second
+        ),
     )

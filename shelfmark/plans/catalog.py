@@ -20,7 +20,7 @@ from ..operators.selection import select_files
 from ..operators.semistructured import json_judgement, json_struct, yaml_struct
 from ..operators.tabular import file_cells, profile_files
 from ..operators.text import text_struct
-from ..sources.files import read_text_content, scan_files
+from ..sources.files import qualified_root, read_text_content, scan_files
 from . import index_store
 
 ROW_PROFILES = ["text", "python", "json", "yaml"]
@@ -116,7 +116,7 @@ def build_catalog(
         tables = read_text_content(
             scan_files(spark, root, with_content=True, suffixes=TABLE_SUFFIXES)
         )
-    base = root.removeprefix("file:")
+    base = qualified_root(spark, root)
     return catalog_from_files(files, root=base, table_files=tables, **options)
 
 

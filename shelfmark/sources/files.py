@@ -48,6 +48,15 @@ def _any_case(suffixes: Sequence[str]) -> str:
     return "*{" + ",".join(spelled) + "}"
 
 
+def qualified_root(spark: SparkSession, root: str) -> str:
+    """The root as it starts the paths of a scan: plain for local files, else with scheme
+    and host, which the cluster's default file system may add."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    file_system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = file_system.makeQualified(path).toString()
+    return "/" + full.removeprefix("file:").lstrip("/") if full.startswith("file:") else full
+
+
 def scan_files(
     spark: SparkSession,
     root: str,
@@ -63,8 +72,7 @@ def scan_files(
     listed by the executors, with all names and all three times. ``suffixes`` restricts
     the listing, so that no other file is read.
     """
-    base = root.removeprefix("file:").rstrip("/") or "/"
-    base = "/" + base.lstrip("/") if root.startswith("file:") else base
+    base = qualified_root(spark, root)
     if hidden:
         files = list_tree(spark, base)
         if suffixes:

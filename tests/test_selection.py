@@ -122,3 +122,12 @@ def test_mime_follows_the_standard_library(rows):
     for n in names:
         mime, encoding = known.guess_type(n)
         assert got[n] == (mime or "application/octet-stream", encoding), n
+
+
+def test_root_with_a_scheme(rows):
+    root = "s3a://bucket/in"
+    df = rows([(f"{root}/{p}",) for p in ("a.txt", "x/.h/b.txt", "x/c.md")], "path string")
+    assert paths_of(sm.exclude_dot_paths(df, root)) == [f"{root}/a.txt", f"{root}/x/c.md"]
+    assert paths_of(sm.limit_depth(df, 0, root)) == [f"{root}/a.txt"]
+    assert paths_of(sm.exclude_regex(df, ["^/x$"], root + "/")) == [f"{root}/a.txt"]
+    assert paths_of(sm.include_paths(df, globs=["x/*.md", "bucket/*"], root=root)) == [f"{root}/x/c.md"]
