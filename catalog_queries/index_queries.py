@@ -92,11 +92,12 @@ ORACLES["delete_entries"] = _entry_sql(
 )
 
 QUERIES["batch_entries"] = lambda spark, sf_dir: sm.batch_entries(
-    _old_entries(spark, sf_dir), n=20, buckets=8
+    _old_entries(spark, sf_dir), n=20, rows_per_bucket=100
 ).select("subject", "bucket", "batch_no")
 ORACLES["batch_entries"] = _entry_sql(
     """SELECT subject, bucket, (row_number() OVER (PARTITION BY bucket ORDER BY subject) - 1) // 20 AS batch_no
-FROM (SELECT subject, CAST(CAST('0x' || substr(md5(subject), 1, 8) AS BIGINT) % 8 AS INTEGER) AS bucket
+FROM (SELECT subject, CAST('0x' || substr(md5(subject), 1, 8) AS BIGINT)
+        % (SELECT CAST(ceil(count(*) / 100) AS BIGINT) FROM old_entries) AS bucket
       FROM old_entries)"""
 )
 

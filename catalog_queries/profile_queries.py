@@ -254,15 +254,16 @@ ORACLES["profile_table"] = with_views(
 
 
 def profile_delimited_files(spark, sf_dir):
-    """Each brand's parts as one small delimited file held in a column."""
+    """The parts of a brand, 500 keys at a time, as small delimited files held in a column."""
     from shelfmark.operators.tabular import file_cells, profile_files
 
     rows = table(spark, sf_dir, "part").select(
-        "p_brand", F.concat_ws(",", "p_partkey", "p_size", F.concat(F.lit('"'), "p_name", F.lit(', x"'))).alias("line")
+        "p_brand", F.floor(F.col("p_partkey") / 500).alias("chunk"),
+        F.concat_ws(",", "p_partkey", "p_size", F.concat(F.lit('"'), "p_name", F.lit(', x"'))).alias("line")
     )
-    files = rows.groupBy("p_brand").agg(
+    files = rows.groupBy("p_brand", "chunk").agg(
         F.concat(F.lit("key,size,name\n"), F.array_join(F.collect_list("line"), "\n")).alias("content")
-    ).select(F.concat(F.lit("/"), "p_brand", F.lit(".csv")).alias("path"), "content")
+    ).select(F.concat(F.lit("/"), "p_brand", F.lit("/"), "chunk", F.lit(".csv")).alias("path"), "content")
     profiled = profile_files(file_cells(files))
     size = F.col("sample_statistics")["size"]
     return profiled.select(
@@ -273,8 +274,8 @@ def profile_delimited_files(spark, sf_dir):
 
 
 QUERIES["profile_delimited_files"] = profile_delimited_files
-ORACLES["profile_delimited_files"] = """SELECT '/' || p_brand || '.csv' AS path, CAST(3 AS BIGINT) AS column_count,
+ORACLES["profile_delimited_files"] = """SELECT '/' || p_brand || '/' || p_partkey // 500 || '.csv' AS path, CAST(3 AS BIGINT) AS column_count,
   count(*) + 1 AS line_count, count(*) AS row_count, 'key,size,name' AS columns,
   'integer' AS key_type, 'string' AS name_type, CAST(min(p_size) AS DOUBLE) AS min_size,
   CAST(max(p_size) AS DOUBLE) AS max_size, CAST(median(p_size) AS DOUBLE) AS median_size
-FROM part GROUP BY p_brand"""
+FROM part GROUP BY p_brand, p_partkey // 500"""

@@ -85,18 +85,26 @@ def delete_entries(entries: DataFrame, subjects: DataFrame, key: str = "subject"
 
 
 def batch_entries(
-    entries: DataFrame, n: int = BATCH_SIZE, buckets: int = 200, key: str = "subject"
+    entries: DataFrame,
+    n: int = BATCH_SIZE,
+    key: str = "subject",
+    buckets: int | None = None,
+    rows_per_bucket: int = 100_000,
 ) -> DataFrame:
     """Add ``bucket`` and ``batch_no``: at most ``n`` entries share both.
 
     Keys are spread over buckets by digest and numbered within their bucket, so numbering
-    is repeatable and no task sees more than its buckets. Choose ``buckets`` so that a
-    bucket fits a task; at most one batch per bucket is not full.
+    is repeatable and no task numbers more than a bucket. The number of buckets follows
+    the number of entries unless it is given; at most one batch per bucket is not full.
     """
     digest = F.conv(F.substring(F.md5(F.col(key)), 1, 8), 16, 10).cast("long")
-    bucketed = entries.withColumn("bucket", F.pmod(digest, F.lit(buckets)).cast("int"))
+    if buckets is None:
+        counted = entries.agg(F.ceil(F.count("*") / rows_per_bucket).alias("n"))
+        number = F.greatest(F.lit(1).cast("long"), counted.scalar())
+    else:
+        number = F.lit(buckets).cast("long")
     order = Window.partitionBy("bucket").orderBy(key)
-    return bucketed.withColumn(
+    return entries.withColumn("bucket", F.pmod(digest, number)).withColumn(
         "batch_no", F.floor((F.row_number().over(order) - 1) / n).cast("long")
     )
 

@@ -24,6 +24,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_private_folders: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
@@ -34,6 +37,8 @@ def work_dir(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="shelfmark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _private_folders:
+            _private_folders[application] = tempfile.mkdtemp(prefix="shelfmark-")
+        folder = _private_folders[application]
     return folder.rstrip("/")

@@ -126,3 +126,10 @@ def test_hierarchy_limits(rows):
     leaves = [r["item"] for r in got if r["type"] == "dataset"]
     assert groups == {"g": 16, "g/sub": 2, "g/sub/deep": 1}
     assert sorted(leaves) == [f"g/leaf{i:02d}" for i in range(10)] + ["g/sub/x", "top"]
+
+
+def test_buckets_follow_the_number_of_entries(spark):
+    subjects = spark.range(1000).select(F.concat(F.lit("s"), "id").alias("subject"))
+    batched = sm.batch_entries(subjects, n=30, rows_per_bucket=100)
+    assert batched.select("bucket").distinct().count() == 10
+    assert sm.batch_entries(subjects.limit(0)).count() == 0
