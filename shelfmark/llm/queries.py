@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import canonical_turns, conversation_digests, format_turn
+from .language import held_out, identify_language, train_language_model
 from .mixing import mix_sources
+from .quality import score_quality, train_quality_model
 from .storage import fresh_path
 from .token_counts import count_tokens
 from .warc import page_records, read_warc, write_warc
 
-ROLE = "role", "text"
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = identify_language(docs, train_language_model(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,11 +80,20 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train_quality_model(docs, _table(spark, sf_dir, "labels"))
+    found = score_quality(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
     "op8_chat_format": op8_chat_format,
     "op9_mix": op9_mix,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
