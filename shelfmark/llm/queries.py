@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import canonical_turns, conversation_digests, format_turn
 from .language import held_out, identify_language, train_language_model
 from .mixing import mix_sources
+from .near_duplicates import near_duplicates
 from .nearest import nearest_by_product
 from .quality import score_quality, train_quality_model
 from .storage import fresh_path
@@ -25,6 +26,10 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=2)
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return nearest_by_product(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
@@ -101,6 +106,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substrings": op1_substrings,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_nearest": op3_nearest,
     "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
@@ -127,6 +133,31 @@ ORACLES = {
         SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
                sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op2_near_duplicates": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        d AS (
+            SELECT doc_id, list_distinct(
+                CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
+                ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS items
+            FROM w),
+        n AS (SELECT doc_id, len(items) AS n FROM d),
+        s AS (SELECT doc_id, unnest(items) AS item FROM d),
+        both_have AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+            FROM s a JOIN s b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY ALL),
+        pairs AS (
+            SELECT x, y FROM both_have JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+            WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+        reach(x, y) AS (
+            SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+        SELECT n.doc_id, n.n::BIGINT AS n_shingles,
+               least(n.doc_id, coalesce(min(y), n.doc_id)) AS component_id,
+               n.doc_id = least(n.doc_id, coalesce(min(y), n.doc_id)) AS kept
+        FROM n LEFT JOIN reach ON n.doc_id = reach.x GROUP BY n.doc_id, n.n""",
     "op3_nearest": """
         WITH v AS (
             SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
