@@ -208,6 +208,27 @@ def train_language_model(
     return LanguageModel.fit(x, [r["lang"] for r in rows]) if rows else None
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
+def judge(column: pa.Array, model: LanguageModel | None) -> tuple[list[str], np.ndarray]:
+    """The language and score of every text of an Arrow column."""
+    names, scores = [], [np.zeros(0)]
+    for a, b, raw, offsets in _row_slices(column):
+        if model is None:
+            found, score = [UNDETERMINED] * (b - a), np.zeros(b - a)
+        else:
+            found, score = model.predict(gram_vectors(raw, offsets))
+        seen = np.r_[0, np.cumsum(_LETTER[raw])][offsets]
+        for i in np.flatnonzero(np.diff(seen) == 0):
+            if not any(map(str.isalpha, column[a + int(i)].as_py() or "")):
+                found[i], score[i] = UNDETERMINED, 0.0
+        names += found
+        scores.append(score)
+    return names, np.concatenate(scores)
+
+
 def identify_language(
     docs: DataFrame, model: LanguageModel | None, *, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -218,26 +239,34 @@ def identify_language(
     equal keys are judged each on their own; other columns are ignored.
     """
     kind = docs.schema[key].dataType.simpleString()
-    letter = np.zeros(256, dtype=bool)
-    letter[65:91] = letter[97:123] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, names, scores = batch.column(1), [], []
-            for a, b, raw, offsets in _row_slices(column):
-                if model is None:
-                    found, score = [UNDETERMINED] * (b - a), np.zeros(b - a)
-                else:
-                    found, score = model.predict(gram_vectors(raw, offsets))
-                seen = np.r_[0, np.cumsum(letter[raw])][offsets]
-                for i in np.flatnonzero(np.diff(seen) == 0):
-                    if not any(map(str.isalpha, column[a + int(i)].as_py() or "")):
-                        found[i], score[i] = UNDETERMINED, 0.0
-                names += found
-                scores.append(score)
+            names, scores = judge(batch.column(1), model)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)]))],
-                names=[key, "lang_pred", "score"],
+                [batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=[key, "lang_pred", "score"]
             )
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+
+
+def keep_identified(
+    docs: DataFrame, model: LanguageModel | None, *, text: str = "text", min_score: float = 0.25
+) -> DataFrame:
+    """The rows whose language is determined with at least ``min_score``, unchanged.
+
+    Rows are judged as by ``identify_language``. Without a model (no labelled row to learn
+    from) only texts without a letter go.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text))
+            if model is None:
+                keep = [any(map(str.isalpha, t or "")) for t in column.to_pylist()]
+            else:
+                names, scores = judge(column, model)
+                keep = [n != UNDETERMINED and s >= min_score for n, s in zip(names, scores)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -132,6 +132,48 @@ def _thresholds(sized: DataFrame, sources: DataFrame, n_sources: int) -> DataFra
     return front.select("_id", F.col("_prefix").alias("_below"))
 
 
+def _source_id(source: Column) -> Column:
+    return F.struct(source.isNull(), F.coalesce(source, F.lit("")))
+
+
+def _mix_plan(
+    sized: DataFrame, weights: tuple[int, ...], share: float, at_most: int
+) -> tuple[DataFrame, int]:
+    """A row per source: source_size, target, whole copies and threshold; and how many rows."""
+    totals = sized.groupBy("_source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(totals, weights=weights, share=share, at_most=float(at_most))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    sources = cut(
+        targets.withColumn("_copies", whole.cast("long"))
+        .withColumn("_extra", F.col("target") - F.col("_copies") * F.col("source_size"))
+        .withColumn("_id", _source_id(F.col("_source")))
+    )
+    n_sources = sources.count()
+    inside = sized.select(_source_id(F.col("_source")).alias("_id"), "size", "_hash")
+    below = _thresholds(inside, sources, n_sources)
+    return sources.select("_id", "source_size", "target", "_copies").join(below, "_id"), n_sources
+
+
+def _mixed(docs: DataFrame, key: str, text: str, source: str, weights: tuple[int, ...], share: float, at_most: int) -> DataFrame:
+    """(_row, size, source_size, target, copies): each row as a struct, and what is taken of it."""
+    sized = stored(
+        docs.select(
+            F.col(source).alias("_source"), count_words(F.col(text)).alias("size"), document_hash(F.col(key)).alias("_hash")
+        ),
+        "mix-sizes",
+    )
+    plan, n_sources = _mix_plan(sized, weights, share, at_most)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        _source_id(F.col(source)).alias("_id"),
+        count_words(F.col(text)).alias("size"),
+        document_hash(F.col(key)).alias("_hash"),
+    )
+    joined = _join_sources(rows, plan, n_sources, ["_id"], "inner")
+    copies = F.col("_copies") + (F.col("_hash") < F.col("_below")).cast("long")
+    return joined.select("_row", "size", "source_size", "target", copies.alias("copies"))
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -148,35 +190,31 @@ def mix_sources(
     source is to give) and taken: floor(target / source_size) whole copies of each document
     of the source, and one more of those whose hash lies below the source's threshold.
     What a source gives misses its target by at most half of one document (or one group of
-    equal keys). A null source is a source; rows with equal keys are taken alike. An empty table
-    gives no rows; a source without words has target 0. Other columns are ignored.
+    equal keys). A null source is a source; rows with equal keys are taken alike. An empty
+    table gives no rows; a source without words has target 0. Other columns are ignored.
     """
-    sized = stored(
-        docs.select(
-            F.col(key).alias("_key"),
-            F.col(source).alias("_source"),
-            count_words(F.col(text)).alias("size"),
-            document_hash(F.col(key)).alias("_hash"),
-        ),
-        "mix-sizes",
-    )
-    totals = sized.groupBy("_source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(totals, weights=weights, share=share, at_most=float(at_most))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    sources = cut(
-        targets.withColumn("_copies", whole.cast("long"))
-        .withColumn("_extra", F.col("target") - F.col("_copies") * F.col("source_size"))
-        .withColumn("_id", F.struct(F.col("_source").isNull(), F.coalesce(F.col("_source"), F.lit(""))))
-    )
-    n_sources = sources.count()
-    sized = sized.withColumn(
-        "_id", F.struct(F.col("_source").isNull(), F.coalesce(F.col("_source"), F.lit("")))
-    ).drop("_source")
-    below = _thresholds(sized, sources, n_sources)
-    plan = sources.drop("_source").join(below, "_id")
-    joined = _join_sources(sized, plan, n_sources, ["_id"], "inner")
-    copies = F.col("_copies") + (F.col("_hash") < F.col("_below")).cast("long")
-    return joined.select(
-        F.col("_key").alias(key), "size", "source_size", "target", (F.col("size") * copies).alias("taken"),
-        copies.alias("copies"),
+    mixed = _mixed(docs.select(key, text, source), key, text, source, weights, share, at_most)
+    return mixed.select(
+        F.col(f"_row.`{key}`").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
+
+
+def take_mix(
+    docs: DataFrame,
+    *,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    at_most: int = 2,
+) -> DataFrame:
+    """The rows that the mix takes, all columns, and copies, size, source_size, target, taken.
+
+    A row that is taken twice comes once, with copies 2. Columns of the input with one of
+    the added names give way to those.
+    """
+    added = ["copies", "size", "source_size", "target", "taken"]
+    mixed = _mixed(docs, key, text, source, weights, share, at_most).withColumn("taken", F.col("size") * F.col("copies"))
+    own = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in added]
+    return mixed.filter(F.col("copies") > 0).select(*own, *added)

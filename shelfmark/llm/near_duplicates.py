@@ -346,3 +346,19 @@ def near_duplicates(
         back("_root").alias("component_id"),
         (F.col("_key") == F.col("_root")).alias("kept"),
     )
+
+
+def keep_representatives(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: int = 80
+) -> DataFrame:
+    """The rows that ``near_duplicates`` keeps, unchanged; of equal rows under one key, one.
+
+    Rows with a null key stay, unless they repeat one another.
+    """
+    judged = near_duplicates(docs, key=key, text=text, words=words, similarity=similarity)
+    gone = cut(judged.filter(~F.col("kept") & F.col(key).isNotNull()).select(key).distinct())
+    few = gone.count() <= BROADCAST_KEYS
+    left = docs.join(F.broadcast(gone) if few else gone, key, "left_anti").select(*docs.columns)
+    if docs.groupBy(key).count().filter(F.col("count") > 1).isEmpty():
+        return left
+    return left.dropDuplicates([key, text])

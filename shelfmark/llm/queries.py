@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import canonical_turns, conversation_digests, format_turn
+from .decontaminate import find_leaks
 from .language import held_out, identify_language, train_language_model
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
@@ -35,6 +36,10 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_by_product(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = identify_language(docs, train_language_model(docs))
@@ -108,6 +113,7 @@ QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_nearest": op3_nearest,
+    "op4_leaks": op4_leaks,
     "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,

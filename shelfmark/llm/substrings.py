@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import cut
 from .words import find_words, hash_words, mix64, text_slices
@@ -373,32 +374,26 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return blocks.groupBy("_bucket").applyInArrow(settle, "_key long, _from long, _to long")
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
-    """Remove every word that lies in a window of ``window`` words occurring earlier.
-
-    Returns key, n_words, n_removed and kept_text (the kept words joined by one space).
-    Words are runs other than space and 0x09-0x0D, taken unchanged from whole texts; windows
-    are judged on the input. A null or empty text has no words and kept_text ''. Texts
-    shorter than a window lose nothing. Rows with equal keys are one document for the order
-    of windows: a window at the same key and place is not earlier, and all of them lose the
-    same places. Other columns are ignored.
-    """
+def _applied(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
+    """(_row, n_words, n_removed, kept_text): each row as a struct, and what is left of its text."""
     spans = repeated_spans(docs, key=key, text=text, window=window)
     spans = spans.groupBy("_key").agg(F.collect_list(F.struct("_from", "_to")).alias("_spans"))
     given = docs.select(
-        F.col(key), F.coalesce(F.col(key).cast("long"), F.lit(_NULL_KEY)).alias("_key"), F.col(text).alias("_text")
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.coalesce(F.col(key).cast("long"), F.lit(_NULL_KEY)).alias("_key"),
     )
     joined = given.join(spans, "_key", "left").select(
-        key, "_text", F.col("_spans._from").alias("_from"), F.col("_spans._to").alias("_to")
+        "_row", F.col("_spans._from").alias("_from"), F.col("_spans._to").alias("_to")
     )
-    kind = docs.schema[key].dataType.simpleString()
+    place = docs.columns.index(text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
+                texts = part.column(0).flatten()[place].to_pylist()
                 n, gone, kept = [], [], []
-                for t, begins, ends in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
+                for t, begins, ends in zip(texts, part.column(1).to_pylist(), part.column(2).to_pylist()):
                     words = (t or "").encode("utf-8", "surrogatepass").split()
                     n.append(len(words))
                     if begins:
@@ -411,7 +406,50 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                     kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                    names=[key, "n_words", "n_removed", "kept_text"],
+                    names=["_row", "n_words", "n_removed", "kept_text"],
                 )
 
-    return joined.mapInArrow(apply, f"`{key}` {kind}, n_words long, n_removed long, kept_text string")
+    schema = T.StructType(
+        [
+            T.StructField("_row", joined.schema["_row"].dataType),
+            T.StructField("n_words", T.LongType()),
+            T.StructField("n_removed", T.LongType()),
+            T.StructField("kept_text", T.StringType()),
+        ]
+    )
+    return joined.mapInArrow(apply, schema)
+
+
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
+    """Remove every word that lies in a window of ``window`` words occurring earlier.
+
+    Returns key, n_words, n_removed and kept_text (the kept words joined by one space).
+    Words are runs other than space and 0x09-0x0D, taken unchanged from whole texts; windows
+    are judged on the input. A null or empty text has no words and kept_text ''. Texts
+    shorter than a window lose nothing. Rows with equal keys are one document for the order
+    of windows: a window at the same key and place is not earlier, and all of them lose the
+    same places. Other columns are ignored.
+    """
+    applied = _applied(docs.select(key, text), key, text, window)
+    return applied.select(F.col(f"_row.`{key}`").alias(key), "n_words", "n_removed", "kept_text")
+
+
+def without_repeats(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: str = "n_chars", window: int = 20
+) -> DataFrame:
+    """All rows and columns; a text that loses words becomes its kept words.
+
+    Texts that lose nothing stay as they are, null ones too. Where a text changes, column
+    ``size`` (if there is one) becomes its number of characters. A text that is all
+    repetition becomes empty.
+    """
+    changed = F.col("n_removed") > 0
+    columns = []
+    for name, kind in docs.dtypes:
+        value = F.col(f"_row.`{name}`")
+        if name == text:
+            value = F.when(changed, F.col("kept_text")).otherwise(value)
+        elif name == size:
+            value = F.when(changed, F.length("kept_text").cast(kind)).otherwise(value)
+        columns.append(value.alias(name))
+    return _applied(docs, key, text, window).select(*columns)
