@@ -12,6 +12,9 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+BROADCAST_LINKS = 500_000  # links whose smallest neighbours may be broadcast; counted before
+
+
 def component_roots(links: DataFrame) -> DataFrame:
     """(_key, _root) of every key of ``links`` (a, b) that is not the smallest of its component.
 
@@ -30,15 +33,15 @@ def component_roots(links: DataFrame) -> DataFrame:
         before = now
         if not now[0]:
             break
+        hint = F.broadcast if now[0] <= BROADCAST_LINKS else lambda df: df
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_m")).withColumn("_m", F.least("a", "_m"))
         large = (
-            both.join(least, "a").filter(F.col("b") > F.col("a"))
-            .select(F.col("b").alias("a"), F.col("_m").alias("b")).filter(F.col("a") != F.col("b")).distinct()
+            both.join(hint(least), "a").filter(F.col("b") > F.col("a"))
+            .select(F.col("b").alias("a"), F.col("_m").alias("b")).filter(F.col("a") != F.col("b"))
         )
-        large = cut(large)
         least = large.groupBy("a").agg(F.min("b").alias("_m"))
-        small = large.join(least, "a").select(
+        small = large.join(hint(least), "a").select(
             F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("_m").alias("y")),
                               F.struct(F.col("b").alias("x"), F.col("_m").alias("y")))).alias("e")
         )
@@ -50,7 +53,9 @@ def component_roots(links: DataFrame) -> DataFrame:
 
 def merge_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """The roots after further links."""
-    new = links.select("a", "b")
+    new = cut(links.select("a", "b"))
+    if roots is not None and new.isEmpty():
+        return roots
     if roots is not None:
         new = new.union(roots.select(F.col("_key").alias("a"), F.col("_root").alias("b")))
     return component_roots(new)

@@ -15,7 +15,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import merge_roots, with_root
@@ -27,7 +27,7 @@ TREES = 12  # at depth 5 a pair of similarity 0.8 shares a node of a tree with c
 DEPTH = 5
 MORE = 3  # levels added when a node is too large
 ROUNDS = 4
-SMALL_NODE = 48
+SMALL_NODE = 64
 CELL = 128  # documents of either side that meet in one piece of comparing work
 ESTIMATE = 0.66  # four deviations below 0.8
 BROADCAST_KEYS = 500_000
@@ -78,26 +78,27 @@ def sketch(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(_key, _n, _set, _sketch) of (_key, _text): set size, digest of the full set, sketch."""
+    """(_key, _name, _n, _set, _sketch) of (_key, _name, _text): set size, digest of the set, sketch."""
     factors, shifts = _multipliers()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, raw, offsets in text_slices(batch.column(1)):
+            for lo, hi, raw, offsets in text_slices(batch.column(2)):
                 sets = shingle_sets(raw, offsets, words)
                 digests = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 made = [sketch(s, factors, shifts).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
+                        batch.column(1).slice(lo, hi - lo),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digests, pa.binary()),
                         pa.array(made, pa.binary()),
                     ],
-                    names=["_key", "_n", "_set", "_sketch"],
+                    names=["_key", "_name", "_n", "_set", "_sketch"],
                 )
 
-    return docs.mapInArrow(run, "_key long, _n long, _set binary, _sketch binary")
+    return docs.mapInArrow(run, "_key long, _name long, _n long, _set binary, _sketch binary")
 
 
 def grow(nodes: np.ndarray, owners: np.ndarray, values: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,23 +173,27 @@ def compare_pairs(
         "_cell", F.col("_key").alias("a"), F.lit(None).cast("long").alias("b"), "_data"
     )
     rows = sides.union(dealt.select("_cell", "a", "b", F.lit(None).cast("binary").alias("_data")))
-    rows = rows.repartition("_cell").sortWithinPartitions("_cell")
 
     def settle(table: pa.Table) -> pa.RecordBatch:
-        cell, a, b = (table.column(i).to_numpy() for i in (0, 1, 2))
+        cell, a, b = (table.column(i).fill_null(0).to_numpy() for i in (0, 1, 2))
         is_pair = table.column(3).combine_chunks().is_null().to_numpy(zero_copy_only=False)
         docs = np.flatnonzero(~is_pair)
         items = prepare([table.column(3)[i].as_py() for i in docs])
         place = {pair: i for i, pair in enumerate(zip(cell[docs].tolist(), a[docs].tolist()))}
         both = np.flatnonzero(is_pair)
-        right = b[both].astype(np.int64)
         left_at = np.array([place[p] for p in zip(cell[both].tolist(), a[both].tolist())], dtype=np.int64)
-        right_at = np.array([place[p] for p in zip(cell[both].tolist(), right.tolist())], dtype=np.int64)
+        right_at = np.array([place[p] for p in zip(cell[both].tolist(), b[both].tolist())], dtype=np.int64)
         value = score(items, left_at, right_at)
         return pa.RecordBatch.from_arrays(
-            [pa.array(a[both]), pa.array(right), pa.array(value, pa.float64())], names=["a", "b", "value"]
+            [pa.array(a[both]), pa.array(b[both]), pa.array(value, pa.float64())], names=["a", "b", "value"]
         )
 
+    return _by_cells(rows, settle, "a long, b long, value double")
+
+
+def _by_cells(rows: DataFrame, settle: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """Give whole cells of rows (_cell, ...) to ``settle``, many small ones at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows_held = bytes_held = 0
@@ -199,7 +204,7 @@ def compare_pairs(
                 continue
             table = pa.Table.from_batches(held)
             cell = table.column(0).to_numpy()
-            whole = int(np.searchsorted(cell == cell[-1], True))  # rows before the last cell
+            whole = int(np.argmax(cell == cell[-1]))  # rows before the last cell
             if whole:
                 yield settle(table.slice(0, whole))
             held = table.slice(whole).to_batches()
@@ -207,7 +212,7 @@ def compare_pairs(
         if rows_held:
             yield settle(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "a long, b long, value double")
+    return rows.repartition("_cell").sortWithinPartitions("_cell").mapInArrow(run, schema)
 
 
 def _estimate(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -238,22 +243,112 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) ->
     def score(items: list, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         out = np.zeros(len(left))
         for i, (x, y) in enumerate(zip(left.tolist(), right.tolist())):
-            x, y = items[x], items[y]
-            if 100 * min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                out[i] = 100 * shared >= similarity * (len(both) - shared)
+            out[i] = _linked(items[x], items[y], similarity)
         return out
 
     return compare_pairs(pairs, payload, prepare, score).filter(F.col("value") > 0).select("a", "b")
 
 
+def _within_nodes(mixed: DataFrame, reps: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share a node and look similar.
+
+    ``mixed`` has (_node, _key, _size, _part). A node's documents meet in one cell; those of
+    a node that branching could not make small meet in cells of two blocks each.
+    """
+    blocks = F.ceil(F.col("_size") / CELL)
+    own = F.pmod(F.xxhash64("_key"), blocks)
+    dealt = mixed.select("_node", "_key", "_part", own.alias("_own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_x"))
+    cells = dealt.select(
+        F.xxhash64("_node", F.least("_own", "_x"), F.greatest("_own", "_x")).alias("_cell"), "_key", "_part"
+    )
+    rows = cells.join(reps.select("_key", "_sketch"), "_key").select("_cell", "_key", "_part", "_sketch")
+
+    def settle(table: pa.Table) -> pa.RecordBatch:
+        cell, key, part = (table.column(i).to_numpy() for i in (0, 1, 2))
+        items = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint16).reshape(-1, ORDERS)
+        ends = np.searchsorted(cell, cell, side="right")
+        lefts, rights = [], []
+        at = 0
+        while at < len(cell):
+            to = int(np.searchsorted(np.cumsum(ends[at:] - np.arange(at, len(cell))), 1 << 18)) + at + 1
+            mates = ends[at:to] - np.arange(at, min(to, len(cell))) - 1
+            left = np.repeat(np.arange(at, at + len(mates)), mates)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(mates) - mates, mates)
+            differ = part[left] != part[right]
+            left, right = left[differ], right[differ]
+            for lo in range(0, len(left), 8192):
+                i, j = left[lo : lo + 8192], right[lo : lo + 8192]
+                near = (items[i] == items[j]).mean(axis=1) >= ESTIMATE
+                lefts.append(key[i[near]])
+                rights.append(key[j[near]])
+            at += len(mates)
+        a = np.concatenate([np.zeros(0, np.int64), *lefts])
+        b = np.concatenate([np.zeros(0, np.int64), *rights])
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    return _by_cells(rows, settle, "a long, b long").distinct()
+
+
+def _to_components(
+    minors: DataFrame, named: DataFrame, texts: DataFrame, words: int, similarity: int
+) -> DataFrame:
+    """Links (a, b) of documents ``minors`` (a, g) to members of the component g, if any.
+
+    Every document is compared with every member, in cells of at most about CELL documents
+    of either side; a cell gives one confirmed link of a document at most, as more would
+    connect nothing new. ``named`` has (_key, _part) of all members.
+    """
+    wanted = minors.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("_na"))
+    members = named.withColumnRenamed("_part", "g").join(wanted, "g")
+    sizes = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("_nb"))
+    numbered = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_x")
+    left = minors.join(wanted, "g").join(sizes, "g").select(
+        "g", F.pmod(F.xxhash64("a"), F.col("_na")).alias("_i"), numbered("_nb"), F.col("a").alias("_key")
+    ).select(F.xxhash64("g", "_i", "_x").alias("_cell"), F.lit(True).alias("_minor"), "_key")
+    right = members.join(sizes, "g").select(
+        "g", F.pmod(F.xxhash64("_key", F.lit(1)), F.col("_nb")).alias("_j"), numbered("_na"), "_key"
+    ).select(F.xxhash64("g", "_x", "_j").alias("_cell"), F.lit(False).alias("_minor"), "_key")
+    rows = left.union(right).join(texts, "_key").select("_cell", "_minor", "_key", F.col("_text").cast("binary").alias("_data"))
+    factors, shifts = _multipliers()
+
+    def settle(table: pa.Table) -> pa.RecordBatch:
+        cell, key = table.column(0).to_numpy(), table.column(2).to_numpy()
+        minor = table.column(1).combine_chunks().to_numpy(zero_copy_only=False)
+        data = table.column(3).to_pylist()
+        sizes = np.array([len(d) for d in data], dtype=np.int64)
+        sets = shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum(sizes)], words)
+        drawn = np.stack([sketch(s, factors, shifts) for s in sets])
+        found = []
+        for name in np.unique(cell):
+            here = np.flatnonzero(cell == name)
+            ours, theirs = here[minor[here]], here[~minor[here]]
+            for i in ours.tolist():
+                close = (drawn[theirs] == drawn[i]).mean(axis=1)
+                for j in theirs[np.argsort(-close, kind="stable")][: int((close >= ESTIMATE).sum())].tolist():
+                    if _linked(sets[i], sets[j], similarity):
+                        found.append((int(key[i]), int(key[j])))
+                        break
+        a, b = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _by_cells(rows, settle, "a long, b long")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+    """Whether two sorted sets share enough: 100 * shared >= similarity * all."""
+    if 100 * min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= similarity * (len(both) - shared)
+
+
 def similar_components(texts: DataFrame, words: int, similarity: int) -> DataFrame:
-    """(_key, _n, _set, _root) of (_key, _text): set size and the representative's component.
+    """(_key, _name, _n, _root) of (_key, _name, _text): set size and the component.
 
-    Rows of equal sets are represented by their smallest key; ``_root`` is null for a set
-    that is empty.
+    Rows of equal keys must have equal texts. Rows of equal sets are represented by their
+    smallest key; ``_root`` is null for a set that is empty.
     """
     drawn = stored(sketches(texts, words), "sketches")
     # Equal sets have equal sketches, so any one will do.
@@ -261,65 +356,82 @@ def similar_components(texts: DataFrame, words: int, similarity: int) -> DataFra
         drawn.filter(F.col("_n") > 0).groupBy("_set").agg(F.min("_key").alias("_key"), F.first("_sketch").alias("_sketch")),
         "representatives",
     )
-    links_of = lambda pairs: _confirm(pairs, live_texts, words, similarity)
-    roots, live_texts = None, None
+    roots, live = None, None
     frontier = _entries(reps.select("_key", "_sketch"), DEPTH)
     for turn in range(ROUNDS + 1):
-        frontier = frontier if turn == 0 else cut(frontier.distinct())
-        nodes = frontier.groupBy("_node").agg(
-            F.count(F.lit(1)).alias("_size"), F.min("_key").alias("_low"), F.max("_key").alias("_high")
-        ).filter(F.col("_size") > 1)
-        shared = stored(frontier.join(nodes, "_node"), "shared-nodes")
-        if live_texts is None:
-            live_texts = _texts_of(texts, reps, shared.select("_key").distinct())
-        # First each document meets the ends of its nodes: most groups of copies join here.
-        ends = shared.select(F.col("_key").alias("a"), F.explode(F.array("_low", "_high")).alias("b"))
-        ends = ends.filter(F.col("a") != F.col("b")).distinct()
-        ends = with_root(with_root(ends, roots, "a", "_ra"), roots, "b", "g").filter(F.col("_ra") != F.col("g"))
-        close = stored(_estimate(ends.select("a", "b", "g"), reps), "estimates")
-        best = close.groupBy("a").agg(F.max_by("b", F.struct("value", -F.col("b"))).alias("b"))
-        roots = merge_roots(roots, links_of(best.select("a", "b", F.col("b").alias("g"))))
-        # Then nodes that still hold several components are compared within, if they are small.
-        inside = stored(with_root(shared, roots, "_key", "_part").select("_node", "_key", "_size", "_part"), "nodes")
-        split = inside.groupBy("_node").agg(F.min("_part").alias("_p"), F.max("_part").alias("_q"))
-        split = split.filter(F.col("_p") != F.col("_q")).select("_node")
+        nodes = frontier.groupBy("_node").agg(F.count(F.lit(1)).alias("_size"), F.min("_key").alias("_low"))
+        shared = stored(frontier.join(nodes.filter(F.col("_size") > 1), "_node"), "shared-nodes")
+        if live is None:
+            live = _texts_of(texts.select("_key", "_text"), shared.select("_key").distinct())
+        # First each document meets the smallest of its nodes: most groups of copies join here.
+        ends = shared.filter(F.col("_key") != F.col("_low")).select(
+            F.col("_key").alias("a"), F.col("_low").alias("b"), F.col("_low").alias("g")
+        )
+        best = _estimate(ends.distinct(), reps).groupBy("a").agg(
+            F.max_by("b", F.struct("value", F.bitwise_not("b"))).alias("b")
+        )
+        roots = merge_roots(roots, _confirm(best.select("a", "b", F.col("b").alias("g")), live, words, similarity))
+        # Then nodes that still hold several components: small ones are compared exhaustively.
+        before = roots
+        inside = with_root(shared.select("_node", "_key", "_size"), before, "_key", "_part")
+        parts = inside.groupBy("_node", "_part").agg(F.count(F.lit(1)).alias("_n"))
+        split = parts.groupBy("_node").agg(
+            F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_n", F.bitwise_not("_part").alias("_not"))).alias("_top")
+        ).filter(F.col("_parts") > 1).select(
+            "_node", F.col("_top._n").alias("_most"), F.bitwise_not("_top._not").alias("_main")
+        )
         mixed = stored(inside.join(split, "_node"), "mixed-nodes")
-        last = turn == ROUNDS
-        near = mixed if last else mixed.filter(F.col("_size") <= SMALL_NODE)
-        found = _estimate(_crossing(near), reps)
-        rest = with_root(with_root(close, roots, "a", "_ra"), roots, "b", "g").filter(F.col("_ra") != F.col("g"))
-        found = found.select("a", "b").union(rest.select("a", "b")).distinct()
-        found = with_root(found, roots, "b", "g")
-        roots = merge_roots(roots, links_of(found.select("a", "b", "g")))
+        small = mixed if turn == ROUNDS else mixed.filter(F.col("_size") <= SMALL_NODE)
+        near = with_root(_within_nodes(small, reps), before, "b", "g")
+        roots = merge_roots(roots, _confirm(near.select("a", "b", "g"), live, words, similarity))
         large = mixed.filter(F.col("_size") > SMALL_NODE)
-        if last or large.isEmpty():
+        if turn == ROUNDS or large.isEmpty():
             break
-        large = with_root(large.select("_node", "_key"), roots, "_key", "_part")
-        still = large.groupBy("_node").agg(F.min("_part").alias("_p"), F.max("_part").alias("_q"))
-        still = still.filter(F.col("_p") != F.col("_q")).select("_node")
-        onward = large.join(still, "_node").select("_key", "_node").join(reps.select("_key", "_sketch"), "_key")
-        frontier = _entries(onward.select("_key", "_sketch", "_node"), MORE)
+        # In a large node where one component is most of it, the others are compared with all
+        # of that component, and branching goes on without it.
+        dense = F.col("_most") * 2 >= F.col("_size")
+        minors = cut(
+            large.filter(dense & (F.col("_part") != F.col("_main")))
+            .select(F.col("_key").alias("a"), F.col("_main").alias("g")).distinct()
+        )
+        if not minors.isEmpty():
+            named = with_root(reps.select("_key"), before, "_key", "_part")
+            roots = merge_roots(roots, _to_components(minors, named, live, words, similarity))
+        onward = large.filter(~dense | (F.col("_part") != F.col("_main"))).select("_key", "_node")
+        frontier = _entries(onward.join(reps.select("_key", "_sketch"), "_key").select("_key", "_sketch", "_node"), MORE)
     named = with_root(reps.select("_set", "_key"), roots, "_key", "_root").select("_set", "_root")
-    return drawn.select("_key", "_n", "_set").join(named, "_set", "left")
+    return drawn.select("_key", "_name", "_n", "_set").join(named, "_set", "left").drop("_set")
 
 
-def _texts_of(texts: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
+def _texts_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """The texts of representatives that share a node with another; few keys are broadcast."""
     keys = cut(keys)
     few = keys.count() <= BROADCAST_KEYS
     return stored(texts.join(F.broadcast(keys) if few else keys, "_key", "left_semi"), "candidate-texts")
 
 
-def _crossing(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, g) within nodes (_node, _key, _size, _part) that no component joins yet.
+_NO_KEY = -(2**63)
 
-    A document of a node's part meets those of its other parts; nodes come in their final
-    size, small or (in the last round) what further branching could not split.
-    """
-    left = nodes.select("_node", F.col("_key").alias("a"), F.col("_part").alias("_pa"))
-    right = nodes.select("_node", F.col("_key").alias("b"), F.col("_part").alias("g"))
-    pairs = left.join(right, "_node").filter((F.col("_pa") != F.col("g")) & (F.col("a") < F.col("b")))
-    return pairs.select("a", "b", "g").distinct()
+
+def _row_key(docs: DataFrame, key: str, text: str) -> tuple[Column, bool]:
+    """What names a row: the key, or a hash of key and text where keys repeat; and if they do."""
+    name = F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY))
+    repeats = not docs.groupBy(name.alias("_key")).count().filter(F.col("count") > 1).isEmpty()
+    return (F.xxhash64(name, F.coalesce(F.col(text), F.lit(""))) if repeats else name), repeats
+
+
+def _judged(
+    docs: DataFrame, key: str, text: str, words: int, similarity: int
+) -> tuple[DataFrame, Column, bool]:
+    """(_key, _name, _n, _root as the smallest name of the component), and how rows are named."""
+    row, repeats = _row_key(docs, key, text)
+    name = F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY))
+    given = docs.select(row.alias("_key"), name.alias("_name"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    found = similar_components(given, words, similarity)
+    if repeats:
+        least = found.filter(F.col("_root").isNotNull()).groupBy("_root").agg(F.min("_name").alias("_least"))
+        found = found.join(least, "_root", "left").drop("_root").withColumnRenamed("_least", "_root")
+    return found.withColumn("_root", F.coalesce("_root", "_name")), row, repeats
 
 
 def near_duplicates(
@@ -334,31 +446,22 @@ def near_duplicates(
     repeat that key, each of them is. A null key takes part as the smallest and comes back
     as null. An empty table gives no rows; other columns are ignored.
     """
-    lowest = -(2**63)
-    given = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(lowest)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")
-    )
-    found = similar_components(given, words, similarity)
-    back = lambda c: F.when(F.col(c) != lowest, F.col(c)).cast(docs.schema[key].dataType)
-    return found.withColumn("_root", F.coalesce("_root", "_key")).select(
-        back("_key").alias(key),
+    found, _, _ = _judged(docs, key, text, words, similarity)
+    back = lambda c: F.when(F.col(c) != _NO_KEY, F.col(c)).cast(docs.schema[key].dataType)
+    return found.select(
+        back("_name").alias(key),
         F.col("_n").alias("n_shingles"),
         back("_root").alias("component_id"),
-        (F.col("_key") == F.col("_root")).alias("kept"),
+        (F.col("_name") == F.col("_root")).alias("kept"),
     )
 
 
 def keep_representatives(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: int = 80
 ) -> DataFrame:
-    """The rows that ``near_duplicates`` keeps, unchanged; of equal rows under one key, one.
-
-    Rows with a null key stay, unless they repeat one another.
-    """
-    judged = near_duplicates(docs, key=key, text=text, words=words, similarity=similarity)
-    gone = cut(judged.filter(~F.col("kept") & F.col(key).isNotNull()).select(key).distinct())
+    """The rows that ``near_duplicates`` keeps, unchanged; of equal texts under one key, one."""
+    found, row, repeats = _judged(docs, key, text, words, similarity)
+    gone = cut(found.filter(F.col("_name") != F.col("_root")).select(F.col("_key").alias("_gone")).distinct())
     few = gone.count() <= BROADCAST_KEYS
-    left = docs.join(F.broadcast(gone) if few else gone, key, "left_anti").select(*docs.columns)
-    if docs.groupBy(key).count().filter(F.col("count") > 1).isEmpty():
-        return left
-    return left.dropDuplicates([key, text])
+    left = docs.join(F.broadcast(gone) if few else gone, row == F.col("_gone"), "left_anti")
+    return left.dropDuplicates([key, text]) if repeats else left

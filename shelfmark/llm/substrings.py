@@ -19,10 +19,10 @@ from pyspark.sql import types as T
 from .storage import cut
 from .words import find_words, hash_words, mix64, text_slices
 
-RUN_WORDS = 5  # words of the runs that minimisers are chosen from
+RUN_WORDS = 4  # words of the runs that minimisers are chosen from
 LONGEST = 64  # windows of one packed string
-BUCKET_BYTES = 32 << 20  # packed text that a bucket holds on average
-FLUSH_BYTES = 48 << 20  # packed text that a task gathers before it writes
+BUCKET_BYTES = 12 << 20  # packed text that a bucket holds on average
+FLUSH_BYTES = 32 << 20  # packed text that a task gathers before it writes
 KNOWN_STRINGS = 20_000  # repeated strings that a task remembers
 HOT_FACTOR = 8  # a cell is hot from so many times the mean count
 _NULL_KEY = -(2**63)
@@ -284,7 +284,7 @@ def _pack_block(parts: list[tuple]) -> bytes:
     key, start, words, text = (np.concatenate(c) for c in zip(*parts))
     head = np.array([len(key)], np.int64).tobytes()
     body = head + key.tobytes() + start.astype(np.int32).tobytes() + words.astype(np.int32).tobytes() + text.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    return zstandard.ZstdCompressor(level=3).compress(body)
 
 
 def _open_blocks(blocks: list[bytes]) -> tuple[np.ndarray, ...]:
