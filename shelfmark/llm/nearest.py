@@ -1,6 +1,6 @@
 """Nearest neighbours by inner product, over randomly rotated one-bit codes.
 
-A vector is centred, rotated at random and kept as the signs of its components, with a few
+A vector is centred, rotated at random and kept as the signs of its components, with two
 correction scalars. The inner product of a query with such a code is an unbiased estimate
 with a known error bound; only vectors whose upper bound reaches a query's best lower
 bounds are compared exactly.
@@ -19,7 +19,6 @@ from pyspark.sql.window import Window
 
 from .storage import stored
 
-QUERY_BITS = 8
 DATA_BLOCK = 16_384
 QUERY_BLOCK = 2_048
 BLOCK_NUMBERS = 8 << 20  # components that a block of long vectors holds at most
@@ -31,59 +30,43 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda v: v != 0)
 
 
-def rotation(dimensions: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix, the same for the same seed."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dimensions, dimensions)))
-    return q * np.sign(np.diag(r))
+def rotation(dimensions: int, bits: int, seed: int) -> np.ndarray:
+    """A random rotation into ``bits`` dimensions (rows orthonormal), the same for the same seed.
 
-
-def _packed(bits: np.ndarray) -> np.ndarray:
-    """Rows of booleans as rows of 64-bit words."""
-    pad = -bits.shape[1] % 64
-    wide = np.pad(bits, ((0, 0), (0, pad)))
-    return np.packbits(wide, axis=1, bitorder="little").view(np.uint64)
+    More bits than dimensions amount to a vector padded with zeros before it is rotated; the
+    error of an estimate falls with the square root of the bits.
+    """
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, dimensions)))
+    return (q * np.sign(np.diag(r))).T
 
 
 class Codes:
-    """One-bit codes of a block of vectors around a centre."""
+    """One-bit codes of a block of vectors around a centre: packed signs and two scalars."""
 
     def __init__(self, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray):
         centred = vectors - centre
-        self.norms = np.sqrt((centred * centred).sum(axis=1))
-        units = centred / np.where(self.norms > 0, self.norms, 1)[:, None]
-        turned = units @ turn
-        bits = turned > 0
-        self.size = vectors.shape[1]
-        self.words = _packed(bits)
-        self.ones = bits.sum(axis=1)
+        norms = np.sqrt((centred * centred).sum(axis=1))
+        turned = (centred / np.where(norms > 0, norms, 1)[:, None]) @ turn
+        self.size = turn.shape[1]
+        self.bits = np.packbits(turned > 0, axis=1)
         # How far the code points the vector's way: 1 for a perfect code, about 0.8 otherwise.
-        self.fit = np.maximum(np.abs(turned).sum(axis=1) / np.sqrt(self.size), 1e-9)
-        spread = np.maximum(1 - self.fit**2, 0)
-        self.error = self.norms * np.sqrt(spread) / self.fit / np.sqrt(max(self.size - 1, 1))
+        fit = np.maximum(np.abs(turned).sum(axis=1) / np.sqrt(self.size), 1e-9)
+        self.scale = norms / fit / np.sqrt(self.size)
+        self.error = norms * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(max(self.size - 1, 1))
+
+    def signs(self) -> np.ndarray:
+        """The unpacked codes as +1 and -1."""
+        return np.unpackbits(self.bits, axis=1, count=self.size).astype(np.float32) * 2 - 1
 
-    def estimates(self, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(estimates, error unit) of the inner products, a row per query.
+    def estimates(self, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, signs: np.ndarray) -> np.ndarray:
+        """Unbiased estimates of the inner products, a row per query.
 
-        The rotated query is rounded to 8-bit levels; its product with a code is then a
-        weighted sum of bit counts, one for each of the levels' bits.
+        The error of a vector's estimate is about normal, of ``error`` times the query's length.
         """
-        turned = queries @ turn
-        low = turned.min(axis=1)
-        step = np.maximum((turned.max(axis=1) - low) / (2**QUERY_BITS - 1), 1e-300)
-        levels = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint16)
-        shared = np.zeros((len(queries), len(self.norms)), dtype=np.int32)
-        for bit in range(QUERY_BITS):
-            plane = _packed((levels >> bit & 1).astype(bool))
-            for word in range(plane.shape[1]):
-                both = np.bitwise_count(plane[:, word, None] & self.words[None, :, word])
-                shared += both.astype(np.int32) << bit
-        total = levels.sum(axis=1, dtype=np.int64)
-        # sum of sign * value, with value = low + step * level and sign = 2 * bit - 1
-        signed = low[:, None] * (2 * self.ones - self.size)[None] + step[:, None] * (2 * shared - total[:, None])
-        cosine = signed / np.sqrt(self.size) / self.fit
-        length = np.sqrt((queries * queries).sum(axis=1))
-        rounding = step[:, None] * 0.5 * np.sqrt(self.size) / self.fit * self.norms
-        return (queries @ centre)[:, None] + self.norms * cosine, length[:, None] * self.error + rounding / 4
+        found = (queries @ turn).astype(np.float32) @ signs.T
+        found *= self.scale.astype(np.float32)
+        found += (queries @ centre).astype(np.float32)[:, None]
+        return found
 
 
 def exact_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -100,28 +83,38 @@ def search_block(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest vectors of a block to each query: (query row, vector row, score)."""
     codes = Codes(vectors, centre, turn)
+    signs, error = codes.signs(), codes.error.astype(np.float32)
+    order = np.argsort(ids, kind="stable")
+    in_order = ids[order]
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for lo in range(0, len(queries), 64):
-        q, names = queries[lo : lo + 64], query_ids[lo : lo + 64]
-        estimate, unit = codes.estimates(q, centre, turn)
-        own = names[:, None] == ids[None]
-        lower = np.where(own, -np.inf, estimate - errors * unit)
-        upper = np.where(own, -np.inf, estimate + errors * unit)
-        n = lower.shape[1]
-        floor = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
-        # The exact scores of the best estimates raise the floor that the rest must reach.
+    for lo in range(0, len(queries), 32):
+        q, names = queries[lo : lo + 32], query_ids[lo : lo + 32]
+        rows, n = len(q), len(ids)
+        estimate = codes.estimates(q, centre, turn, signs)
+        # A row with the query's own key takes no part.
+        a, b = np.searchsorted(in_order, names), np.searchsorted(in_order, names, side="right")
+        own = np.repeat(np.arange(rows), b - a), order[np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange((b - a).sum())]
+        estimate[own] = -np.inf
+        # The exact scores of the best estimates are the floor that upper bounds must reach.
         first = min(4 * k, n)
-        best = np.argpartition(np.where(own, -np.inf, estimate), n - first, axis=1)[:, n - first :]
-        rows = np.repeat(np.arange(len(q)), first)
-        score = exact_products(q[rows], vectors[best.ravel()]).reshape(len(q), first)
-        score = np.where(np.take_along_axis(own, best, 1), -np.inf, score)
-        if first > k:
-            floor = np.maximum(floor, np.partition(score, first - k, axis=1)[:, first - k])
-        row, at = np.nonzero((upper >= floor[:, None]) & ~own)
+        best = np.argpartition(estimate, n - first, axis=1)[:, n - first :]
+        score = exact_products(np.repeat(q, first, axis=0), vectors[best.ravel()]).reshape(rows, first)
+        score[np.isneginf(np.take_along_axis(estimate, best, 1))] = -np.inf
+        floor = np.partition(score, first - k, axis=1)[:, first - k] if first > k else np.full(rows, -np.inf)
+        length = np.sqrt((q * q).sum(axis=1)).astype(np.float32)
+        slack = np.float32(1e-5) * (np.abs(floor) + 1)  # for the rounding of the estimates
+        upper = estimate + (np.float32(errors) * length)[:, None] * error
+        row, at = np.nonzero(upper >= np.where(np.isfinite(floor), floor - slack, -3e38)[:, None])
+        rough = np.concatenate(
+            [np.zeros(0)] + [np.einsum("ij,ij->i", q[row[i : i + 8192]], vectors[at[i : i + 8192]])
+                             for i in range(0, len(row), 8192)]
+        )
+        near = rough >= np.where(np.isfinite(floor), floor - slack, -np.inf)[row]
+        row, at = row[near], at[near]
         score = exact_products(q[row], vectors[at])
-        order = np.lexsort((ids[at], -score, row))
-        row, at, score = row[order], at[order], score[order]
-        head = np.searchsorted(row, np.arange(len(q)))
+        by_score = np.lexsort((ids[at], -score, row))
+        row, at, score = row[by_score], at[by_score], score[by_score]
+        head = np.searchsorted(row, np.arange(rows))
         keep = np.arange(len(row)) - head[row] < k
         found.append((row[keep] + lo, at[keep], score[keep]))
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int),) * 2 + (np.zeros(0),)
@@ -134,13 +127,14 @@ def nearest_by_product(
     key: str = "vec_id",
     vector: str = "embedding",
     k: int = 20,
+    bits: int | None = None,
     errors: float = 4.0,
     seed: int = 7,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k vectors of the largest inner product.
 
-    ``errors`` is the width of the bound in units of the codes' error; the default misses
-    a neighbour practically never. Null, empty, zero and non-finite vectors take no part,
+    A code has ``bits`` bits, by default four for each dimension. ``errors`` is the width of
+    the bound in units of the codes' error; the default misses a neighbour practically never. Null, empty, zero and non-finite vectors take no part,
     nor does a row with the query's own key; vectors are compared with those of their own
     length. Ties go to the smaller key; repeated rows count as rows. Blocks of vectors meet
     blocks of queries, each pair as one task's work, so nothing is broadcast and no pair of
@@ -158,7 +152,7 @@ def nearest_by_product(
     for n in sorted(set(sizes) & set(n_asked)):
         own, wanted = data.filter(F.col("_n") == n), asked.filter(F.col("_n") == n)
         centre = np.array(own.agg(*[F.avg(F.col("_v")[i]) for i in range(n)]).first(), dtype=np.float64)
-        part = _search(own, wanted, sizes[n], n_asked[n], centre, rotation(n, seed), k, errors)
+        part = _search(own, wanted, sizes[n], n_asked[n], centre, rotation(n, max(bits or 4 * n, n), seed), k, errors)
         out = part if out is None else out.unionByName(part)
     schema = "query_id long, rank int, vec_id long, score double"
     if out is None:

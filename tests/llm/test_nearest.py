@@ -64,9 +64,11 @@ def test_fewer_candidates_than_asked_and_none(spark):
 def test_estimates_stay_within_their_bounds():
     rng = np.random.default_rng(3)
     vectors, queries = rng.normal(size=(2000, 64)) + 1, rng.normal(size=(50, 64))
-    centre, turn = vectors.mean(axis=0), rotation(64, 1)
-    estimate, unit = Codes(vectors, centre, turn).estimates(queries, centre, turn)
-    off = np.abs(estimate - queries @ vectors.T) / unit
-    assert (off > 4).mean() < 1e-3
-    assert abs((estimate - queries @ vectors.T).mean()) < 0.05
-    assert Codes(vectors, centre, turn).words.nbytes == 2000 * 8
+    centre, turn = vectors.mean(axis=0), rotation(64, 256, 1)
+    codes = Codes(vectors, centre, turn)
+    estimate = codes.estimates(queries, centre, turn, codes.signs())
+    unit = codes.error * np.sqrt((queries**2).sum(axis=1))[:, None]
+    off = (estimate - queries @ vectors.T) / unit
+    assert (np.abs(off) > 4).mean() < 1e-3
+    assert abs(off.mean()) < 0.05 and 0.5 < off.std() < 1.5
+    assert codes.bits.nbytes == 2000 * 32
