@@ -17,7 +17,9 @@ QUERIES, ORACLES = {}, {}
 
 
 def array_statistics(spark, sf_dir):
-    stats = sm.array_statistics(table(spark, sf_dir, "embeddings"), "embedding")
+    """Each vector twenty times over: arrays of more than a thousand elements."""
+    long = F.flatten(F.array_repeat("embedding", 20))
+    stats = sm.array_statistics(table(spark, sf_dir, "embeddings").withColumn("embedding", long), "embedding")
     return stats.select("vec_id", *[F.round(n, 6).alias(n) for n in ("min", "max", "mean", "std")])
 
 
@@ -40,7 +42,7 @@ ORACLES["dataset_totals"] = """SELECT label, count(*) AS total_datasets,
   CAST(sum(len(embedding) * 4) AS BIGINT) AS total_size_bytes FROM embeddings GROUP BY label"""
 
 QUERIES["list_hierarchy"] = lambda spark, sf_dir: sm.list_hierarchy(
-    view(spark, sf_dir, "files"), max_depth=2, per_group=10
+    view(spark, sf_dir, "files")
 )
 ORACLES["list_hierarchy"] = with_views(
     """, parts AS (
@@ -52,9 +54,9 @@ nodes AS (
 children AS (SELECT parent, count(*) AS num_items FROM nodes GROUP BY parent),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY item) AS rn FROM nodes WHERE leaf)
 SELECT item, parent, 'group' AS type, CAST(depth AS BIGINT) AS depth, num_items
-FROM nodes JOIN children c ON c.parent = nodes.item WHERE NOT leaf AND depth <= 2
+FROM nodes JOIN children c ON c.parent = nodes.item WHERE NOT leaf
 UNION ALL
-SELECT item, parent, 'dataset', CAST(depth AS BIGINT), NULL FROM ranked WHERE rn <= 10 AND depth <= 2""".replace(
+SELECT item, parent, 'dataset', CAST(depth AS BIGINT), NULL FROM ranked""".replace(
         "JOIN children c ON c.parent = nodes.item",
         "JOIN (SELECT parent AS of_item, num_items FROM children) c ON c.of_item = nodes.item",
     ),
@@ -189,7 +191,7 @@ QUERIES["page_text_stats"] = lambda spark, sf_dir: sm.page_text_stats(
 ORACLES["page_text_stats"] = rf"""SELECT conv_id,
   CASE WHEN length(text) > 10000 THEN substr(text, 1, 10000) || '...' ELSE text END AS text_preview,
   len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS word_count, length(text) AS char_count
-FROM {_JOINED}"""
+FROM (SELECT conv_id, string_agg(text || chr(10) || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"""
 
 QUERIES["any_in_first_pages"] = lambda spark, sf_dir: sm.any_in_first_pages(
     table(spark, sf_dir, "conversations").withColumn("long", F.length("text") > 400),

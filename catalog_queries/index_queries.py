@@ -118,12 +118,14 @@ ORACLES["publish_summary"] = with_views(
     "files",
 )
 
+# A document of the plain listing (not below .cache); labelled ones have an old and a new entry.
+_SOUGHT = "file:///src1/en/doc_1.md"
 QUERIES["get_entry"] = lambda spark, sf_dir: _flat(
-    sm.get_entry(_new_entries(spark, sf_dir).unionByName(_old_entries(spark, sf_dir)), "file:///src0/en/doc_0.txt")
+    sm.get_entry(_new_entries(spark, sf_dir).unionByName(_old_entries(spark, sf_dir)), _SOUGHT)
 )
 ORACLES["get_entry"] = _entry_sql(
     """SELECT * FROM (SELECT * FROM old_entries UNION ALL SELECT * FROM new_entries)
-WHERE subject = 'file:///src0/en/doc_0.txt'"""
+WHERE subject = '""" + _SOUGHT + "'"
 )
 
 QUERIES["index_stats"] = lambda spark, sf_dir: sm.index_stats(

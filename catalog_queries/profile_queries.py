@@ -84,10 +84,10 @@ ORACLES["json_structure"] = with_views(
   CASE p_partkey % 7 WHEN 0 THEN 'object' WHEN 1 THEN 'array' WHEN 2 THEN 'string'
        WHEN 3 THEN 'number' WHEN 6 THEN 'object' END AS type,
   CASE WHEN valid AND json_type(j) = 'OBJECT' THEN len(json_keys(j)) END AS key_count,
-  CASE WHEN valid AND json_type(j) = 'OBJECT' THEN array_to_string(json_keys(j)[1:5], ',') END AS sample_keys,
+  CASE WHEN valid AND json_type(j) = 'OBJECT' THEN array_to_string(json_keys(j), ',') END AS sample_keys,
   CASE WHEN valid AND json_type(j) = 'ARRAY' THEN CAST(json_array_length(j) AS BIGINT)
        WHEN valid AND json_type(j) = 'VARCHAR' THEN length(j ->> '$') END AS length,
-  CASE WHEN p_partkey % 7 = 1 THEN 'array,boolean,number,object,string' END AS item_types
+  CASE WHEN p_partkey % 7 = 1 THEN 'array,boolean,null,number,object,string' END AS item_types
 FROM (SELECT p_partkey, json_valid(content) AS valid,
              CASE WHEN json_valid(content) THEN CAST(content AS JSON) END AS j FROM json_rows)""",
     "json_rows",

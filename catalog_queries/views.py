@@ -46,7 +46,7 @@ FROM part""",
        CASE p_partkey % 7
          WHEN 0 THEN '{"id": ' || p_partkey || ', "brand": "' || p_brand
                      || '", "dims": {"size": ' || p_size || ', "tags": ["a", "b}"]}, "none": null}'
-         WHEN 1 THEN '[' || p_partkey || ', true, "' || p_name || '", {"k": [' || p_size || ']}, []]'
+         WHEN 1 THEN '[' || p_partkey || ', true, "' || p_name || '", {"k": [' || p_size || ']}, [], null]'
          WHEN 2 THEN '"' || p_name || '"'
          WHEN 3 THEN '' || p_partkey
          WHEN 4 THEN '{"id": ' || p_partkey || '} trailing'

@@ -83,14 +83,8 @@ EXIF_FIELDS = {
 
 # Default limits that are part of the output's meaning.
 PREVIEW_CHARS = 1000
-TEXT_SAMPLE_CHARS = 10_000
-DOCUMENT_CHARS = 10_000_000
 PAGE_PREVIEW_CHARS = 10_000
-SAMPLE_KEYS = 5
 KEYWORDS_PER_FILE = 10
-ARRAY_STATISTICS_LIMIT = 1000
-HIERARCHY_DEPTH = 3
-ITEMS_PER_GROUP = 10
 ATTRIBUTES_PER_ITEM = 20
 DOMINANT_VALUES = 5
 TEXT_PAGES = 5

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..fixed_values import ARRAY_STATISTICS_LIMIT, ATTRIBUTES_PER_ITEM
+from ..fixed_values import ATTRIBUTES_PER_ITEM
 from .binding import let
 
 
-def array_statistics(values: Column, max_len: int = ARRAY_STATISTICS_LIMIT) -> Column:
+def array_statistics(values: Column, max_len: int | None = None) -> Column:
     """min, max, mean and population standard deviation of a numeric array.
 
-    Null for empty arrays and for arrays of ``max_len`` elements or more.
+    Null for empty arrays and, where it is given, for arrays of ``max_len`` elements or more.
     """
     doubles = F.transform(values, lambda x: x.cast("double"))
     add = lambda acc, x: acc + x
@@ -32,7 +32,8 @@ def array_statistics(values: Column, max_len: int = ARRAY_STATISTICS_LIMIT) -> C
         )
 
     size = F.size(values)
-    return F.when((size > 0) & (size < max_len), let(doubles, spread))
+    wanted = size > 0 if max_len is None else (size > 0) & (size < max_len)
+    return F.when(wanted, let(doubles, spread))
 
 
 def limit_attributes(attributes: Column, n: int = ATTRIBUTES_PER_ITEM) -> Column:

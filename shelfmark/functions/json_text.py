@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..fixed_values import SAMPLE_KEYS
-
 TYPE_NAMES = {
     "{": "object",
     "[": "array",
@@ -52,27 +50,42 @@ def root_keys(content: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def sample_item_types(content: Column, n: int = SAMPLE_KEYS) -> Column:
-    """Sorted distinct type names of the first ``n`` items of an array."""
-    parsed = F.try_parse_json(content)
-    items = F.array(*[F.try_variant_get(parsed, f"$[{i}]", "variant") for i in range(n)])
-    names = F.transform(items, lambda item: _type_of(F.to_json(item)))
+def item_types(content: Column, n: int | None = None) -> Column:
+    """Sorted distinct type names of all items of an array, or of the first ``n``."""
+    items = F.from_json(content, "array<variant>")
+    if n is not None:
+        items = F.slice(items, 1, n)
+    names = F.transform(items, lambda item: _type_of(F.coalesce(F.to_json(item), F.lit("null"))))
     return F.array_sort(F.array_distinct(F.array_compact(names)))
 
 
-def structure(content: Column) -> Column:
-    """Root type with key count and first keys, or length and item types, or length."""
+# What Spark's JSON parser accepts, in levels of nesting and digits of a number.
+PARSER_DEPTH = 1000
+PARSER_DIGITS = 1000
+
+
+def beyond_parser(content: Column) -> Column:
+    """Whether a text nests deeper, or has a longer number, than the parser takes; a text of
+    which it refuses to read is then not known to be invalid."""
+    return (depth(content) >= PARSER_DEPTH) | content.rlike(rf"\d{{{PARSER_DIGITS - 10}}}")
+
+
+def structure(content: Column, sample: int | None = None) -> Column:
+    """Root type with key count and keys, or length and item types, or length.
+
+    ``sample`` restricts the keys listed and the items looked at to the first ones.
+    """
     kind = root_type(content)
     keys = root_keys(content)
     return F.struct(
         kind.alias("type"),
         F.when(kind == "object", F.size(keys)).cast("long").alias("key_count"),
-        F.when(kind == "object", F.slice(keys, 1, SAMPLE_KEYS)).alias("sample_keys"),
+        F.when(kind == "object", keys if sample is None else F.slice(keys, 1, sample)).alias("sample_keys"),
         F.when(kind == "array", F.json_array_length(content))
         .when(kind == "string", F.length(F.try_variant_get(F.try_parse_json(content), "$", "string")))
         .cast("long")
         .alias("length"),
-        F.when(kind == "array", sample_item_types(content)).alias("sample_item_types"),
+        F.when(kind == "array", item_types(content, sample)).alias("sample_item_types"),
     )
 
 

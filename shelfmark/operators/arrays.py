@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..fixed_values import ARRAY_STATISTICS_LIMIT, HIERARCHY_DEPTH, ITEMS_PER_GROUP
 from ..functions import arrays as af
 
 # Bytes per element.
@@ -16,7 +15,7 @@ ELEMENT_WIDTH = {
 
 
 def array_statistics(
-    df: DataFrame, column: str, max_len: int = ARRAY_STATISTICS_LIMIT
+    df: DataFrame, column: str, max_len: int | None = None
 ) -> DataFrame:
     """Add ``min``, ``max``, ``mean`` and population ``std`` of an array column."""
     stats = df.withColumn("__stats", af.array_statistics(F.col(column), max_len))
@@ -55,14 +54,15 @@ def dataset_totals(df: DataFrame, container: str, size_bytes: str = "size_bytes"
 
 def list_hierarchy(
     items: DataFrame,
-    max_depth: int = HIERARCHY_DEPTH,
-    per_group: int = ITEMS_PER_GROUP,
+    max_depth: int | None = None,
+    per_group: int | None = None,
     path: str = "path",
 ) -> DataFrame:
-    """Groups and leaves of a tree of ``/``-separated paths down to a depth.
+    """Groups and leaves of a tree of ``/``-separated paths.
 
-    One row per listed item: ``item, parent, type, depth, num_items``. A group lists all
-    its groups but at most ``per_group`` leaves, in name order; ``num_items`` counts all
+    One row per listed item: ``item, parent, type, depth, num_items``. All are listed by
+    default; ``max_depth`` leaves out what lies deeper and ``per_group`` lists that many
+    leaves of a group, in name order (its groups all the same); ``num_items`` counts all
     children of a group. Leaves shrink to one row per directory before directories are
     expanded into their ancestors, and the per-group cap is applied before the shuffle.
     """
@@ -76,24 +76,25 @@ def list_hierarchy(
 
     # Leaves, at most ``per_group`` of each parent.
     by_name = Window.partitionBy("parent").orderBy("item")
-    listed = (
-        leaves.where(F.col("depth") <= max_depth)
-        .withColumn("__rank", F.row_number().over(by_name))
-        .where(F.col("__rank") <= per_group)
-        .select(
-            "item", "parent", F.lit("dataset").alias("type"), F.col("depth").cast("long"),
-            F.lit(None).cast("long").alias("num_items"),
+    listed = leaves if max_depth is None else leaves.where(F.col("depth") <= max_depth)
+    if per_group is not None:
+        listed = listed.withColumn("__rank", F.row_number().over(by_name)).where(
+            F.col("__rank") <= per_group
         )
+    listed = listed.select(
+        "item", "parent", F.lit("dataset").alias("type"), F.col("depth").cast("long"),
+        F.lit(None).cast("long").alias("num_items"),
     )
 
     # Directories with the number of leaves directly in them; their ancestors have none.
     own = leaves.groupBy("parent").agg(F.count("*").alias("n_leaves"))
     steps = F.split("parent", "/", -1)
     prefix = lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/")
+    deepest = F.size(steps) if max_depth is None else F.least(F.size(steps), F.lit(max_depth + 2))
     spread = own.where(F.col("parent") != "").select(
         F.explode(
             F.transform(
-                F.sequence(F.lit(1), F.least(F.size(steps), F.lit(max_depth + 2))),
+                F.sequence(F.lit(1), deepest),
                 lambda i: F.struct(
                     prefix(i).alias("item"),
                     F.when(i == F.size(steps), F.col("n_leaves")).otherwise(0).alias("n_leaves"),
@@ -124,5 +125,7 @@ def list_hierarchy(
         F.lit("group").alias("type"),
         depth.alias("depth"),
         "num_items",
-    ).where(F.col("depth") <= max_depth)
+    )
+    if max_depth is not None:
+        listed_groups = listed_groups.where(F.col("depth") <= max_depth)
     return listed_groups.unionByName(listed)

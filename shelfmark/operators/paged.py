@@ -37,21 +37,40 @@ def join_first_pages(
 
 
 def page_text_stats(
-    pages: DataFrame, doc: str, page_no: str, text: str = "text", n: int = TEXT_PAGES
+    pages: DataFrame, doc: str, page_no: str, text: str = "text", n: int | None = None
 ) -> DataFrame:
-    """Preview (cut at 10,000 characters, then ``...``), words and characters of the first
-    ``n`` pages."""
-    joined = join_first_pages(pages, doc, page_no, text, n)
-    whole = F.col("text")
+    """Preview (cut at 10,000 characters, then ``...``), words and characters of all pages,
+    or of the first ``n``; each page with text counts with the blank line behind it.
+
+    Words and characters are summed from the pages, and only the pages that the preview
+    needs are joined. A document without text has an empty preview and no words.
+    """
+    if n is not None:
+        pages = _first_pages(pages, doc, page_no, n).drop("__rank")
+    size = F.coalesce(F.length(text) + len(PAGE_BREAK), F.lit(0))
+    before = Window.partitionBy(doc).orderBy(page_no).rowsBetween(Window.unboundedPreceding, -1)
+    shown = (
+        pages.select(doc, page_no, F.col(text).alias("__text"), size.alias("__size"))
+        .withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+        .where(F.col("__before") <= PAGE_PREVIEW_CHARS)
+    )
+    ordered = F.array_sort(
+        F.collect_list(F.when(F.col("__text").isNotNull(), F.struct("__before", page_no, "__text")))
+    )
+    start = shown.groupBy(doc).agg(
+        F.array_join(F.transform(ordered, lambda p: F.concat(p["__text"], F.lit(PAGE_BREAK))), "").alias("__start")
+    )
+    totals = pages.groupBy(doc).agg(
+        F.coalesce(F.sum(tf.word_count(F.col(text))), F.lit(0)).alias("word_count"),
+        F.sum(size).alias("char_count"),
+    )
     preview = F.when(
-        F.length(whole) > PAGE_PREVIEW_CHARS,
-        F.concat(F.substring(whole, 1, PAGE_PREVIEW_CHARS), F.lit("...")),
-    ).otherwise(whole)
-    return joined.where(whole != "").select(
-        doc,
-        preview.alias("text_preview"),
-        tf.word_count(whole).alias("word_count"),
-        tf.char_count(whole).alias("char_count"),
+        F.col("char_count") > PAGE_PREVIEW_CHARS,
+        F.concat(F.substring("__start", 1, PAGE_PREVIEW_CHARS), F.lit("...")),
+    ).otherwise(F.col("__start"))
+    named = start.withColumnRenamed(doc, "__doc")
+    return totals.join(named, F.col(doc).eqNullSafe(F.col("__doc"))).select(
+        doc, preview.alias("text_preview"), "word_count", "char_count"
     )
 
 

@@ -5,19 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import PREVIEW_CHARS, SAMPLE_KEYS
+from ..fixed_values import PREVIEW_CHARS
 from ..functions import json_text as jt
 from ..functions.arrow import map_texts
 
 JSON_ERROR = "not a single valid JSON value"
+NOT_JUDGED = "deeper nesting or longer numbers than the parser takes; not judged"
 TRUNCATED = "text is longer than the limit and was not parsed"
 
 
 def json_validity(df: DataFrame, content: str = "content") -> DataFrame:
-    """Add ``json_valid`` and, for invalid texts, ``json_error``."""
-    valid = jt.is_valid_json(F.col(content))
-    return df.withColumn("json_valid", valid).withColumn(
-        "json_error", F.when(~F.col("json_valid"), F.lit(JSON_ERROR))
+    """Add ``json_valid`` and, for invalid texts, ``json_error``.
+
+    A text that only the parser's size limits keep from being read is not judged:
+    ``json_valid`` is null and the error says so.
+    """
+    text = F.col(content)
+    judged = F.when(text.isNull(), F.lit(False)).otherwise(json_judgement(text))
+    return df.withColumn("json_valid", judged).withColumn(
+        "json_error", _json_error(text, F.col("json_valid"), F.lit(False))
+    )
+
+
+def _json_error(content: Column, valid: Column, too_long: Column) -> Column:
+    return (
+        F.when(too_long, F.lit(TRUNCATED))
+        .when(~valid, F.lit(JSON_ERROR))
+        .when(content.isNotNull() & valid.isNull(), F.lit(NOT_JUDGED))
     )
 
 
@@ -25,7 +39,7 @@ def _json_fields(content: Column, valid: Column, too_long: Column) -> dict[str,
     """The JSON fields; ``valid`` is null for a text that is too long to be judged."""
     return {
         "json_valid": valid,
-        "json_error": F.when(too_long, F.lit(TRUNCATED)).when(~valid, F.lit(JSON_ERROR)),
+        "json_error": _json_error(content, valid, too_long),
         "json_truncated": too_long,
         "json_structure": F.when(valid, jt.structure(content)),
         "json_root_keys": F.when(valid, jt.root_keys(content)),
@@ -40,9 +54,11 @@ def _too_long(content: Column, max_chars: int | None) -> Column:
 
 
 def json_judgement(content: Column, max_chars: int | None = None) -> Column:
-    """Is the text valid JSON? Null for null and for a text longer than ``max_chars``."""
+    """Is the text valid JSON? Null for null, for a text longer than ``max_chars`` and for
+    one that only the parser's limits of depth and digits keep from being read."""
     known = content.isNotNull() & ~_too_long(content, max_chars)
-    return F.when(known, jt.is_valid_json(content))
+    valid = jt.is_valid_json(content)
+    return F.when(known, F.when(valid, valid).when(~jt.beyond_parser(content), valid))
 
 
 def json_struct(content: Column, valid: Column, max_chars: int | None = None) -> Column:
@@ -135,11 +151,11 @@ def _yaml_record(text: str) -> dict:
         keys = [str(k) for k in value] if kind == "mapping" else []
         shape = {"type": kind}
         if kind == "mapping":
-            shape.update(key_count=len(keys), sample_keys=keys[:SAMPLE_KEYS])
+            shape.update(key_count=len(keys), sample_keys=keys)
         elif kind == "sequence":
             shape.update(
                 length=len(value),
-                sample_item_types=sorted({_yaml_kind(v) for v in value[:SAMPLE_KEYS]}),
+                sample_item_types=sorted({_yaml_kind(v) for v in value}),
             )
         elif kind == "string":
             shape.update(length=len(value))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import delimited, paths, values
-from ..functions.binding import let
+from ..functions import json_text as jt
 from . import quantiles
 
 STATISTICS = ["count", "null_count", "min", "max", "mean", "median"]
@@ -182,52 +182,37 @@ def file_cells(
 ) -> DataFrame:
     """Cells of tabular files held in a column: ``path, column_no, column, row_no, text``.
 
-    ``.json`` files are arrays of objects whose first object names the columns (any other
-    JSON has no cells); ``.csv`` files are split at commas and others at tabs, and their
-    first record names the columns. Row 0 stands for the header, so that a file without
-    data rows keeps its columns; a record that is too short has missing cells. All rows
+    ``.json`` files are valid arrays all of whose items are objects; the first one names the
+    columns (any other JSON has no cells). ``.csv`` files are cut at commas and others at
+    tabs, and their first row names the columns. Row 0 stands for the header, so that a file
+    without data rows keeps its columns; a row that is too short has missing cells. All rows
     are read unless a sample is asked for.
     """
     text, suffix = F.col(content), paths.extension(F.col("path"))
     separator = F.when(suffix == ".csv", ",").otherwise("\t")
-    objects = F.when(
-        text.rlike(r"^\s*\[\s*\{"),
-        F.concat(F.array(F.lit(None).cast("string")), F.from_json(text, "array<string>")),
-    )
-    split = files.select(
+    is_json = suffix == ".json"
+    objects = F.from_json(F.when(is_json & is_record_array(text), text), "array<map<string,string>>")
+    cut = files.select(
         "path",
-        suffix.alias("suffix"),
-        F.when(suffix == ".json", objects).otherwise(delimited.records(text)).alias("records"),
+        is_json.alias("is_json"),
+        objects.alias("objects"),
+        delimited.table_rows(F.when(~is_json, text), separator).alias("table"),
     )
-    is_json = F.col("suffix") == ".json"
-    first_object = F.from_json(F.get("records", F.lit(1)), "map<string,string>")
-    named = split.withColumn(
-        "header",
-        F.when(is_json, F.map_keys(first_object)).otherwise(
-            delimited.cells(F.get("records", F.lit(0)), separator)
-        ),
+    header = F.when(F.col("is_json"), F.map_keys(F.get("objects", F.lit(0)))).otherwise(F.get("table", F.lit(0)))
+    named = cut.withColumn("header", header)
+    by_name = F.transform(
+        "objects", lambda m: F.transform("header", lambda name: F.try_element_at(m, name))
     )
-    # Outer generators: the plain ones let Spark derive filters that parse once more.
+    body = F.when(F.col("is_json"), by_name).otherwise(F.slice("table", F.lit(2), F.greatest(F.size("table"), F.lit(1))))
+    if sample_rows is not None:
+        body = F.slice(body, 1, sample_rows)
+    blank = F.array(F.lit(None).cast("array<string>"))
+    # Outer generators: the plain ones let Spark derive filters that cut the text once more.
     rows = named.select(
-        "path", "suffix", "header", F.posexplode_outer("records").alias("row_no", "record")
+        "path", "header", F.posexplode_outer(F.when(F.size("header") > 0, F.concat(blank, body))).alias("row_no", "cells")
     ).where(F.col("row_no").isNotNull())
-    if sample_rows is not None:
-        rows = rows.where(F.col("row_no") <= sample_rows)
-    record = F.col("record")
-    values_in_order = F.when(
-        is_json,
-        let(
-            F.from_json(record, "map<string,string>"),
-            lambda m: F.transform("header", lambda name: F.try_element_at(m, name)),
-        ),
-    ).otherwise(delimited.cells(record, separator))
     return (
-        rows.select(
-            "path",
-            "row_no",
-            F.when(F.col("row_no") > 0, values_in_order).alias("cells"),
-            F.posexplode_outer("header").alias("column_no", "column"),
-        )
+        rows.select("path", "row_no", "cells", F.posexplode_outer("header").alias("column_no", "column"))
         .where(F.col("column_no").isNotNull())
         .select(
             "path", "column_no", "column", "row_no", F.get("cells", F.col("column_no")).alias("text")
@@ -235,6 +220,12 @@ def file_cells(
     )
 
 
+def is_record_array(text: Column) -> Column:
+    """Whether a text is a valid JSON array of one or more objects and nothing else."""
+    looks = F.coalesce(text.rlike(r"^\s*\[\s*\{"), F.lit(False))
+    return looks & F.when(looks, jt.is_valid_json(text) & (F.array_join(jt.item_types(text), ",") == "object"))
+
+
 def profile_files(cells: DataFrame) -> DataFrame:
     """One row per file: ``column_count``, ``line_count``, ``row_count``, ``columns``,
     ``column_types`` and ``sample_statistics``.

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from ..functions import paths
 from ..functions.text import lower_words
 from ..operators.code import code_struct, module_facts
-from ..operators.identity import basic_metadata
+from ..operators.identity import basic_metadata, suffix_types
 from ..operators.merging import extraction_errors, merge_profiles
 from ..operators.publishing import is_publishable, publish_summary, to_entries, upsert_entries
 from ..operators.routing import Registry, default_registry, route_extractors
@@ -20,7 +20,7 @@ from ..operators.selection import select_files
 from ..operators.semistructured import json_judgement, json_struct, yaml_struct
 from ..operators.tabular import file_cells, profile_files
 from ..operators.text import text_struct
-from ..sources.files import qualified_root, read_text_content, scan_files
+from ..sources.files import max_length, qualified_root, read_text_content, scan_files, with_bytes
 from . import index_store
 
 ROW_PROFILES = ["text", "python", "json", "yaml"]
@@ -99,30 +99,74 @@ def catalog_from_files(
         sample_rows=sample_rows,
     )
     tables = profile_files(cells).withColumnRenamed("line_count", "record_lines")
-    return record.join(tables, "path", "left")
+    # What kind of table a file is, and JSON files that are none.
+    suffix = paths.extension(F.col("path"))
+    return record.join(tables, "path", "left").withColumns(
+        {
+            "format": F.when(suffix.isin(*TABLE_SUFFIXES), F.substr(suffix, F.lit(2))),
+            "structure": F.when((suffix == ".json") & F.col("column_count").isNull(), F.lit("non-tabular")),
+        }
+    )
+
+
+def _content_suffixes(registry: Registry) -> list[str]:
+    """The suffixes of all files whose content some profile may take."""
+    routes = [r for r in registry.routes if r.name in (*ROW_PROFILES, *registry.functions)]
+    suffixes = {s for r in routes for s in r.suffixes} | set(TABLE_SUFFIXES)
+    prefixes = tuple(p for r in routes for p in r.mime_prefixes)
+    return sorted(suffixes | {s for s, mime in suffix_types().items() if mime.startswith(prefixes)})
+
+
+def _tree(
+    spark: SparkSession, root: str, hidden: bool | None, select: Mapping[str, Any], registry: Registry,
+    suffixes: Sequence[str],
+) -> DataFrame:
+    """Selected files with the content of those that a profile takes.
+
+    On a mounted tree the path rules come before any file is opened. Elsewhere Spark reads
+    the files of the suffixes in question up to its length limit, and lists the others
+    without opening them. A file that a profile would take but that is too long gets a
+    ``read_error`` and no content.
+    """
+    base, limit = qualified_root(spark, root), max_length(spark)
+    taken = F.coalesce(paths.extension(F.col("path")).isin(*suffixes), F.lit(False))
+    fits = F.col("size_bytes") <= limit
+    if hidden or (hidden is None and base.startswith("/")):
+        listed = select_files(scan_files(spark, root, hidden=hidden), root=base, **select)
+        files = with_bytes(listed, taken & F.coalesce(fits, F.lit(False)))
+    else:
+        opened = scan_files(spark, root, with_content=True, hidden=False, suffixes=suffixes)
+        rest = scan_files(spark, root, hidden=False).withColumn("content", F.lit(None).cast("binary"))
+        # The bound on the length reaches the scan, which does not open longer files.
+        files = opened.where(fits & taken).unionByName(rest.where(~(taken & fits)))
+        files = select_files(files, root=base, **select).withColumn("read_error", F.lit(None).cast("string"))
+    too_long = F.when(taken & ~fits & F.col("read_error").isNull(), F.lit(f"longer than {limit} bytes; not read"))
+    return read_text_content(files.withColumn("read_error", F.coalesce("read_error", too_long)))
 
 
 def build_catalog(
-    spark: SparkSession, root: str, hidden: bool = False, **options: Any
+    spark: SparkSession, root: str, hidden: bool | None = None, **options: Any
 ) -> DataFrame:
-    """The catalog of a file tree; see ``catalog_from_files`` for the options.
+    """The catalog of a file tree; see ``catalog_from_files`` for the options and
+    ``scan_files`` for ``hidden``.
 
-    The tabular profile reads the tabular files a second time; a name filter keeps all
-    other files out of that scan.
+    Only files that a profile takes are opened; ``read_error`` tells why one could not be.
+    The tabular profile reads the tabular files a second time, and no others.
     """
-    files = read_text_content(scan_files(spark, root, with_content=True, hidden=hidden))
+    registry = options.get("registry") or default_registry
+    select = options.pop("select", None) or {}
+    files = _tree(spark, root, hidden, select, registry, _content_suffixes(registry))
     tables = None
-    if not hidden and options.get("tabular", True):
-        tables = read_text_content(
-            scan_files(spark, root, with_content=True, suffixes=TABLE_SUFFIXES)
-        )
+    if options.get("tabular", True):
+        tables = _tree(spark, root, hidden, select, registry, TABLE_SUFFIXES)
     base = qualified_root(spark, root)
-    return catalog_from_files(files, root=base, table_files=tables, **options)
+    return catalog_from_files(files, root=base, select={"ignore_dot_paths": False}, table_files=tables, **options)
 
 
 def catalog_errors(catalog: DataFrame) -> DataFrame:
     """``path, profile, error`` of failed profiles, from a catalog built with
-    ``keep_profiles`` (which leaves one ``profile_<name>`` column per profile)."""
+    ``keep_profiles`` (which leaves one ``profile_<name>`` column per profile); files that
+    could not be read come with profile ``content``."""
     failing = [
         field.name
         for field in catalog.schema.fields
@@ -131,7 +175,11 @@ def catalog_errors(catalog: DataFrame) -> DataFrame:
         and "error" in field.dataType.fieldNames()
     ]
     errors = extraction_errors(catalog, failing)
-    return errors.withColumn("profile", F.substr("profile", F.lit(len(PREFIX) + 1)))
+    errors = errors.withColumn("profile", F.substr("profile", F.lit(len(PREFIX) + 1)))
+    if "read_error" not in catalog.columns:
+        return errors
+    unread = catalog.where(F.col("read_error").isNotNull())
+    return errors.unionByName(unread.select("path", F.lit("content").alias("profile"), F.col("read_error").alias("error")))
 
 
 def refresh_index(

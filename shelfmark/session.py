@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,11 +32,14 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; a private folder is made only
-    where nothing is set, as in tests on one machine.
+    where nothing is set and Spark runs on one machine, as in tests. Elsewhere a missing
+    setting is an error: executors would write to disks that others do not see.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         application = spark.sparkContext.applicationId
         if application not in _private_folders:

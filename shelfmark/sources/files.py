@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from ..operators.selection import exclude_dot_paths
 from ..session import work_dir
 
 LISTED = (
     "path string, is_dir boolean, size_bytes bigint, created_at timestamp, "
-    "modified_at timestamp, accessed_at timestamp"
+    "modified_at timestamp, accessed_at timestamp, read_error string"
 )
+MAX_LENGTH = "spark.sql.sources.binaryFile.maxLength"
 
 
 def _with_names(df: DataFrame, root: str) -> DataFrame:
@@ -57,28 +59,37 @@ def qualified_root(spark: SparkSession, root: str) -> str:
     return "/" + full.removeprefix("file:").lstrip("/") if full.startswith("file:") else full
 
 
+def max_length(spark: SparkSession) -> int:
+    """The largest file whose content is read, as Spark's binary files are set up."""
+    return int(spark.conf.get(MAX_LENGTH, str(2**31 - 1)))
+
+
 def scan_files(
     spark: SparkSession,
     root: str,
     with_content: bool = False,
-    hidden: bool = False,
+    hidden: bool | None = None,
     suffixes: Sequence[str] = (),
 ) -> DataFrame:
     """Every file below ``root``: path, names, size, times, depth and optionally the bytes.
 
-    By default Spark lists the tree; contents are read only if asked for. Spark's own
-    listing leaves out names that start with a dot or an underscore and knows only the
-    modification time. With ``hidden`` a mounted tree (one path on all executors) is
-    listed by the executors, with all names and all three times. ``suffixes`` restricts
-    the listing, so that no other file is read.
+    A mounted tree (a local path, the same on all executors) is listed by the executors,
+    with all three times; names that start with a dot come only with ``hidden``. Other
+    stores, and any with ``hidden=False``, are listed by Spark itself, which leaves out
+    names that start with a dot or an underscore and knows only the modification time.
+    Contents are read only if asked for. ``suffixes`` restricts the listing, so that no
+    other file is read. A directory or file of a mounted tree that cannot be read leaves a
+    row with ``read_error``.
     """
     base = qualified_root(spark, root)
-    if hidden:
+    if hidden or (hidden is None and base.startswith("/")):
         files = list_tree(spark, base)
+        if not hidden:
+            files = exclude_dot_paths(files, base)
         if suffixes:
             files = files.where(paths.extension(F.col("path")).isin(*suffixes))
         if with_content:
-            files = files.withColumn("content", read_bytes("path"))
+            files = with_bytes(files, F.lit(True))
         return _with_names(files, base)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if suffixes:
@@ -116,12 +127,12 @@ def _scan_directories(batches: Iterator) -> Iterator:
                         s = entry.stat()
                         rows.append(
                             (entry.path, is_dir, s.st_size, at(s.st_ctime), at(s.st_mtime),
-                             at(s.st_atime))
+                             at(s.st_atime), None)
                         )
-            except OSError:
-                continue  # unreadable or gone: the rest of the tree is still listed
-        columns = ["path", "is_dir", "size_bytes", "created_at", "modified_at", "accessed_at"]
-        yield pd.DataFrame(rows, columns=columns)
+            except OSError as problem:  # unreadable or gone: the rest of the tree is still listed
+                rows.append((directory, True, None, None, None, None, type(problem).__name__))
+        columns = LISTED.replace(" bigint", "").replace(" boolean", "").replace(" string", "")
+        yield pd.DataFrame(rows, columns=columns.replace(" timestamp", "").split(", "))
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -137,16 +148,21 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
         spread = frontier.repartition(F.col("path")) if level else frontier
         target = f"{folder}/level={level}"
         spread.mapInPandas(_scan_directories, LISTED).write.parquet(target)
-        frontier = spark.read.parquet(target).where("is_dir").select("path")
+        listed = spark.read.parquet(target)
+        if level == 0 and not listed.where((F.col("path") == root) & F.col("read_error").isNotNull()).isEmpty():
+            raise FileNotFoundError(root)
+        frontier = listed.where("is_dir AND read_error IS NULL").select("path")
         if frontier.isEmpty():
             break
         level += 1
     files = spark.read.schema(LISTED).parquet(*[f"{folder}/level={i}" for i in range(level + 1)])
-    return files.where(~F.col("is_dir")).drop("is_dir")
+    return files.where(~F.col("is_dir") | F.col("read_error").isNotNull()).drop("is_dir")
 
 
 def _read_all(names: pd.Series) -> pd.Series:
-    def read(name: str) -> bytes | None:
+    def read(name: str | None) -> bytes | None:
+        if name is None:
+            return None
         try:
             with open(name, "rb") as f:
                 return f.read()
@@ -156,9 +172,15 @@ def _read_all(names: pd.Series) -> pd.Series:
     return names.map(read)
 
 
-def read_bytes(path: str) -> Column:
-    """The bytes of mounted files as a column; unreadable files give null."""
-    return F.pandas_udf(_read_all, "binary")(F.col(path))
+def with_bytes(files: DataFrame, wanted: Column) -> DataFrame:
+    """Add the bytes of the wanted files of a mounted tree as ``content``; a file that cannot
+    be read gets a ``read_error``."""
+    take = wanted & F.col("read_error").isNull()
+    asked = files.withColumn("__name", F.when(take, F.col("path")))
+    read = asked.withColumn("content", F.pandas_udf(_read_all, "binary")(F.col("__name")))
+    failed = F.col("__name").isNotNull() & F.col("content").isNull()
+    error = F.when(failed, F.lit("could not be read")).otherwise(F.col("read_error"))
+    return read.withColumn("read_error", error).drop("__name")
 
 
 def read_text_content(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import json_text as jt
+from ..operators.tabular import is_record_array
 
 
 class NonTabularError(ValueError):
@@ -52,7 +52,7 @@ def json_table_summary(df: DataFrame, content: str = "content") -> DataFrame:
     """Add ``format``, ``structure`` (``non-tabular`` or null), ``row_count``,
     ``column_count`` and ``columns`` of JSON texts."""
     text = F.col(content)
-    tabular = jt.is_valid_json(text) & text.rlike(r"^\s*\[\s*\{")
+    tabular = F.coalesce(is_record_array(text), F.lit(False))
     first_keys = F.array_distinct(F.json_object_keys(F.get_json_object(text, "$[0]")))
     return df.withColumns(
         {

@@ -32,24 +32,58 @@ def test_scan_with_all_names(spark, tree):
     assert abs(r["modified_at"].timestamp() - os.stat(r["path"]).st_mtime) < 1
 
 
-def test_plain_scan_leaves_out_hidden_names(spark, tree):
+@pytest.mark.parametrize("hidden, left_out", [(None, "."), (False, "._")])
+def test_plain_scan_leaves_out_hidden_names(spark, tree, hidden, left_out):
     root, contents = tree
-    got = {r["path"][len(root) + 1:]: r["size_bytes"] for r in sm.scan_files(spark, root).collect()}
-    assert got == {n: len(c) for n, c in contents.items() if not any(p[0] in "._" for p in n.split("/"))}
+    got = {r["path"][len(root) + 1:]: r["size_bytes"] for r in sm.scan_files(spark, root, hidden=hidden).collect()}
+    assert got == {n: len(c) for n, c in contents.items() if not any(p[0] in left_out for p in n.split("/"))}
 
 
-@pytest.mark.parametrize("hidden", [False, True])
+@pytest.mark.parametrize("hidden", [None, False])
+def test_only_what_a_profile_takes_is_read(spark, tree, hidden):
+    root, _ = tree
+    os.makedirs(f"{root}/node_modules")
+    for name, size in (("node_modules/big.bin", 5000), ("raw.bin", 5000), ("long.txt", 4000)):
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(b"x" * size)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "3000")
+    try:
+        catalog = sm.build_catalog(spark, root, hidden=hidden, select={"exclude_globs": ["node_modules"]}, keep_profiles=True)
+        got = {r["path"][len(root) + 1:]: r for r in catalog.collect()}
+        errors = sm.catalog_errors(catalog).where("profile = 'content'").collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert "node_modules/big.bin" not in got and got["raw.bin"]["read_error"] is None
+    assert got["long.txt"]["read_error"] == "longer than 3000 bytes; not read"
+    assert [r["path"][len(root) + 1:] for r in errors] == ["long.txt"]
+    assert got["top.txt"]["line_count"] == 2
+
+
+def test_missing_root_and_unreadable_files(spark, tree, tmp_path):
+    root, _ = tree
+    with pytest.raises(FileNotFoundError):
+        sm.scan_files(spark, str(tmp_path / "none"))
+    scanned = sm.scan_files(spark, root)
+    os.remove(f"{root}/top.txt")  # gone between listing and reading
+    from shelfmark.sources.files import with_bytes
+
+    got = {r["path"][len(root) + 1:]: r["read_error"] for r in with_bytes(scanned, F.lit(True)).collect()}
+    assert got.pop("top.txt") == "could not be read" and set(got.values()) == {None}
+
+
+@pytest.mark.parametrize("hidden", [False, True, None])
 def test_build_catalog(spark, tree, hidden):
     root, _ = tree
     catalog = sm.build_catalog(spark, root, hidden=hidden, select={"exclude_globs": ["skip"]})
     got = {r["path"][len(root) + 1:]: r for r in catalog.collect()}
-    expected = {"top.txt", "a/x.md", "t.csv", "t.json", "c.yml"} | ({"pkg/__init__.py"} if hidden else set())
+    expected = {"top.txt", "a/x.md", "t.csv", "t.json", "c.yml"} | ({"pkg/__init__.py"} if hidden is not False else set())
     assert set(got) == expected
     assert (got["top.txt"]["line_count"], got["top.txt"]["language"]) == (2, "en")
     assert got["t.csv"]["column_types"] == {"p": "integer", "q": "integer"} and got["t.csv"]["row_count"] == 1
     assert got["t.json"]["json_depth"] == 2 and got["t.json"]["columns"] == ["a"]
     assert got["a/x.md"]["content_preview"] == "�� bytes"
-    if hidden:
+    assert (got["t.json"]["format"], got["t.json"]["structure"], got["top.txt"]["format"]) == ("json", None, None)
+    if hidden is not False:
         code = got["pkg/__init__.py"]
         assert code["imports"]["standard_library"] == ["os"] and [f["name"] for f in code["functions"]] == ["f"]
 
@@ -59,11 +93,11 @@ def test_refresh_index_replaces_and_keeps(spark, tree, tmp_path):
     index = str(tmp_path / "index")
     catalog = sm.build_catalog(spark, root)
     first = sm.refresh_index(spark, catalog, index).head()
-    assert (first["succeeded"], first["failed"]) == (6, 0)
+    assert (first["succeeded"], first["failed"]) == (7, 0)
     changed = catalog.where(F.endswith("path", F.lit(".txt")))
     sm.refresh_index(spark, changed, index, visible_to=["team"])
     stored = sm.read_index(spark, index)
-    assert stored.count() == 6 and sm.visible_entries(stored).count() == 4
+    assert stored.count() == 7 and sm.visible_entries(stored).count() == 5
     assert sm.get_entry(stored, f"file://{root}/top.txt").head()["content"]["language"] == "en"
     assert sm.index_stats(stored).head()["index_size_bytes"] > 1000
 

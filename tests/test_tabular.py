@@ -116,3 +116,51 @@ def test_read_delimited_and_json_files(spark, tmp_path):
         sm.read_json_records(spark, str(tmp_path / "b.json"))
     texts = spark.createDataFrame([('[{"a":1}]',), ("[]",), ("{}",)], "content string")
     assert [r["structure"] for r in sm.json_table_summary(texts).collect()] == [None, "non-tabular", "non-tabular"]
+
+
+def cut(rows, *files):
+    return {r["path"]: r for r in tb.profile_files(tb.file_cells(rows(list(files), "path string, content string"))).collect()}
+
+
+def test_quotes_open_only_where_a_cell_begins(rows):
+    got = cut(
+        rows,
+        ("/a.csv", 'name,n\n5" disk,1\n"a, ""b""\nc",2\n\nplain,3\n'),
+        ("/p.csv", "x,y\n\ue000\ue001\ue002,1\n"),
+        ("/t.tsv", 'x\ty\na"b\t1\n'),
+    )
+    assert got["/a.csv"]["row_count"] == 3 and got["/a.csv"]["column_types"] == {"name": "string", "n": "integer"}
+    assert (got["/p.csv"]["row_count"], got["/p.csv"]["column_count"]) == (1, 2)
+    assert got["/t.tsv"]["column_types"] == {"x": "string", "y": "integer"}
+
+
+def test_json_tables_are_judged_whole(rows):
+    got = cut(
+        rows,
+        ("/a.json", '[{"a": 1, "b": {"c": [1]}}, {"a": 2}]'), ("/b.json", '[{"a":1},{"a":2}] junk'),
+        ("/c.json", '[{"a":1},5,"x"]'), ("/d.json", "[]"), ("/e.json", None), ("/f.csv", ""),
+    )
+    assert set(got) == {"/a.json"}
+    assert (got["/a.json"]["row_count"], got["/a.json"]["columns"]) == (2, ["a", "b"])
+
+
+def test_limits_that_were_defaults_are_gone(rows, spark):
+    import json
+
+    from shelfmark.functions import arrays, json_text
+
+    df = spark.range(1).select(arrays.array_statistics(F.sequence(F.lit(1), F.lit(1500))).alias("s"))
+    assert df.head()["s"]["max"] == 1500
+    texts = [("[1,2,3,4,5,\"x\",null]",), (json.dumps({f"k{i}": i for i in range(9)}),), ("[" * 1500 + "]" * 1500,),
+             ("1" * 1500,), ("[" * 1500,), ("{\"a\": 1",)]
+    got = sm.json_profile(rows(texts, "content string")).collect()
+    assert got[0]["json_structure"]["sample_item_types"] == ["null", "number", "string"]
+    assert len(got[1]["json_structure"]["sample_keys"]) == 9
+    assert [r["json_valid"] for r in got] == [True, True, None, None, None, False]
+    assert "not judged" in got[2]["json_error"]
+    pages = rows([("d", i, "one word") for i in range(12)] + [("e", 1, None)], "doc string, n int, text string")
+    stats = {r["doc"]: r for r in sm.page_text_stats(pages, "doc", "n").collect()}
+    assert (stats["d"]["word_count"], stats["e"]["word_count"], stats["e"]["text_preview"]) == (24, 0, "")
+    leaves = rows([(f"/g/x{i:02}",) for i in range(15)] + [("/a/b/c/d/e/leaf",)], "path string")
+    listed = [r["item"] for r in sm.list_hierarchy(leaves).where("type = 'dataset'").collect()]
+    assert len(listed) == 16
