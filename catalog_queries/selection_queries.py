@@ -24,11 +24,68 @@ def _work_path(spark, name):
     return f"{work_dir(spark)}/{uuid.uuid4().hex}/{name}"
 
 
+SHARDS = 4
+
+
+def _written_tree(spark, sf_dir):
+    """Documents written out as text files and parts as comma-separated ones; the folder."""
+    folder = _work_path(spark, "tree")
+    shard = F.pmod(F.col("doc_id"), F.lit(SHARDS)).alias("shard")
+    docs = table(spark, sf_dir, "documents").select("source", shard, "doc_id", "text")
+    dealt = docs.repartition("source", "shard").sortWithinPartitions("source", "shard", "doc_id")
+    dealt.drop("doc_id").write.partitionBy("source", "shard").text(f"{folder}/texts")
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", "p_type").repartition("p_brand")
+    parts.sortWithinPartitions("p_brand").write.partitionBy("p_brand").option("header", True).csv(f"{folder}/tables")
+    return folder
+
+
+def _file_key():
+    return F.regexp_extract("path", r"/((?:source|p_brand)=[^/]+(?:/shard=[0-9]+)?)/[^/]*$", 1).alias("file_key")
+
+
+_TREE = f"""WITH texts AS (
+  SELECT 'source=' || source || '/shard=' || doc_id % {SHARDS} AS file_key,
+         string_agg(text || chr(10), '' ORDER BY doc_id) AS content
+  FROM documents GROUP BY source, doc_id % {SHARDS}),
+tables AS (
+  SELECT 'p_brand=' || replace(p_brand, '#', '%23') AS file_key, count(*) AS n, min(p_size) AS low, max(p_size) AS high,
+         sum(length(p_partkey || ',' || p_size || ',' || p_type) + 1) + length('p_partkey,p_size,p_type') + 1 AS size_bytes
+  FROM part GROUP BY p_brand)"""
+
+
 def scan_files(spark, sf_dir):
-    return sm.scan_files(spark, sf_dir).select("filename", "extension", "size_bytes", "depth")
+    listed = sm.scan_files(spark, _written_tree(spark, sf_dir))
+    return listed.where(F.col("filename") != "_SUCCESS").select(_file_key(), "extension", "size_bytes", "depth")
 
 
 QUERIES["scan_files"] = scan_files
+ORACLES["scan_files"] = _TREE + """
+SELECT file_key, '.txt' AS extension, strlen(content) AS size_bytes, CAST(3 AS INTEGER) AS depth FROM texts
+UNION ALL SELECT file_key, '.csv', CAST(size_bytes AS BIGINT), 2 FROM tables"""
+
+
+def build_catalog_tree(spark, sf_dir):
+    """The whole job over real files: list, select, read, profile, merge."""
+    catalog = sm.build_catalog(spark, _written_tree(spark, sf_dir), select={"exclude_globs": ["_SUCCESS"]})
+    size = F.col("sample_statistics")["p_size"]
+    return catalog.select(
+        _file_key(), F.col("file.size_bytes").alias("size_bytes"), "mime_type", "format",
+        F.when(F.col("format").isNull(), F.col("word_count")).alias("word_count"),
+        F.when(F.col("format").isNull(), F.col("line_count")).alias("line_count"),
+        "row_count", "column_count", F.array_join("columns", ",").alias("columns"),
+        size["min"].alias("low"), size["max"].alias("high"), F.col("read_error").isNull().alias("was_read"),
+    )
+
+
+QUERIES["build_catalog_tree"] = build_catalog_tree
+ORACLES["build_catalog_tree"] = _TREE + r"""
+SELECT file_key, strlen(content) AS size_bytes, 'text/plain' AS mime_type, NULL AS format,
+  len(regexp_extract_all(content, '[\p{L}\p{N}_]+')) AS word_count,
+  length(content) - length(replace(content, chr(10), '')) + 1 AS line_count, CAST(NULL AS BIGINT) AS row_count,
+  CAST(NULL AS BIGINT) AS column_count, NULL AS columns, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high,
+  true AS was_read FROM texts
+UNION ALL SELECT file_key, CAST(size_bytes AS BIGINT), 'text/csv', 'csv', NULL, NULL, n, 3,
+  'p_partkey,p_size,p_type', low, high, true FROM tables"""
 
 
 def files_from_table(spark, sf_dir):

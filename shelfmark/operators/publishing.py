@@ -51,6 +51,9 @@ def latest_per_key(
 ) -> DataFrame:
     """One row per key, the last by ``order_by``; ties are settled by a hash of the row.
 
+    Without an order the hash alone decides: which copy stays is repeatable, but not "the
+    last", as rows of a table have no order.
+
     An aggregate rather than a window: copies of one key are combined on the map side,
     so a key with very many copies never meets in one task.
     """
