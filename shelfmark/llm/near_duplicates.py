@@ -18,19 +18,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import merge_roots, with_root
-from .storage import cut, stored
+from .components import counted, light, merge_roots, packed, with_root
+from .storage import stored
 from .words import find_words, hash_words, lowered, mix64, text_slices
 
 ORDERS = 128
 TREES = 12  # at depth 5 a pair of similarity 0.8 shares a node of a tree with chance 0.52
 DEPTH = 5
 MORE = 3  # levels added when a node is too large
-ROUNDS = 4
+ROUNDS = 3
 SMALL_NODE = 64
 CELL = 128  # documents of either side that meet in one piece of comparing work
 ESTIMATE = 0.66  # four deviations below 0.8
-BROADCAST_KEYS = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,22 +153,24 @@ def compare_pairs(
     spreads over many cells. ``prepare`` turns a list of payloads into items, ``score``
     rates pairs of item numbers.
     """
+    pairs = stored(pairs.select("a", "b", "g"), "pairs")
+    n = pairs.count()
+    # Only groups of more documents than a cell takes are dealt; there are few of those.
     sizes = pairs.groupBy("g").agg(
         F.ceil(F.approx_count_distinct("a") / CELL).alias("_na"), F.ceil(F.approx_count_distinct("b") / CELL).alias("_nb")
+    ).filter((F.col("_na") > 1) | (F.col("_nb") > 1))
+    one = F.lit(1).cast("long")
+    known = pairs.join(light(packed(sizes, n // CELL), n // CELL), "g", "left")
+    dealt = known.select(
+        F.xxhash64(
+            "g",
+            F.pmod(F.xxhash64("a"), F.coalesce("_na", one)),
+            F.pmod(F.xxhash64("b", F.lit(1)), F.coalesce("_nb", one)),
+        ).alias("_cell"),
+        "a", "b",
     )
-    dealt = stored(
-        pairs.join(sizes, "g").select(
-            F.xxhash64(
-                "g", F.pmod(F.xxhash64("a"), F.col("_na")), F.pmod(F.xxhash64("b", F.lit(1)), F.col("_nb"))
-            ).alias("_cell"),
-            "a", "b",
-        ),
-        "pairs",
-    )
-    wanted = (
-        dealt.select("_cell", F.col("a").alias("_key")).union(dealt.select("_cell", F.col("b").alias("_key"))).distinct()
-    )
-    sides = wanted.join(payload, "_key").select(
+    wanted = dealt.select("_cell", F.explode(F.array("a", "b")).alias("_key")).distinct()
+    sides = payload.join(light(packed(wanted, 2 * n), 2 * n), "_key").select(
         "_cell", F.col("_key").alias("a"), F.lit(None).cast("long").alias("b"), "_data"
     )
     rows = sides.union(dealt.select("_cell", "a", "b", F.lit(None).cast("binary").alias("_data")))
@@ -298,17 +299,21 @@ def _to_components(
     of either side; a cell gives one confirmed link of a document at most, as more would
     connect nothing new. ``named`` has (_key, _part) of all members.
     """
-    wanted = minors.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("_na"))
-    members = named.withColumnRenamed("_part", "g").join(wanted, "g")
-    sizes = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("_nb"))
+    minors, n = counted(minors)
+    wanted = packed(minors.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("_na")), n)
+    members = named.withColumnRenamed("_part", "g").join(light(wanted, n), "g")
+    sizes = packed(members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("_nb")), n)
     numbered = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_x")
-    left = minors.join(wanted, "g").join(sizes, "g").select(
+    left = minors.join(light(wanted, n), "g").join(light(sizes, n), "g").select(
         "g", F.pmod(F.xxhash64("a"), F.col("_na")).alias("_i"), numbered("_nb"), F.col("a").alias("_key")
     ).select(F.xxhash64("g", "_i", "_x").alias("_cell"), F.lit(True).alias("_minor"), "_key")
-    right = members.join(sizes, "g").select(
+    right = members.join(light(sizes, n), "g").select(
         "g", F.pmod(F.xxhash64("_key", F.lit(1)), F.col("_nb")).alias("_j"), numbered("_na"), "_key"
     ).select(F.xxhash64("g", "_x", "_j").alias("_cell"), F.lit(False).alias("_minor"), "_key")
-    rows = left.union(right).join(texts, "_key").select("_cell", "_minor", "_key", F.col("_text").cast("binary").alias("_data"))
+    dealt, n_dealt = counted(left.union(right))
+    rows = texts.join(light(dealt, n_dealt), "_key").select(
+        "_cell", "_minor", "_key", F.col("_text").cast("binary").alias("_data")
+    )
     factors, shifts = _multipliers()
 
     def settle(table: pa.Table) -> pa.RecordBatch:
@@ -375,12 +380,16 @@ def similar_components(texts: DataFrame, words: int, similarity: int) -> DataFra
         before = roots
         inside = with_root(shared.select("_node", "_key", "_size"), before, "_key", "_part")
         parts = inside.groupBy("_node", "_part").agg(F.count(F.lit(1)).alias("_n"))
-        split = parts.groupBy("_node").agg(
-            F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_n", F.bitwise_not("_part").alias("_not"))).alias("_top")
-        ).filter(F.col("_parts") > 1).select(
-            "_node", F.col("_top._n").alias("_most"), F.bitwise_not("_top._not").alias("_main")
+        split, n_split = counted(
+            parts.groupBy("_node").agg(
+                F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_n", F.bitwise_not("_part").alias("_not"))).alias("_top")
+            ).filter(F.col("_parts") > 1).select(
+                "_node", F.col("_top._n").alias("_most"), F.bitwise_not("_top._not").alias("_main")
+            )
         )
-        mixed = stored(inside.join(split, "_node"), "mixed-nodes")
+        if not n_split:
+            break
+        mixed = stored(inside.join(light(split, n_split), "_node"), "mixed-nodes")
         small = mixed if turn == ROUNDS else mixed.filter(F.col("_size") <= SMALL_NODE)
         near = with_root(_within_nodes(small, reps), before, "b", "g")
         roots = merge_roots(roots, _confirm(near.select("a", "b", "g"), live, words, similarity))
@@ -390,11 +399,9 @@ def similar_components(texts: DataFrame, words: int, similarity: int) -> DataFra
         # In a large node where one component is most of it, the others are compared with all
         # of that component, and branching goes on without it.
         dense = F.col("_most") * 2 >= F.col("_size")
-        minors = cut(
-            large.filter(dense & (F.col("_part") != F.col("_main")))
-            .select(F.col("_key").alias("a"), F.col("_main").alias("g")).distinct()
-        )
-        if not minors.isEmpty():
+        outside = large.filter(dense & (F.col("_part") != F.col("_main")))
+        if not outside.isEmpty():
+            minors = outside.select(F.col("_key").alias("a"), F.col("_main").alias("g")).distinct()
             named = with_root(reps.select("_key"), before, "_key", "_part")
             roots = merge_roots(roots, _to_components(minors, named, live, words, similarity))
         onward = large.filter(~dense | (F.col("_part") != F.col("_main"))).select("_key", "_node")
@@ -405,9 +412,8 @@ def similar_components(texts: DataFrame, words: int, similarity: int) -> DataFra
 
 def _texts_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """The texts of representatives that share a node with another; few keys are broadcast."""
-    keys = cut(keys)
-    few = keys.count() <= BROADCAST_KEYS
-    return stored(texts.join(F.broadcast(keys) if few else keys, "_key", "left_semi"), "candidate-texts")
+    keys, n = counted(keys)
+    return stored(texts.join(light(keys, n), "_key", "left_semi"), "candidate-texts")
 
 
 _NO_KEY = -(2**63)
@@ -461,7 +467,6 @@ def keep_representatives(
 ) -> DataFrame:
     """The rows that ``near_duplicates`` keeps, unchanged; of equal texts under one key, one."""
     found, row, repeats = _judged(docs, key, text, words, similarity)
-    gone = cut(found.filter(F.col("_name") != F.col("_root")).select(F.col("_key").alias("_gone")).distinct())
-    few = gone.count() <= BROADCAST_KEYS
-    left = docs.join(F.broadcast(gone) if few else gone, row == F.col("_gone"), "left_anti")
+    gone, n = counted(found.filter(F.col("_name") != F.col("_root")).select(F.col("_key").alias("_gone")).distinct())
+    left = docs.join(light(gone, n), row == F.col("_gone"), "left_anti")
     return left.dropDuplicates([key, text]) if repeats else left

@@ -98,8 +98,10 @@ def test_components_of_chains_stars_and_cycles(spark):
     star = [(100, 100 + i) for i in range(1, 40)] + [(500, 139)]
     cycle = [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(7_000, 7_000)]
     links = spark.createDataFrame(chain + star + cycle, "a long, b long")
-    got = {r[0]: r[1] for r in component_roots(links).collect()}
+    got = {r[0]: r[1] for r in component_roots(links, 200).table.collect()}
     assert got == {i: 0 for i in range(1, 61)} | {100 + i: 100 for i in range(1, 40)} | {500: 100} | {
         200 + i: 200 for i in range(1, 9)
     }
-    assert component_roots(links.limit(0)).count() == 0
+    assert component_roots(links.limit(0), 0).table.count() == 0
+    few = {r[0]: r[1] for r in component_roots(links, 10**9).table.collect()}
+    assert few == got
