@@ -152,20 +152,36 @@ FROM camera""",
 def exif_common(spark, sf_dir):
     tags = {
         "Make": "make", "Model": "model", "ExposureTime": "exposure", "FNumber": "f_number",
-        "ISOSpeedRatings": "iso", "FocalLength": "focal",
+        "ISOSpeedRatings": "iso", "FocalLength": "focal", "DateTimeOriginal": "taken",
+        "GPSLatitude": "latitude", "GPSLatitudeRef": "north", "GPSLongitude": "longitude",
+        "GPSLongitudeRef": "east", "GPSAltitude": "height", "GPSAltitudeRef": "altitude_ref",
     }
+    place = F.concat(F.lit("["), F.col("deg").cast("int"), F.lit(", "), F.col("mins").cast("int"), F.lit("/1, "),
+                     F.col("secs").cast("int"), F.lit("/1]"))
+    shot = view(spark, sf_dir, "camera").withColumns({
+        "taken": F.concat(F.lit("2020:01:02 03:04:"), F.lpad(F.col("secs").cast("int").cast("string"), 2, "0")),
+        "latitude": place, "longitude": place, "height": F.concat(F.col("p_partkey").cast("string"), F.lit("/4")),
+        "north": F.when(F.col("hemisphere") == "S", "S").otherwise("N"),
+        "east": F.when(F.col("hemisphere") == "W", "W").otherwise("E"),
+        "altitude_ref": F.col("altitude_ref").cast("string"),
+    })
     tag_map = F.create_map(*[x for tag, c in tags.items() for x in (F.lit(tag), F.col(c))])
-    common = view(spark, sf_dir, "camera").select("p_partkey", images.exif_common(tag_map).alias("c"))
-    return common.select("p_partkey", "c.*").withColumn(
-        "exposure_time", F.round(F.col("exposure_time").cast("double"), 9)
-    )
+    common = shot.select("p_partkey", images.exif_common(tag_map).alias("c"))
+    return common.select("p_partkey", "c.*", "c.gps.*").drop("gps").withColumns({
+        "exposure_time": F.round(F.col("exposure_time").cast("double"), 9),
+        "latitude": F.round("latitude", 4), "longitude": F.round("longitude", 4),
+    })
 
 
 QUERIES["exif_common"] = exif_common
 ORACLES["exif_common"] = with_views(
-    """SELECT p_partkey, make AS camera_make, model AS camera_model, CAST(NULL AS VARCHAR) AS date_taken,
+    """SELECT p_partkey, make AS camera_make, model AS camera_model, 
+  '2020:01:02 03:04:' || lpad(CAST(CAST(secs AS INTEGER) AS VARCHAR), 2, '0') AS date_taken,
   round(1 / p_size, 9) AS exposure_time, 'f/' || CAST(p_size / 10 AS VARCHAR) AS f_number,
-  CAST(p_size * 100 AS VARCHAR) AS iso, p_size || '.0mm' AS focal_length
+  CAST(p_size * 100 AS VARCHAR) AS iso, p_size || '.0mm' AS focal_length,
+  round((deg + mins / 60 + secs / 3600) * CASE WHEN hemisphere = 'S' THEN -1 ELSE 1 END, 4) AS latitude,
+  round((deg + mins / 60 + secs / 3600) * CASE WHEN hemisphere = 'W' THEN -1 ELSE 1 END, 4) AS longitude,
+  round_even(p_partkey / 4 * CASE WHEN altitude_ref = 1 THEN -1 ELSE 1 END, 2) AS altitude
 FROM (SELECT c.*, p.p_size FROM camera c JOIN part p ON p.p_partkey = c.p_partkey)""",
     "camera",
 )

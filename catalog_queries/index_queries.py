@@ -129,9 +129,23 @@ WHERE subject = '""" + _SOUGHT + "'"
 )
 
 QUERIES["index_stats"] = lambda spark, sf_dir: sm.index_stats(
-    _new_entries(spark, sf_dir)
-).select("doc_count", (F.col("index_size_bytes") > F.col("doc_count")).alias("has_bytes"))
-ORACLES["index_stats"] = _entry_sql("SELECT count(*) AS doc_count, true AS has_bytes FROM new_entries")
+    _old_entries(spark, sf_dir).select(
+        "subject", "visible_to",
+        F.struct("content.path", "content.file.filename", "content.file.size_bytes").alias("content"),
+    )
+)
+ORACLES["index_stats"] = _entry_sql(
+    """SELECT count(*) AS doc_count, CAST(sum(strlen(to_json({'subject': 'file://' || path, 'visible_to': ['public'],
+  'content': {'path': path, 'filename': string_split(path, '/')[-1], 'size_bytes': strlen(content)}}))) AS BIGINT)
+  AS index_size_bytes FROM files"""
+)
+
+QUERIES["lookup_entry"] = lambda spark, sf_dir: _flat(
+    sm.lookup_entry(spark, _stored_index(spark, sf_dir), _SOUGHT)
+)
+ORACLES["lookup_entry"] = _entry_sql(
+    "SELECT * FROM new_entries WHERE visible_to = 'reviewers' AND subject = '" + _SOUGHT + "'"
+)
 
 QUERIES["visible_entries"] = lambda spark, sf_dir: _flat(
     sm.visible_entries(_new_entries(spark, sf_dir), [])
@@ -251,7 +265,8 @@ WHERE f.path NOT LIKE '/src1%' AND f.path NOT LIKE '%/.%'"""
 )
 
 
-def refresh_index(spark, sf_dir):
+def _stored_index(spark, sf_dir):
+    """An index of all documents, refreshed with the labelled ones; its folder."""
     folder = f"{work_dir(spark)}/{uuid.uuid4().hex}/index"
     catalog = _file_catalog(spark, sf_dir)
     sm.refresh_index(spark, catalog, folder)
@@ -262,10 +277,10 @@ def refresh_index(spark, sf_dir):
     sm.refresh_index(
         spark, sm.file_identity(labelled).select("path", "file"), folder, visible_to=["reviewers"]
     )
-    return _flat(sm.read_index(spark, folder))
+    return folder
 
 
-QUERIES["refresh_index"] = refresh_index
+QUERIES["refresh_index"] = lambda spark, sf_dir: _flat(sm.read_index(spark, _stored_index(spark, sf_dir)))
 ORACLES["refresh_index"] = _entry_sql(
     """SELECT * FROM old_entries WHERE subject NOT IN (SELECT subject FROM new_entries)
 UNION ALL SELECT * FROM new_entries WHERE visible_to = 'reviewers'"""

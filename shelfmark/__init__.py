@@ -57,7 +57,7 @@ from .operators.tabular import (
 )
 from .operators.text import extract_keywords, language_breakdown, text_profile
 from .plans.catalog import build_catalog, catalog_errors, catalog_from_files, refresh_index
-from .plans.index_store import read_index
+from .plans.index_store import clean_up, lookup_entry, read_index
 from .session import configure
 from .sources.catalog_json import read_catalog_json, to_index_schema, write_catalog_json
 from .sources.files import files_from_table, read_text_content, scan_files

@@ -59,8 +59,29 @@ def exif_value(text: Column) -> Column:
     )
 
 
+def _degrees(tags: Column, name: str) -> Column:
+    """A position tag ``d, m, s`` (numbers or ``a/b`` pairs) in signed decimal degrees."""
+    parts = F.transform(
+        F.split(F.regexp_replace(F.try_element_at(tags, F.lit(name)), r"[\[\]()\s]", ""), ","),
+        lambda p: exif_value(p).try_cast("double"),
+    )
+    side = F.upper(F.substring(F.trim(F.try_element_at(tags, F.lit(f"{name}Ref"))), 1, 1))
+    number = lambda i: F.get(parts, F.lit(i))
+    return gps_decimal(number(0), number(1), number(2), side)
+
+
+def exif_gps(tags: Column) -> Column:
+    """``latitude, longitude, altitude`` of the position tags; null without a position."""
+    height = exif_value(F.try_element_at(tags, F.lit("GPSAltitude"))).try_cast("double")
+    below = F.coalesce(F.try_element_at(tags, F.lit("GPSAltitudeRef")), F.lit("0")).isin("1", "\x01")
+    altitude = F.bround(F.when(below, -height).otherwise(height), 2)
+    latitude, longitude = _degrees(tags, "GPSLatitude"), _degrees(tags, "GPSLongitude")
+    found = F.struct(latitude.alias("latitude"), longitude.alias("longitude"), altitude.alias("altitude"))
+    return F.when(latitude.isNotNull() & longitude.isNotNull(), found)
+
+
 def exif_common(tags: Column) -> Column:
-    """The common camera fields of a ``map<tag name, text>`` as one struct."""
+    """The common camera fields of a ``map<tag name, text>`` as one struct, with ``gps``."""
     values = {}
     for tag, field in EXIF_FIELDS.items():
         value = exif_value(F.try_element_at(tags, F.lit(tag)))
@@ -69,4 +90,4 @@ def exif_common(tags: Column) -> Column:
         elif field == "focal_length":
             value = F.concat(value, F.lit("mm"))
         values[field] = value
-    return F.struct(*[v.alias(name) for name, v in values.items()])
+    return F.struct(*[v.alias(name) for name, v in values.items()], exif_gps(tags).alias("gps"))

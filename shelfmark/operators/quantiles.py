@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # The sketch is off by at most one part in ACCURACY of the ranks; the bracket is twice
 # as wide on either side, so it holds four parts in ACCURACY of the values (and whatever
 # equals them). It is cut into SLICES, of which only those with the median are ordered.
-ACCURACY = 10_000
+ACCURACY = 1_000
 MARGIN = 2.0 / ACCURACY
 SLICES = 256
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,13 +15,14 @@ from ..functions.text import lower_words
 from ..operators.code import code_struct, module_facts
 from ..operators.identity import basic_metadata, suffix_types
 from ..operators.merging import extraction_errors, merge_profiles
-from ..operators.publishing import is_publishable, publish_summary, to_entries, upsert_entries
+from ..operators.publishing import is_publishable, latest_per_key, to_entries, upsert_entries
 from ..operators.routing import Registry, default_registry, route_extractors
 from ..operators.selection import select_files
 from ..operators.semistructured import json_judgement, json_struct, yaml_struct
 from ..operators.tabular import file_cells, profile_files
 from ..operators.text import text_struct
 from ..sources.files import max_length, qualified_root, read_text_content, scan_files, with_bytes
+from ..session import work_dir
 from . import index_store
 
 ROW_PROFILES = ["text", "python", "json", "yaml"]
@@ -191,13 +193,25 @@ def refresh_index(
 ) -> DataFrame:
     """Publish a catalog: entries, upsert into the stored index, and a one-row summary.
 
-    The index is stored as numbered versions; a refresh writes the next one from the
-    current one, so readers never see a half-written index and a failed run leaves the
-    old version in place. Entries without a subject are counted and left out.
+    The catalog is computed once, into a staged table, and the summary is observed on the
+    way. Only the buckets of the incoming subjects are rewritten (see ``index_store``);
+    readers never see a half-written index and a failed run leaves the old one in place. Of
+    several rows of one subject the last by path and content hash stays. Entries without a
+    subject are counted and left out.
     """
-    incoming = to_entries(catalog, prefix, visible_to)
-    publishable = incoming.where(is_publishable())
-    current = index_store.read_index(spark, index_path)
-    merged = publishable if current is None else upsert_entries(current, publishable)
-    index_store.write_next(spark, merged, index_path)
-    return publish_summary(incoming)
+    seen = Observation()
+    incoming = to_entries(catalog, prefix, visible_to).observe(
+        seen,
+        F.count_if(is_publishable()).alias("succeeded"),
+        F.count_if(~is_publishable()).alias("failed"),
+    )
+    path = f"{work_dir(spark)}/entries-{uuid.uuid4().hex}"
+    latest_per_key(incoming.where(is_publishable()), "subject").write.parquet(path)
+    staged = spark.read.schema(incoming.schema).parquet(path)
+    index_store.write_buckets(
+        spark, staged, index_path, lambda old, new: upsert_entries(old, new, incoming_is_unique=True)
+    )
+    counts = seen.get
+    return spark.createDataFrame(
+        [(counts["succeeded"], counts["failed"])], "succeeded bigint, failed bigint"
+    )

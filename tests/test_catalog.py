@@ -138,3 +138,54 @@ def test_merge_protects_file_and_lets_later_win(spark):
     r = sm.merge_profiles(df, ["one", "two", "three"]).head()
     assert (r["p"], r["q"], r["file"]["filename"], r["file"]["n"]) == (2, None, "f", 9)
     assert "error" not in r.asDict()
+
+
+def test_a_refresh_rewrites_touched_buckets_alone(spark, rows, tmp_path):
+    from shelfmark.plans import index_store
+
+    index = str(tmp_path / "index")
+    many = rows([(f"/f{i}", i) for i in range(300)], "path string, n long")
+    sm.refresh_index(spark, many, index)
+    before = index_store._current(spark, index)[1]["folders"]
+    assert len(before) > 40
+    sm.refresh_index(spark, rows([("/f7", 70), ("/new", 1)], "path string, n long"), index)
+    after = index_store._current(spark, index)[1]["folders"]
+    changed = [b for b in after if before.get(b) != after[b]]
+    assert 1 <= len(changed) <= 2
+    stored = {r["subject"]: r["content"]["n"] for r in sm.read_index(spark, index).collect()}
+    assert stored == {f"file:///f{i}": i for i in range(300)} | {"file:///f7": 70, "file:///new": 1}
+    found = sm.lookup_entry(spark, index, "file:///f7")
+    assert len({p.rsplit("/", 1)[0] for p in found.inputFiles()}) == 1
+    assert [r["content"]["n"] for r in found.collect()] == [70]
+    assert sm.lookup_entry(spark, index, "file:///none").count() == 0
+    assert sm.lookup_entry(spark, str(tmp_path / "nothing"), "x") is None
+    assert sm.clean_up(spark, index, keep=1) == 0  # both refreshes still hold buckets
+    sm.refresh_index(spark, many, index)
+    assert sm.clean_up(spark, index, keep=1) >= 1
+    assert sm.read_index(spark, index).count() == 301
+
+
+def test_the_second_of_two_writers_fails(spark, rows, tmp_path):
+    from shelfmark.plans import index_store
+
+    index = str(tmp_path / "index")
+    one = rows([("/a", 1)], "path string, n long")
+    sm.refresh_index(spark, one, index)
+
+    def meanwhile(old, new):
+        sm.refresh_index(spark, rows([("/b", 2)], "path string, n long"), index)
+        return new
+
+    with pytest.raises(index_store.ConcurrentRefreshError):
+        index_store.write_buckets(spark, sm.to_entries(one), index, meanwhile)
+    assert {r["subject"] for r in sm.read_index(spark, index).collect()} == {"file:///a", "file:///b"}
+
+
+def test_new_fields_and_empty_refresh(spark, rows, tmp_path):
+    index = str(tmp_path / "index")
+    sm.refresh_index(spark, rows([], "path string, n long"), index)
+    assert sm.read_index(spark, index).count() == 0
+    sm.refresh_index(spark, rows([("/a", 1)], "path string, n long"), index)
+    sm.refresh_index(spark, rows([("/b", 2, "x"), (None, 3, "y")], "path string, n long, more string"), index)
+    got = {r["subject"]: r["content"]["more"] for r in sm.read_index(spark, index).collect()}
+    assert got == {"file:///a": None, "file:///b": "x"}
