@@ -85,6 +85,11 @@ def detect_language(lowered: Column) -> Column:
     )
 
 
+def may_be_keyword(word: Column) -> Column:
+    """Long enough and not a common word."""
+    return (F.length(word) >= MIN_KEYWORD_LENGTH) & ~word.isin(STOP_WORDS)
+
+
 def keywords(lowered: Column, k: int = KEYWORDS_PER_FILE) -> Column:
     """The ``k`` most frequent words, ties by first position, as an array.
 
@@ -93,9 +98,7 @@ def keywords(lowered: Column, k: int = KEYWORDS_PER_FILE) -> Column:
     ordered by position, which ``array_intersect`` gives: it keeps the order of its
     first argument.
     """
-    eligible = F.filter(
-        lowered, lambda w: (F.length(w) >= MIN_KEYWORD_LENGTH) & ~w.isin(STOP_WORDS)
-    )
+    eligible = F.filter(lowered, may_be_keyword)
 
     def top(words_: Column, s: Column, runs: Column, kth: Column) -> Column:
         def words_of(chosen: Column) -> Column:

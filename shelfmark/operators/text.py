@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import KEYWORDS_PER_FILE, PREVIEW_CHARS
@@ -49,11 +49,23 @@ def text_profile(
 def extract_keywords(
     df: DataFrame, key: str, content: str = "content", k: int = KEYWORDS_PER_FILE
 ) -> DataFrame:
-    """Long form: one row per document and keyword with its rank (from 1)."""
-    ranked = df.select(
-        F.col(key), F.posexplode(tf.keywords(tf.lower_words(F.col(content)), k)).alias("pos", "keyword")
+    """Long form: one row per document and keyword with its rank (from 1).
+
+    Words are counted as rows, line by line, and combined before the shuffle, so no task
+    holds the words of a whole document. Rows of one key count as one document.
+    """
+    lines = df.select(
+        F.col(key), F.posexplode(F.split(F.lower(F.col(content)), "\n", -1)).alias("line", "__text")
+    )
+    found = lines.select(
+        key, "line", F.posexplode(tf.words(F.col("__text"))).alias("place", "keyword")
+    ).where(tf.may_be_keyword(F.col("keyword")))
+    counted = found.groupBy(key, "keyword").agg(
+        F.count("*").alias("n"), F.min(F.struct("line", "place")).alias("first")
     )
-    return ranked.select(key, (F.col("pos") + 1).alias("rank"), "keyword")
+    order = Window.partitionBy(key).orderBy(F.desc("n"), "first")
+    ranked = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(key, "rank", "keyword")
 
 
 def language_breakdown(df: DataFrame, language: str = "language") -> DataFrame:
