@@ -71,7 +71,7 @@ def _raw_records(turns: DataFrame) -> DataFrame:
             ).alias("message")
         )
     )
-    kind = F.pmod(F.coalesce("conv_id", F.lit(0)) + F.coalesce("turn", F.lit(0)), F.lit(3))
+    kind = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
     return turns.select(
         "conv_id", "turn", F.when(kind == 0, flat).when(kind == 1, said).otherwise(deep).alias("record")
     )

@@ -267,12 +267,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_records(records: DataFrame) -> DataFrame:
-    """Per page record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Per page record: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A page without a key has record id ``<urn:x-page:None>`` and comes back with null.
+    """
     number = lambda c: F.regexp_extract(c, r"^<urn:x-page:(-?\d+)>$", 1)
     return records.filter(F.col("problem").isNull()).select(
-        number(F.col("record_id")).cast("long").alias("page_id"),
+        number(F.col("record_id")).try_cast("long").alias("page_id"),
         F.col("payload_length").alias("payload_bytes"),
         F.col("payload_sha1").alias("payload_digest"),
         F.col("warc_type").alias("record_type"),
-        F.when(F.col("refers_to").isNotNull(), number(F.col("refers_to")).cast("long")).alias("refers_to"),
+        F.when(F.col("refers_to").isNotNull(), number(F.col("refers_to")).try_cast("long")).alias("refers_to"),
     )
