@@ -24,9 +24,9 @@ def light(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def packed(df: DataFrame, rows: int) -> DataFrame:
-    """Fewer tasks for a table of at most so many rows."""
-    return df.coalesce(rows // TASK_ROWS + 1) if rows <= 100 * TASK_ROWS else df
+def packed(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """Fewer tasks for a table of at most so many rows; rows of one partition stay together."""
+    return df.coalesce(rows // each + 1) if rows <= 100 * each else df
 
 
 @dataclass

@@ -29,6 +29,7 @@ MORE = 3  # levels added when a node is too large
 ROUNDS = 3
 SMALL_NODE = 64
 CELL = 128  # documents of either side that meet in one piece of comparing work
+CELL_ROWS = 10_000  # rows of such pieces that one task is given at least
 ESTIMATE = 0.66  # four deviations below 0.8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -189,11 +190,13 @@ def compare_pairs(
             [pa.array(a[both]), pa.array(b[both]), pa.array(value, pa.float64())], names=["a", "b", "value"]
         )
 
-    return _by_cells(rows, settle, "a long, b long, value double")
+    return _by_cells(rows, settle, "a long, b long, value double", 3 * n)
 
 
-def _by_cells(rows: DataFrame, settle: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """Give whole cells of rows (_cell, ...) to ``settle``, many small ones at a time."""
+def _by_cells(
+    rows: DataFrame, settle: Callable[[pa.Table], pa.RecordBatch], schema: str, n: int
+) -> DataFrame:
+    """Give whole cells of about ``n`` rows (_cell, ...) to ``settle``, many small ones at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -213,7 +216,7 @@ def _by_cells(rows: DataFrame, settle: Callable[[pa.Table], pa.RecordBatch], sch
         if rows_held:
             yield settle(pa.Table.from_batches(held))
 
-    return rows.repartition("_cell").sortWithinPartitions("_cell").mapInArrow(run, schema)
+    return packed(rows.repartition("_cell"), n, CELL_ROWS).sortWithinPartitions("_cell").mapInArrow(run, schema)
 
 
 def _estimate(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -250,10 +253,10 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) ->
     return compare_pairs(pairs, payload, prepare, score).filter(F.col("value") > 0).select("a", "b")
 
 
-def _within_nodes(mixed: DataFrame, reps: DataFrame) -> DataFrame:
+def _within_nodes(mixed: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     """Distinct pairs (a, b) of different components that share a node and look similar.
 
-    ``mixed`` has (_node, _key, _size, _part). A node's documents meet in one cell; those of
+    ``mixed`` has at most ``n`` rows (_node, _key, _size, _part). A node's documents meet in one cell; those of
     a node that branching could not make small meet in cells of two blocks each.
     """
     blocks = F.ceil(F.col("_size") / CELL)
@@ -262,7 +265,7 @@ def _within_nodes(mixed: DataFrame, reps: DataFrame) -> DataFrame:
     cells = dealt.select(
         F.xxhash64("_node", F.least("_own", "_x"), F.greatest("_own", "_x")).alias("_cell"), "_key", "_part"
     )
-    rows = cells.join(reps.select("_key", "_sketch"), "_key").select("_cell", "_key", "_part", "_sketch")
+    rows = reps.select("_key", "_sketch").join(light(cells, n), "_key").select("_cell", "_key", "_part", "_sketch")
 
     def settle(table: pa.Table) -> pa.RecordBatch:
         cell, key, part = (table.column(i).to_numpy() for i in (0, 1, 2))
@@ -287,7 +290,7 @@ def _within_nodes(mixed: DataFrame, reps: DataFrame) -> DataFrame:
         b = np.concatenate([np.zeros(0, np.int64), *rights])
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    return _by_cells(rows, settle, "a long, b long").distinct()
+    return packed(_by_cells(rows, settle, "a long, b long", n).distinct(), n)
 
 
 def _to_components(
@@ -336,7 +339,7 @@ def _to_components(
         a, b = zip(*found) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return _by_cells(rows, settle, "a long, b long")
+    return _by_cells(rows, settle, "a long, b long", n_dealt)
 
 
 def _linked(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
@@ -362,24 +365,30 @@ def similar_components(texts: DataFrame, words: int, similarity: int) -> DataFra
         "representatives",
     )
     roots, live = None, None
-    frontier = _entries(reps.select("_key", "_sketch"), DEPTH)
+    frontier, n_frontier = _entries(reps.select("_key", "_sketch"), DEPTH), 1 << 62
     for turn in range(ROUNDS + 1):
-        nodes = frontier.groupBy("_node").agg(F.count(F.lit(1)).alias("_size"), F.min("_key").alias("_low"))
-        shared = stored(frontier.join(nodes.filter(F.col("_size") > 1), "_node"), "shared-nodes")
+        nodes = packed(
+            frontier.groupBy("_node").agg(F.count(F.lit(1)).alias("_size"), F.min("_key").alias("_low")), n_frontier
+        ).filter(F.col("_size") > 1)
+        shared = stored(frontier.join(light(nodes, n_frontier), "_node"), "shared-nodes")
+        n_shared = shared.count()
+        if not n_shared:
+            break
         if live is None:
             live = _texts_of(texts.select("_key", "_text"), shared.select("_key").distinct())
         # First each document meets the smallest of its nodes: most groups of copies join here.
         ends = shared.filter(F.col("_key") != F.col("_low")).select(
             F.col("_key").alias("a"), F.col("_low").alias("b"), F.col("_low").alias("g")
         )
-        best = _estimate(ends.distinct(), reps).groupBy("a").agg(
+        best = _estimate(packed(ends.distinct(), n_shared), reps).groupBy("a").agg(
             F.max_by("b", F.struct("value", F.bitwise_not("b"))).alias("b")
         )
+        best = packed(best, n_shared)
         roots = merge_roots(roots, _confirm(best.select("a", "b", F.col("b").alias("g")), live, words, similarity))
         # Then nodes that still hold several components: small ones are compared exhaustively.
         before = roots
         inside = with_root(shared.select("_node", "_key", "_size"), before, "_key", "_part")
-        parts = inside.groupBy("_node", "_part").agg(F.count(F.lit(1)).alias("_n"))
+        parts = packed(inside.groupBy("_node", "_part").agg(F.count(F.lit(1)).alias("_n")), n_shared)
         split, n_split = counted(
             parts.groupBy("_node").agg(
                 F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_n", F.bitwise_not("_part").alias("_not"))).alias("_top")
@@ -390,22 +399,27 @@ def similar_components(texts: DataFrame, words: int, similarity: int) -> DataFra
         if not n_split:
             break
         mixed = stored(inside.join(light(split, n_split), "_node"), "mixed-nodes")
-        small = mixed if turn == ROUNDS else mixed.filter(F.col("_size") <= SMALL_NODE)
-        near = with_root(_within_nodes(small, reps), before, "b", "g")
+        last = turn == ROUNDS
+        small = mixed if last else mixed.filter(F.col("_size") <= SMALL_NODE)
+        # In the last round a document meets several blocks of its node.
+        near = with_root(_within_nodes(small, reps, 1 << 62 if last else mixed.count()), before, "b", "g")
         roots = merge_roots(roots, _confirm(near.select("a", "b", "g"), live, words, similarity))
         large = mixed.filter(F.col("_size") > SMALL_NODE)
-        if turn == ROUNDS or large.isEmpty():
+        if last or large.isEmpty():
             break
         # In a large node where one component is most of it, the others are compared with all
         # of that component, and branching goes on without it.
         dense = F.col("_most") * 2 >= F.col("_size")
         outside = large.filter(dense & (F.col("_part") != F.col("_main")))
         if not outside.isEmpty():
-            minors = outside.select(F.col("_key").alias("a"), F.col("_main").alias("g")).distinct()
+            minors = packed(outside.select(F.col("_key").alias("a"), F.col("_main").alias("g")).distinct(), n_shared)
             named = with_root(reps.select("_key"), before, "_key", "_part")
             roots = merge_roots(roots, _to_components(minors, named, live, words, similarity))
         onward = large.filter(~dense | (F.col("_part") != F.col("_main"))).select("_key", "_node")
-        frontier = _entries(onward.join(reps.select("_key", "_sketch"), "_key").select("_key", "_sketch", "_node"), MORE)
+        onward, n_onward = counted(onward)
+        drawn_on = reps.select("_key", "_sketch").join(light(onward, n_onward), "_key")
+        frontier = stored(_entries(drawn_on.select("_key", "_sketch", "_node"), MORE), "deeper-nodes")
+        n_frontier = frontier.count()
     named = with_root(reps.select("_set", "_key"), roots, "_key", "_root").select("_set", "_root")
     return drawn.select("_key", "_name", "_n", "_set").join(named, "_set", "left").drop("_set")
 
