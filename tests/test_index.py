@@ -115,8 +115,9 @@ def test_pages_flags_and_arrays(rows):
     long = rows([("d", 0, "w" * 10_001)], "doc string, no int, text string")
     assert sm.page_text_stats(long, "doc", "no").head()["text_preview"].endswith("w...")
     arrays = rows([([1.0, 3.0],), ([],), (None,), ([0.0] * 1000,)], "a array<double>")
-    got = [(r["min"], r["max"], r["mean"], r["std"]) for r in sm.array_statistics(arrays, "a").collect()]
+    got = [(r["min"], r["max"], r["mean"], r["std"]) for r in sm.array_statistics(arrays, "a", max_len=1000).collect()]
     assert got == [(1.0, 3.0, 2.0, 1.0)] + [(None,) * 4] * 3
+    assert sm.array_statistics(arrays, "a").where("size(a) = 1000").head()["max"] == 0.0
 
 
 def test_hierarchy_limits(rows):
