@@ -107,7 +107,7 @@ class PairwiseVote:
         for a, b in pairs:
             rows = np.flatnonzero((labels == classes[a]) | (labels == classes[b]))
             y = np.where(labels[rows] == classes[a], 1.0, -1.0).astype(np.float32)
-            columns.append(fit_svm(x[rows], y))
+            columns.append(fit_svm(x if len(rows) == len(x) else x[rows], y))
         weights = np.stack(columns, axis=1) if columns else np.zeros((x.shape[1] + 1, 0), np.float32)
         return cls(classes, weights, pairs)
 
@@ -170,7 +170,7 @@ def _row_slices(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, int, n
 
 
 def train_language_model(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 3000
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 1500
 ) -> LanguageModel | None:
     """Fit on about ``sample_rows`` rows with a language and text, as many of each language.
 
