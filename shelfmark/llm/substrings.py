@@ -22,7 +22,7 @@ from .words import find_words, hash_words, mix64, text_slices
 RUN_WORDS = 4  # words of the runs that minimisers are chosen from
 LONGEST = 64  # windows of one packed string
 BUCKET_BYTES = 12 << 20  # packed text that a bucket holds on average
-FLUSH_BYTES = 32 << 20  # packed text that a task gathers before it writes
+FLUSH_BYTES = 20 << 20  # packed text that a task gathers before it writes
 KNOWN_STRINGS = 20_000  # repeated strings that a task remembers
 HOT_FACTOR = 8  # a cell is hot from so many times the mean count
 _NULL_KEY = -(2**63)
