@@ -33,6 +33,14 @@ _PLAIN = lowered(np.arange(256, dtype=np.uint8)).copy()
 _PLAIN[:128][~np.isin(np.arange(128), np.arange(97, 123)) & ~np.isin(np.arange(128), np.arange(65, 91))] = 32
 
 
+# Cells of grams of spaces alone (digits and signs count as spaces): they tell nothing.
+_BLANK = np.array([((0x20202020 >> (8 * (4 - k))) + k) * 0x9E3779B1 % (1 << 32) >> (32 - 13) for k in ORDERS])
+FLOOR = 0.05  # part of a language's gram shares that all cells have alike
+REACH = 3.0  # texts this many times as odd as one in a hundred training rows have no language
+LEAST_REACH = 10.0  # the limit is never stricter, however alike the training rows are
+REJECT = 0.25  # the score at that limit
+
+
 def family_of(language: str) -> str:
     return _FAMILY_OF.get(language.lower().split("-")[0], language)
 
@@ -126,10 +134,65 @@ class PairwiseVote:
         return out
 
 
+def _shares(x: np.ndarray) -> np.ndarray:
+    """Each text's shares of its grams, without those of spaces alone."""
+    shares = x * x
+    shares[:, _BLANK[_BLANK < x.shape[1]]] = 0
+    whole = shares.sum(axis=1, keepdims=True)
+    return shares / np.where(whole > 0, whole, 1)
+
+
+@dataclass
+class Oddness:
+    """How far a text's grams are from those of a language, against the language's own texts.
+
+    The mean log probability of a text's grams under the shares in the training rows, below
+    the median of those rows, in units of the chance spread of a text of so many different
+    grams: a short or monotonous text is allowed more. ``limit`` is where texts are odd.
+    """
+
+    logs: dict[str, np.ndarray]
+    middle: dict[str, float]
+    limit: float
+
+    @classmethod
+    def fit(cls, x: np.ndarray, labels: np.ndarray, step: int = 64) -> Oddness:
+        """Each training row is measured against the others of its language."""
+        logs, middle, odd = {}, {}, []
+        for name in sorted(set(labels)):
+            rows = np.flatnonzero(labels == name)
+            parts = [rows[a : a + step] for a in range(0, len(rows), step)]
+            total = np.zeros(x.shape[1])
+            for part in parts:
+                total += _shares(x[part]).sum(axis=0)
+            logs[name] = cls._log(total, len(rows)).astype(np.float32)
+            means, spreads = [], []
+            for part in parts:
+                shares = _shares(x[part])
+                means.append((shares * cls._log(np.maximum(total - shares, 0), len(rows) - 1)).sum(axis=1))
+                spreads.append(np.sqrt((shares * shares).sum(axis=1)))
+            mean, spread = np.concatenate(means), np.concatenate(spreads)
+            middle[name] = float(np.median(mean))
+            odd.append((middle[name] - mean) / np.where(spread > 0, spread, 1))
+        return cls(logs, middle, max(REACH * float(np.quantile(np.concatenate(odd), 0.99)), LEAST_REACH))
+
+    @staticmethod
+    def _log(total: np.ndarray, rows: int) -> np.ndarray:
+        return np.log((1 - FLOOR) * total / max(rows, 1) + FLOOR / total.shape[-1])
+
+    def fits(self, x: np.ndarray, name: str) -> np.ndarray:
+        """1 up to half the limit, falling to REJECT at the limit and on towards 0."""
+        shares = _shares(x)
+        spread = np.sqrt((shares * shares).sum(axis=1))
+        odd = (self.middle[name] - shares @ self.logs[name]) / np.where(spread > 0, spread, 1)
+        return np.minimum(1.0, REJECT ** (2 * odd.astype(np.float64) / self.limit - 1))
+
+
 @dataclass
 class LanguageModel:
     families: PairwiseVote
     within: dict[str, PairwiseVote]
+    oddness: Oddness
 
     @classmethod
     def fit(cls, x: np.ndarray, languages: list[str]) -> LanguageModel:
@@ -139,7 +202,7 @@ class LanguageModel:
         within = {
             f: PairwiseVote.fit(x[family == f], labels[family == f], sorted(set(labels[family == f]))) for f in names
         }
-        return cls(PairwiseVote.fit(x, family, names), within)
+        return cls(PairwiseVote.fit(x, family, names), within, Oddness.fit(x, labels))
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         p = self.families.probabilities(x)
@@ -153,6 +216,11 @@ class LanguageModel:
                 for row, j in zip(rows, best):
                     out[row] = self.within[family].classes[j]
                 score[rows] *= q[np.arange(len(rows)), best]
+        # The vote only compares languages; whether the text is like the winner's at all is another matter.
+        named = np.array(out, dtype=object)
+        for name in set(out):
+            rows = np.flatnonzero(named == name)
+            score[rows] = np.minimum(score[rows], self.oddness.fits(x[rows], name))
         return out, score
 
 
@@ -235,8 +303,10 @@ def identify_language(
     """key, lang_pred and score (0 to 1) of every whole text.
 
     ``und`` with score 0 for a null text, one without a letter, or without a model. The
-    score is the probability of the family times that of the language within it. Rows with
-    equal keys are judged each on their own; other columns are ignored.
+    score is the probability of the family times that of the language within it, or how well
+    the text's grams fit that language if that is less: below 0.25 the text is further from
+    the language than its training rows, far beyond chance, and may be in none that was
+    learned. Rows with equal keys are judged each on their own; other columns are ignored.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -251,7 +321,7 @@ def identify_language(
 
 
 def keep_identified(
-    docs: DataFrame, model: LanguageModel | None, *, text: str = "text", min_score: float = 0.25
+    docs: DataFrame, model: LanguageModel | None, *, text: str = "text", min_score: float = REJECT
 ) -> DataFrame:
     """The rows whose language is determined with at least ``min_score``, unchanged.
 

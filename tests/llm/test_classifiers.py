@@ -1,3 +1,6 @@
+import base64
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +47,24 @@ def test_languages_are_told_apart_within_their_family(language):
     assert (family_of("pt-BR"), family_of("xx")) == ("romance", "xx")
 
 
+def test_texts_of_no_learned_language_are_rejected(spark, docs, language):
+    rng = random.Random(4)
+    junk = [
+        "".join(rng.choice("asdfghjklqwertyuiopzxcvbnm  ") for _ in range(400)),
+        "sdkfjh qwpoeiru zmxncbv alskdjf qpwoeiruty",
+        base64.b64encode(rng.randbytes(600)).decode(),
+        rng.randbytes(300).hex(),
+        "это русский текст о погоде и природе " * 5,
+    ]
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+    assert keep_identified(odd, language).count() == 0
+    # Short and other clean rows stay, also those that were held out.
+    plain = docs.filter(F.col("text").rlike(r"^[\p{L} .,\n]+$"))
+    assert plain.filter(F.length("text") < 60).count() > 5
+    assert keep_identified(plain, language).count() == plain.count()
+    assert keep_identified(docs, language).count() >= 0.99 * docs.count()
+
+
 def test_language_of_odd_rows(edge, nothing, language):
     found = {r["doc_id"]: r for r in identify_language(edge, language).collect()}
     assert {k for k, r in found.items() if r["lang_pred"] == "und" and k is not None} == {20, 21, 22, 28}
