@@ -9,7 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import stored
@@ -61,16 +61,19 @@ def build_record(key: int, url: str | None, payload: bytes, refers_to: int | Non
     return VERSION + b"\r\n" + head + b"\r\n" + block + b"\r\n\r\n"
 
 
+def _payload_facts(html: str) -> tuple[Column, Column]:
+    payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
+    return F.unhex(F.sha1(payload)).alias("_sha1"), F.octet_length(payload).alias("_length")
+
+
 def mark_revisits(pages: DataFrame, key: str, html: str, at_least: int = 1000) -> DataFrame:
-    """(key, refers_to) of the records whose payload another one with a larger key has too.
+    """(key, _sha1, _length, refers_to) of the payloads that another record with a larger key has too.
 
     Of equal payloads of ``at_least`` bytes the largest key is kept. Only keys, lengths and
     digests are shuffled, combined before; a payload with very many copies is an ordinary
     skewed join, which Spark splits.
     """
-    payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    facts = pages.select(F.col(key).alias("_key"), F.unhex(F.sha1(payload)).alias("_sha1"),
-                         F.octet_length(payload).alias("_length")).filter(F.col("_length") >= at_least)
+    facts = pages.select(F.col(key).alias("_key"), *_payload_facts(html)).filter(F.col("_length") >= at_least)
     facts = stored(facts, "warc-digests")
     chosen = (
         facts.groupBy("_sha1", "_length")
@@ -78,7 +81,7 @@ def mark_revisits(pages: DataFrame, key: str, html: str, at_least: int = 1000) -
         .filter(F.col("_n") > 1).drop("_n")
     )
     return facts.join(chosen, ["_sha1", "_length"]).filter(F.col("_key") < F.col("refers_to")).select(
-        F.col("_key").alias(key), "refers_to"
+        F.col("_key").cast("long").alias(key), "_sha1", "_length", "refers_to"
     ).distinct()
 
 
@@ -95,8 +98,11 @@ def write_warc(
     and only a smaller key revisits a larger one.
     """
     revisits = mark_revisits(pages, key, html, at_least)
-    rows = pages.select(F.col(key).cast("long").alias(key), F.col(url).alias("_url"), F.col(html).alias("_html"))
-    rows = rows.join(revisits, key, "left").select(key, "_url", "_html", "refers_to")
+    rows = pages.select(
+        F.col(key).cast("long").alias(key), F.col(url).alias("_url"), F.col(html).alias("_html"), *_payload_facts(html)
+    )
+    # By payload too: a repeated key may have several, each with a target of its own or none.
+    rows = rows.join(revisits, [key, "_sha1", "_length"], "left").select(key, "_url", "_html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = gzip_member(b"")

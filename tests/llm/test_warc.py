@@ -48,6 +48,16 @@ def test_round_trip(spark, tmp_path):
         assert gzip.GzipFile(fileobj=io.BytesIO(path.read_bytes())).read().startswith(b"WARC/1.1\r\n")
 
 
+def test_one_page_id_with_several_payloads(spark, tmp_path):
+    other = "<b>" + "z" * 1500
+    rows = [(1, BIG), (1, other), (1, "q" * 1200), (1, "small"), (2, BIG), (3, other), (3, other)]
+    given = spark.createDataFrame([(k, "u", h) for k, h in rows], "page_id long, url string, html string")
+    write_warc(given, f"{tmp_path}/w")
+    read = read_warc(spark, f"{tmp_path}/w")
+    assert sorted(map(tuple, page_records(read).collect()), key=str) == expected(given.collect())
+    assert {bytes(r["payload"]) for r in read.collect() if r["payload"]} == {h.encode() for _, h in rows}
+
+
 def test_empty_table_and_empty_file(spark, tmp_path):
     write_warc(pages(spark).limit(0), f"{tmp_path}/none")
     (tmp_path / "none" / "empty.warc").write_bytes(b"")
