@@ -17,6 +17,11 @@ from .storage import stored
 VERSION = b"WARC/1.1"
 MEMBER = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+FEED = 1 << 16  # packed bytes that are unpacked at a time
+PIECE = 1 << 20  # unpacked bytes that are made at a time
+HELD = 8 << 20  # members up to this size are unpacked once, others once to check and once to read
+VERSION_MOST = 32  # bytes of a version line
+HEADER_MOST = 1 << 20  # bytes of a header within a member
 _VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r?\n")
 
 
@@ -124,35 +129,54 @@ def write_warc(
     )
 
 
+class _Short(ValueError):
+    """The data ends before the record does."""
+
+
 class Salvage:
     """Records of one archive, plain or gzip, with the byte ranges that could not be read.
 
     Whenever a check fails (member checksum, version line, header, length, digest), the
     reader looks for the next member or version line from which a valid record can be read,
-    and logs the bytes between as a gap.
+    and logs the bytes between as a gap. The same is done within a gzip member, whose bytes
+    are unpacked in pieces: what can be read of a damaged one is read, and the whole member
+    is a gap besides. A gap within a sound member has the bounds of the member.
     """
 
     def __init__(self, data: bytes):
         self.data, self.gaps = data, []
+        self._end = 0  # of the member unpacked last
 
-    def records(self) -> Iterator[tuple[int, dict, bytes]]:
+    def records(self) -> Iterator[tuple[int, dict, bytes, int]]:
+        """(offset, header fields, block, end) of each record; in a member the bounds are the member's."""
         data, at, bad, reason = self.data, 0, None, ""
         while at < len(data):
             if data[at : at + 1] in (b"\x00", b"\r", b"\n") and bad is None:
                 at += 1  # padding between records
                 continue
-            try:
-                found, end = self._read(at)
-            except (ValueError, zlib.error) as problem:
-                if bad is None:
-                    bad, reason = at, str(problem)
-                at = self._next(at + 1)
-                continue
-            if bad is not None:
-                self.gaps.append((bad, at, reason))
+            packed = data.startswith(MEMBER, at)
+            problem, found = "", iter(())
+            if packed:
+                problem, pieces, digests = self._look(at)
+                end = self._next(at + 1) if problem else self._end
+                found = self._within(pieces, None if problem else (at, end), digests)
+            else:
+                try:
+                    record, end = self._record(data, at)
+                    found = iter([record])
+                except ValueError as fault:
+                    problem, end = str(fault), self._next(at + 1)
+            first = next(found, None)
+            if bad is not None and (first or not problem):
+                own = self.gaps[-1:] if packed and self.gaps and self.gaps[-1][0] == at else []
+                self.gaps[len(self.gaps) - len(own) :] = [(bad, at, reason), *own]
                 bad = None
-            for record in found:
-                yield at, *record
+            if first:
+                yield at, *first, end
+                for record in found:
+                    yield at, *record, end
+            if problem and bad is None:
+                bad, reason = at, problem
             at = end
         if bad is not None:
             self.gaps.append((bad, len(data), reason))
@@ -163,29 +187,120 @@ class Salvage:
         ends = [p for p in (member, line.start() if line else -1) if p >= 0]
         return min(ends, default=len(self.data))
 
-    def _read(self, at: int) -> tuple[list, int]:
-        if self.data.startswith(MEMBER, at):
-            unpacker = zlib.decompressobj(31)
-            plain = unpacker.decompress(memoryview(self.data)[at:])
-            if not unpacker.eof:
-                raise ValueError("member cut off")
-            end = len(self.data) - len(unpacker.unused_data)
-            found, inner = [], 0
-            while inner < len(plain):
-                record, inner = self._record(plain, inner)
-                found.append(record)
-            return found, end
-        record, end = self._record(self.data, at)
-        return [record], end
+    def _look(self, at: int) -> tuple[str, Iterator[bytes], bool]:
+        """What is wrong with the member, its bytes, and whether its records need a digest.
+
+        A member that is only cut off is right up to there; otherwise the fault may lie in
+        any record.
+        """
+        held, size, problem, digests = [], 0, "", False
+        try:
+            for piece in self._plain(at):
+                size += len(piece)
+                if size <= HELD:
+                    held.append(piece)
+        except (ValueError, zlib.error) as fault:
+            problem, digests = str(fault), isinstance(fault, zlib.error)
+        return problem, iter(held) if size <= HELD else self._sound_part(at), digests
+
+    def _sound_part(self, at: int) -> Iterator[bytes]:
+        try:
+            yield from self._plain(at)
+        except (ValueError, zlib.error):
+            return
+
+    def _plain(self, at: int) -> Iterator[bytes]:
+        """The bytes of a member in bounded pieces, all that come before an error too."""
+        unpacker, fed = zlib.decompressobj(31), at
+        while not unpacker.eof and fed < len(self.data):
+            chunk = self.data[fed : fed + FEED]
+            fed += len(chunk)
+            while chunk and not unpacker.eof:
+                before = unpacker.copy()
+                try:
+                    piece = unpacker.decompress(chunk, PIECE)
+                except zlib.error:
+                    for i in range(len(chunk)):  # a failing call gives nothing: find the last good byte
+                        rest = before.decompress(chunk[i : i + 1])
+                        if rest:
+                            yield rest
+                    raise
+                chunk = unpacker.unconsumed_tail
+                if piece:
+                    yield piece
+        while not unpacker.eof and (piece := unpacker.decompress(b"", PIECE)):
+            yield piece
+        if not unpacker.eof:
+            raise ValueError("member cut off")
+        self._end = fed - len(unpacker.unused_data)
+
+    def _within(self, pieces: Iterator[bytes], log: tuple[int, int] | None, digests: bool) -> Iterator[tuple]:
+        """The records in a member's bytes; what lies between them is a gap with the bounds ``log``."""
+        held, at, passed, bad, reason, more = bytearray(), 0, 0, None, "", True
+
+        def gap(end: int) -> None:
+            if log is not None:
+                self.gaps.append((*log, f"{reason} (bytes {bad} to {end} of the member)"))
+
+        while True:
+            if at > PIECE:
+                del held[:at]
+                passed, at = passed + at, 0
+            record, short, fault = None, at >= len(held), ""
+            if not short:
+                if bad is None and held[at] in b"\x00\r\n":
+                    at += 1
+                    continue
+                try:
+                    record, end = self._record(held, at)
+                except _Short as problem:
+                    short, fault = True, str(problem)
+                except ValueError as problem:
+                    fault = str(problem)
+            if short and more:
+                piece = next(pieces, None)
+                more = piece is not None
+                held += piece or b""
+                continue
+            if record is not None and digests and not any(
+                record[0].get(f"warc-{part}-digest", "").startswith("sha1:") for part in ("block", "payload")
+            ):
+                record, fault = None, "no digest in a damaged member"
+            if record is not None:
+                if bad is not None:
+                    gap(passed + at)
+                    bad = None
+                yield record
+                at = end
+                continue
+            if at >= len(held):
+                break
+            if bad is None:
+                bad, reason = passed + at, fault
+            at += 1
+            while True:
+                line = _VERSION_LINE.search(held, at)
+                start, line = (line.start() if line else -1), None
+                if start >= 0 or not more:
+                    at = start if start >= 0 else len(held)
+                    break
+                at = max(at, len(held) - VERSION_MOST)  # a line may go on in the next piece
+                del held[:at]
+                passed, at = passed + at, 0
+                piece = next(pieces, None)
+                more = piece is not None
+                held += piece or b""
+        if bad is not None:
+            gap(passed + len(held))
 
     @staticmethod
-    def _record(data: bytes, at: int) -> tuple[tuple[dict, bytes], int]:
+    def _record(data: bytes | bytearray, at: int) -> tuple[tuple[dict, bytes], int]:
         line = _VERSION_LINE.match(data, at)
         if not line:
-            raise ValueError("no version line")
+            raise (_Short if len(data) - at < VERSION_MOST else ValueError)("no version line")
         close = data.find(b"\r\n\r\n", line.end() - 2)
         if close < 0:
-            raise ValueError("header not closed")
+            raise (_Short if len(data) - at < HEADER_MOST else ValueError)("header not closed")
         fields = {}
         for text in data[line.end() : close].decode("utf-8", "replace").split("\r\n"):
             name, colon, value = text.partition(":")
@@ -197,8 +312,8 @@ class Salvage:
         start = close + 4
         end = start + int(fields["content-length"])
         if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError("record end not found")
-        block = data[start:end]
+            raise (_Short if end + 4 > len(data) else ValueError)("record end not found")
+        block = bytes(data[start:end])
         label = fields.get("warc-block-digest", "")
         if label.startswith("sha1:") and label != sha1_label(block):
             raise ValueError("block digest differs")
@@ -226,9 +341,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def rows_of(name: str, data: bytes) -> Iterator[tuple]:
         reader = Salvage(data)
         told = 0
-        for at, fields, block in reader.records():
-            for start, end, problem in reader.gaps[told:]:
-                yield name, start, end, problem, None, None, None, None, None, None, None
+        for at, fields, block, end in reader.records():
+            for start, to, problem in reader.gaps[told:]:
+                yield name, start, to, problem, None, None, None, None, None, None, None
             told = len(reader.gaps)
             kind = fields.get("warc-type")
             body, full = None, None
@@ -242,7 +357,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 digest, full = hashlib.sha1(body).hexdigest(), len(body)
                 label = fields.get("warc-payload-digest", "")
                 if label.startswith("sha1:") and label != sha1_label(body):
-                    yield name, at, at, "payload digest differs", None, None, None, None, None, None, None
+                    yield name, at, end, "payload digest differs", None, None, None, None, None, None, None
                     continue
             yield (name, at, None, None, kind, fields.get("warc-record-id"), fields.get("warc-refers-to"),
                    fields.get("warc-target-uri"), body, full, digest)

@@ -1,9 +1,11 @@
 import gzip
 import hashlib
 import io
+import random
 
 from pyspark.sql import functions as F
 
+from shelfmark.llm import warc
 from shelfmark.llm.warc import Salvage, build_record, gzip_member, page_records, read_warc, write_warc
 
 DATE = "2025-01-01T00:00:00Z"
@@ -102,6 +104,31 @@ def test_salvage_of_plain_records():
     assert len(gaps) == 3
 
 
+def test_salvage_inside_a_member(monkeypatch):
+    plain = records(40)
+    wrong = plain[7].replace(b"payload 7 payload", b"payload 7 pAyload", 1)
+    sound = gzip_member(b"".join([*plain[:7], wrong, b"junk", *plain[8:]]))
+    for piece in (1 << 20, 700):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        monkeypatch.setattr(warc, "HELD", piece)
+        found, gaps = salvaged(sound + gzip_member(plain[0]))
+        assert found == names(*range(7), *range(8, 40), 0)
+        assert len(gaps) == 1 and gaps[0][:2] == (0, len(sound)) and "block digest differs" in gaps[0][2]
+        whole = gzip_member(b"".join(plain))
+        found, gaps = salvaged(whole[:-8] + b"\0" * 8 + gzip_member(plain[0]))  # wrong checksum
+        assert found == names(*range(40), 0) and [g[:2] for g in gaps] == [(0, len(whole))]
+        found, gaps = salvaged(whole[: len(whole) * 3 // 4])  # cut end
+        assert 20 < len(found) < 40 and found == names(*range(len(found)))
+        assert [g[:2] for g in gaps] == [(0, len(whole) * 3 // 4)]
+
+
+def test_records_longer_than_a_piece(monkeypatch):
+    monkeypatch.setattr(warc, "PIECE", 1000)
+    long = [build_record(i, "u", random.Random(i).randbytes(30_000), None, DATE) for i in range(3)]
+    found, gaps = salvaged(gzip_member(b"".join(long)))
+    assert found == names(0, 1, 2) and not gaps
+
+
 def test_mixed_and_foreign_archives():
     foreign = b"WARC/1.0\nnot a header\r\n\r\n" + b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     reader = Salvage(gzip_member(records(1)[0]) + foreign + records(2)[1])
@@ -123,3 +150,5 @@ def test_wrong_payload_digest_is_quarantined(spark, tmp_path):
     line = next(part for part in body.split(b"\r\n") if part.startswith(b"WARC-Payload-Digest"))
     (tmp_path / "b.warc").write_bytes(body.replace(line, b"WARC-Payload-Digest: sha1:" + b"A" * 32))
     assert [r["problem"] for r in read_warc(spark, str(tmp_path)).collect()] == ["payload digest differs"]
+    row = read_warc(spark, str(tmp_path)).first()
+    assert (row["offset"], row["gap_end"]) == (0, (tmp_path / "b.warc").stat().st_size)
