@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,10 +87,13 @@ class Packer:
     def __init__(self, window: int, hot: np.ndarray, buckets: int):
         self.window, self.hot, self.buckets = window, hot, buckets
         self.shift = np.uint64(64 - (len(hot).bit_length() - 1))
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self.known: dict[bytes, tuple[int, int, int]] = {}
 
     def pack(self, keys: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> tuple | None:
-        """(bucket, key, start, words, bytes of each string; the strings; repeats found)."""
+        """(bucket, key, start, words, bytes of each string; the strings; repeats found).
+
+        A key is a row of two numbers, in their order.
+        """
         starts, ends, first = find_words(raw, offsets)
         k, m = self.window, min(RUN_WORDS, self.window)
         if len(starts) < k:
@@ -126,28 +129,28 @@ class Packer:
         many = np.zeros(len(look), dtype=bool)
         many[order[1:][same]] = many[order[:-1][same]] = True
         keep, repeats = np.ones(len(look), dtype=bool), []
-        here: dict[bytes, tuple[int, int, int]] = {}
+        here: dict[bytes, tuple[int, int, int, int]] = {}
         for i in np.flatnonzero(many):
-            string, place = text[low[i] : high[i]].tobytes(), (int(key[i]), int(start[i]))
+            string, place = text[low[i] : high[i]].tobytes(), (*key[i].tolist(), int(start[i]))
             if string in self.known and self.known[string] < place:
                 keep[i] = False
-                repeats.append((*place, place[1] + int(n_words[i])))
+                repeats.append((*place, place[-1] + int(n_words[i])))
                 continue
             if string in here:
                 other = here[string]
-                if other[:2] == place:
+                if other[:-1] == place:
                     continue
-                late, early = (i, other) if other[:2] < place else (other[2], (*place, i))
+                late, early = (i, other) if other[:-1] < place else (other[-1], (*place, i))
                 keep[late] = False
-                repeats.append((int(key[late]), int(start[late]), int(start[late] + n_words[late])))
+                repeats.append((*key[late].tolist(), int(start[late]), int(start[late] + n_words[late])))
                 here[string] = early
             else:
                 here[string] = (*place, i)
         if len(self.known) > KNOWN_STRINGS:
             self.known.clear()
         for string, place in here.items():
-            if place[:2] < self.known.get(string, (2**63, 0)):
-                self.known[string] = place[:2]
+            if place[:-1] < self.known.get(string, (2**63,)):
+                self.known[string] = place[:-1]
         return keep, repeats
 
 
@@ -296,24 +299,40 @@ def _open_blocks(blocks: list[bytes]) -> tuple[np.ndarray, ...]:
         n = int(np.frombuffer(body, np.int64, 1)[0])
         parts.append(
             (
-                np.frombuffer(body, np.int64, n, 8),
-                np.frombuffer(body, np.int32, n, 8 + 8 * n).astype(np.int64),
-                np.frombuffer(body, np.int32, n, 8 + 12 * n).astype(np.int64),
-                np.frombuffer(body, np.uint8, -1, 8 + 16 * n),
+                np.frombuffer(body, np.int64, 2 * n, 8).reshape(n, 2),
+                np.frombuffer(body, np.int32, n, 8 + 16 * n).astype(np.int64),
+                np.frombuffer(body, np.int32, n, 8 + 20 * n).astype(np.int64),
+                np.frombuffer(body, np.uint8, -1, 8 + 24 * n),
             )
         )
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
+def _row_names(docs: DataFrame, key: str, text: str) -> tuple[Column, Column]:
+    """What names a row: its key, and where keys repeat a hash of its text (else 0)."""
+    name = F.coalesce(F.col(key).cast("long"), F.lit(_NULL_KEY))
+    repeats = not docs.groupBy(name.alias("_key")).count().filter(F.col("count") > 1).isEmpty()
+    look = F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if repeats else F.lit(0).cast("long")
+    return name.alias("_key"), look.alias("_look")
+
+
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of two numbers in order, and the place of each row among them."""
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    new = np.r_[True, (keys[order][1:] != keys[order][:-1]).any(axis=1)]
+    place = np.empty(len(keys), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return keys[order][new], place
+
+
 def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
-    """(_key, _from, _to): word stretches all of whose windows occur earlier in the corpus.
+    """(_key, _look, _from, _to): word stretches all of whose windows occur earlier in the corpus.
 
-    Earlier means in a smaller key, or in the same key at an earlier word. Stretches of a
-    document may overlap. A null key counts as the smallest.
+    Earlier means in a smaller key, in an equal key with a text of smaller hash, or at an
+    earlier word of the same text. Stretches of a document may overlap. A null key counts
+    as the smallest.
     """
-    given = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(_NULL_KEY)).alias("_key"), F.col(text).alias("_text")
-    )
+    given = docs.select(*_row_names(docs, key, text), F.col(text).alias("_text"))
     size = given.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     hot = _hot_cells(given, size)
     buckets = max(1, int(np.ceil(size * 3.2 / BUCKET_BYTES)))
@@ -337,8 +356,8 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 )
 
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for lo, hi, raw, offsets in text_slices(batch.column(1)):
+            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+            for lo, hi, raw, offsets in text_slices(batch.column(2)):
                 packed = packer.pack(keys[lo:hi], raw, offsets)
                 if packed is None:
                     continue
@@ -352,7 +371,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                     waiting.setdefault(int(bucket[chosen[0]]), []).append(
                         (name[chosen], start[chosen], n_words[chosen], string)
                     )
-                    held += len(string) + 16 * len(chosen)
+                    held += len(string) + 24 * len(chosen)
                 if held > FLUSH_BYTES or len(repeats) > 500_000:
                     turn += 1
                     yield from written()
@@ -363,26 +382,29 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def settle(table: pa.Table) -> pa.Table:
         done = table.column("_done").to_pylist()
         data = table.column("_data").to_pylist()
-        parts = [np.frombuffer(d, np.int64).reshape(-1, 3) for d, f in zip(data, done) if f]
+        parts = [np.frombuffer(d, np.int64).reshape(-1, 4) for d, f in zip(data, done) if f]
         blocks = [d for d, f in zip(data, done) if not f]
         if blocks:
-            parts.append(np.stack(repeated_in_bucket(window, *_open_blocks(blocks)), axis=1))
-        found = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
-        return pa.table({"_key": found[:, 0], "_from": found[:, 1], "_to": found[:, 2]})
+            keys, *strings = _open_blocks(blocks)
+            names, place = _ranked(keys)
+            at, begins, ends = repeated_in_bucket(window, place, *strings)
+            parts.append(np.column_stack([names[at], begins, ends]))
+        found = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
+        return pa.table(dict(zip(("_key", "_look", "_from", "_to"), found.T.copy())))
 
     blocks = given.mapInArrow(pack, "_bucket int, _done boolean, _data binary")
-    return blocks.groupBy("_bucket").applyInArrow(settle, "_key long, _from long, _to long")
+    return blocks.groupBy("_bucket").applyInArrow(settle, "_key long, _look long, _from long, _to long")
 
 
 def _applied(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
     """(_row, n_words, n_removed, kept_text): each row as a struct, and what is left of its text."""
     spans = repeated_spans(docs, key=key, text=text, window=window)
-    spans = spans.groupBy("_key").agg(F.collect_list(F.struct("_from", "_to")).alias("_spans"))
+    spans = spans.groupBy("_key", "_look").agg(F.collect_list(F.struct("_from", "_to")).alias("_spans"))
     given = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-        F.coalesce(F.col(key).cast("long"), F.lit(_NULL_KEY)).alias("_key"),
+        *_row_names(docs, key, text),
     )
-    joined = given.join(spans, "_key", "left").select(
+    joined = given.join(spans, ["_key", "_look"], "left").select(
         "_row", F.col("_spans._from").alias("_from"), F.col("_spans._to").alias("_to")
     )
     place = docs.columns.index(text)
@@ -426,9 +448,9 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Returns key, n_words, n_removed and kept_text (the kept words joined by one space).
     Words are runs other than space and 0x09-0x0D, taken unchanged from whole texts; windows
     are judged on the input. A null or empty text has no words and kept_text ''. Texts
-    shorter than a window lose nothing. Rows with equal keys are one document for the order
-    of windows: a window at the same key and place is not earlier, and all of them lose the
-    same places. Other columns are ignored.
+    shorter than a window lose nothing. Rows with equal keys come in the order of a hash of
+    their texts; those of equal texts too are one document, and lose the same places. Other
+    columns are ignored.
     """
     applied = _applied(docs.select(key, text), key, text, window)
     return applied.select(F.col(f"_row.`{key}`").alias(key), "n_words", "n_removed", "kept_text")

@@ -88,3 +88,15 @@ def test_whole_rows(edge, nothing):
         elif r["doc_id"] is not None:
             assert (r["doc_id"], r["text"]) in before
     assert without_repeats(nothing).count() == 0 and remove_repeats(nothing).count() == 0
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_rows_of_one_key_lose_only_their_own_repeats(spark, key):
+    copied, own = prose(50, 60), [prose(60 + i, 80) for i in range(4)]
+    texts = [copied + " " + own[0], own[1], copied + " " + own[2], own[3] + " " + copied]
+    rows = [(key, t) for t in texts]
+    df = spark.createDataFrame([*rows, (9, copied)], "doc_id long, text string").repartition(3)
+    kept = [r["kept_text"] for r in remove_repeats(df).collect()]
+    assert all(sum(o in t for t in kept) == 1 for o in own)  # no clean text goes
+    assert sum(copied in t for t in kept) == 1  # one copy stays, although two begin alike
+    assert sum(r["n_removed"] for r in remove_repeats(df).collect()) == 3 * 60
