@@ -27,6 +27,7 @@ TREES = 12  # at depth 5 a pair of similarity 0.8 shares a node of a tree with c
 DEPTH = 5
 MORE = 3  # levels added when a node is too large
 ROUNDS = 3
+EXTRA = (5, 5, 4)  # trees added for large nodes in each round: deeper, a tree misses more pairs
 SMALL_NODE = 64
 CELL = 128  # documents of either side that meet in one piece of comparing work
 CELL_ROWS = 10_000  # rows of such pieces that one task is given at least
@@ -121,9 +122,14 @@ def grow(nodes: np.ndarray, owners: np.ndarray, values: np.ndarray, levels: int)
     return nodes, owners
 
 
-def _entries(rows: DataFrame, levels: int) -> DataFrame:
-    """(_node, _key) below the nodes of (_key, _sketch, _nodes: array or null for the roots)."""
-    roots = mix64(np.arange(1, TREES + 1, dtype=np.uint64))
+def trees_after(rounds: int) -> int:
+    """The trees that have been drawn after so many rounds of branching on."""
+    return TREES + sum(EXTRA[:rounds])
+
+
+def _entries(rows: DataFrame, levels: int, trees: range = range(TREES)) -> DataFrame:
+    """(_node, _key) below the nodes of (_key, _sketch, _node), or below the roots of ``trees``."""
+    roots = mix64(np.arange(trees.start + 1, trees.stop + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +139,7 @@ def _entries(rows: DataFrame, levels: int) -> DataFrame:
                 keys = part.column(0).to_numpy()
                 values = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(n, ORDERS)
                 if part.num_columns == 2:
-                    nodes, owners = np.tile(roots, n), np.repeat(np.arange(n), TREES)
+                    nodes, owners = np.tile(roots, n), np.repeat(np.arange(n), len(roots))
                 else:
                     nodes, owners = part.column(2).to_numpy().astype(np.int64).view(np.uint64), np.arange(n)
                 nodes, owners = grow(nodes, owners, values, levels)
@@ -418,7 +424,13 @@ def similar_components(texts: DataFrame, words: int, similarity: int) -> DataFra
         onward = large.filter(~dense | (F.col("_part") != F.col("_main"))).select("_key", "_node")
         onward, n_onward = counted(onward)
         drawn_on = reps.select("_key", "_sketch").join(light(onward, n_onward), "_key")
-        frontier = stored(_entries(drawn_on.select("_key", "_sketch", "_node"), MORE), "deeper-nodes")
+        deeper = _entries(drawn_on.select("_key", "_sketch", "_node"), MORE)
+        # A pair shares a deeper node of a tree with less chance, so these documents get more trees.
+        again = reps.select("_key", "_sketch").join(
+            light(packed(onward.select("_key").distinct(), n_onward), n_onward), "_key"
+        )
+        more = _entries(again, DEPTH + MORE * (turn + 1), range(trees_after(turn), trees_after(turn + 1)))
+        frontier = stored(deeper.union(more), "deeper-nodes")
         n_frontier = frontier.count()
     named = with_root(reps.select("_set", "_key"), roots, "_key", "_root").select("_set", "_root")
     return drawn.select("_key", "_name", "_n", "_set").join(named, "_set", "left").drop("_set")

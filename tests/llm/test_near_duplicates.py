@@ -105,3 +105,24 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert component_roots(links.limit(0), 0).table.count() == 0
     few = {r[0]: r[1] for r in component_roots(links, 10**9).table.collect()}
     assert few == got
+
+
+def test_chance_of_missing_a_pair_at_every_depth():
+    shared, chance = 1.0, [1.0]
+    for _ in range(module.DEPTH + module.MORE * module.ROUNDS):
+        shared = 1 - 0.75 * (1 - 0.8 * shared) - 0.25 * (1 - 0.8 * shared) ** 2
+        chance.append(shared)
+    for turn in range(module.ROUNDS + 1):
+        assert (1 - chance[module.DEPTH + module.MORE * turn]) ** module.trees_after(turn) < 2e-4
+
+
+def test_extra_trees_are_drawn_for_large_nodes(spark, monkeypatch):
+    drawn = []
+    entries = module._entries
+    monkeypatch.setattr(module, "SMALL_NODE", 4)
+    monkeypatch.setattr(module, "_entries", lambda *a: drawn.append(a[1:]) or entries(*a))
+    # Families of one template with several components, none of which has half of a node.
+    rows = [(i, edited(prose(500, 100), 4, i // 3) + f" own{i // 3} " * 3 + f"last{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert measured(near_duplicates(df, words=2)) == brute(rows, 2)
+    assert (module.DEPTH + module.MORE, range(12, 17)) in drawn
