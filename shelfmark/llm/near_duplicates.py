@@ -452,10 +452,8 @@ def _row_key(docs: DataFrame, key: str, text: str) -> tuple[Column, bool]:
     return (F.xxhash64(name, F.coalesce(F.col(text), F.lit(""))) if repeats else name), repeats
 
 
-def _judged(
-    docs: DataFrame, key: str, text: str, words: int, similarity: int
-) -> tuple[DataFrame, Column, bool]:
-    """(_key, _name, _n, _root as the smallest name of the component), and how rows are named."""
+def _judged(docs: DataFrame, key: str, text: str, words: int, similarity: int) -> DataFrame:
+    """(_key, _name, _n, _root as the smallest name of the component)."""
     row, repeats = _row_key(docs, key, text)
     name = F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY))
     given = docs.select(row.alias("_key"), name.alias("_name"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -463,7 +461,7 @@ def _judged(
     if repeats:
         least = found.filter(F.col("_root").isNotNull()).groupBy("_root").agg(F.min("_name").alias("_least"))
         found = found.join(least, "_root", "left").drop("_root").withColumnRenamed("_least", "_root")
-    return found.withColumn("_root", F.coalesce("_root", "_name")), row, repeats
+    return found.withColumn("_root", F.coalesce("_root", "_name"))
 
 
 def near_duplicates(
@@ -478,7 +476,7 @@ def near_duplicates(
     repeat that key, each of them is. A null key takes part as the smallest and comes back
     as null. An empty table gives no rows; other columns are ignored.
     """
-    found, _, _ = _judged(docs, key, text, words, similarity)
+    found = _judged(docs, key, text, words, similarity)
     back = lambda c: F.when(F.col(c) != _NO_KEY, F.col(c)).cast(docs.schema[key].dataType)
     return found.select(
         back("_name").alias(key),
@@ -491,8 +489,20 @@ def near_duplicates(
 def keep_representatives(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: int = 80
 ) -> DataFrame:
-    """The rows that ``near_duplicates`` keeps, unchanged; of equal texts under one key, one."""
-    found, row, repeats = _judged(docs, key, text, words, similarity)
-    gone, n = counted(found.filter(F.col("_name") != F.col("_root")).select(F.col("_key").alias("_gone")).distinct())
+    """One row of each component of ``near_duplicates``, unchanged: one of the smallest key.
+
+    Where rows repeat that key, the one of the smallest row name stays. Rows without words
+    are in no component; of equal texts under one key one stays.
+    """
+    row, repeats = _row_key(docs, key, text)
+    name = F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY))
+    given = docs.select(row.alias("_key"), name.alias("_name"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    found = similar_components(given, words, similarity).filter(F.col("_root").isNotNull())
+    if repeats:
+        first = found.groupBy("_root").agg(F.min(F.struct("_name", "_key")).alias("_first"))
+        lost = found.join(first, "_root").filter(F.struct("_name", "_key") != F.col("_first"))
+    else:
+        lost = found.filter(F.col("_name") != F.col("_root"))
+    gone, n = counted(lost.select(F.col("_key").alias("_gone")).distinct())
     left = docs.join(light(gone, n), row == F.col("_gone"), "left_anti")
     return left.dropDuplicates([key, text]) if repeats else left

@@ -126,3 +126,11 @@ def test_extra_trees_are_drawn_for_large_nodes(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert measured(near_duplicates(df, words=2)) == brute(rows, 2)
     assert (module.DEPTH + module.MORE, range(12, 17)) in drawn
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_one_row_of_a_component_stays_under_one_key(spark, key):
+    texts = [prose(3, 90), prose(3, 90).upper(), prose(3, 90) + " more", prose(4, 90), "", None]
+    df = spark.createDataFrame([(key, t) for t in texts] + [(9, prose(3, 90))], "doc_id long, text string")
+    kept = sorted((r["text"] or "").lower()[:200] for r in keep_representatives(df).collect())
+    assert kept == ["", "", *sorted([prose(3, 90)[:200], prose(4, 90)[:200]])]
