@@ -240,20 +240,31 @@ def _row_slices(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, int, n
 def train_language_model(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 1500
 ) -> LanguageModel | None:
-    """Fit on about ``sample_rows`` rows with a language and text, as many of each language.
+    """Fit on about ``sample_rows`` different rows with a language and text, as many of each language.
 
-    The rows are those with the smallest hashes of the key, found by a threshold for each
-    language from its count over all rows; whole texts are used. The number of languages
-    must be small, their counts come to the driver. None without a labelled row.
+    The rows are those with the smallest hashes of key and text, found by a threshold for
+    each language from its count, which is tightened while it takes a quarter too many;
+    equal rows count once. Whole texts are used. The number of languages must be small,
+    their counts come to the driver. None without a labelled row.
     """
-    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
+    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key))).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("_name")
+    )
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("_name")).collect()}
     if not counts:
         return None
     each = sample_rows / len(counts)
-    bound = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))])
-    spread = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.filter(spread < bound[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    bounds = {k: min(1.0, each / max(n, 1)) for k, n in counts.items()}
+    spread = F.pmod(F.col("_name"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    while True:
+        bound = F.create_map(*[F.lit(v) for pair in bounds.items() for v in pair])
+        taken = labelled.filter(spread < bound[F.col("lang")])
+        many = {r[0]: r[1] for r in taken.select("lang", "_name").distinct().groupBy("lang").count().collect()}
+        over = {k: n for k, n in many.items() if n > max(1.25 * each, 1)}
+        if not over:
+            break
+        bounds |= {k: bounds[k] * each / n for k, n in over.items()}
+    sample = taken.dropDuplicates(["lang", "_name"]).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

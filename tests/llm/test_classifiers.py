@@ -75,6 +75,16 @@ def test_language_of_odd_rows(edge, nothing, language):
     assert kept.columns == edge.columns and kept.count() == edge.count() - 5
 
 
+@pytest.mark.parametrize("key", [None, 8])
+def test_sample_keeps_its_bound_under_one_key(spark, monkeypatch, key):
+    seen = []
+    monkeypatch.setattr(LanguageModel, "fit", classmethod(lambda cls, x, names: seen.append(names)))
+    rows = [(key, f"text number {i}", "en") for i in range(900)] + [(key, "the same", "en")] * 300
+    rows += [(i, f"texte {i}", "fr") for i in range(200)]
+    train_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=80)
+    assert 20 <= seen[0].count("en") <= 50 and 20 <= seen[0].count("fr") <= 50
+
+
 def test_language_without_labels(spark, edge, nothing):
     assert train_language_model(nothing) is None
     assert {r["lang_pred"] for r in identify_language(edge, None).collect()} == {"und"}
