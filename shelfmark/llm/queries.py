@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from .chat import canonical_turns, conversation_digests, format_turn
 from .decontaminate import find_leaks
+from .fill_in_middle import digests, fill_in_middle
 from .language import held_out, identify_language, train_language_model
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
 from .nearest import nearest_by_product
 from .quality import score_quality, train_quality_model
+from .quality_rules import BASE_RULES, RULES, STOP_WORDS, Rule, judge_quality
 from .storage import fresh_path
 from .substrings import remove_repeats
 from .token_counts import count_tokens
+from .tokenizer_alignment import align_tokenizers
 from .warc import page_records, read_warc, write_warc
 
 
@@ -109,6 +112,42 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_tokenizers(
+        _table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(_table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def _rule_sql(rule: Rule) -> str:
+    """A rule of the threshold table as DuckDB text."""
+    base = "1" if rule.per is None else rule.per
+    tests = []
+    if rule.at_least is not None:
+        tests.append(f"{rule.measure} >= {rule.at_least}::DOUBLE * {base}")
+    if rule.at_most is not None:
+        tests.append(f"{rule.measure} <= {rule.at_most}::DOUBLE * {base}")
+    return "(" + " AND ".join(tests) + ")"
+
+
+_STOP_WORDS_SQL = ", ".join(f"'{w}', '{w[:1].upper() + w[1:]}'" for w in STOP_WORDS)
+_BASE_SQL = " AND ".join(map(_rule_sql, BASE_RULES))
+_TABLE_SQL = " AND ".join(map(_rule_sql, RULES))
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_near_duplicates": op2_near_duplicates,
@@ -120,6 +159,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_mix": op9_mix,
     "op10_quality": op10_quality,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLES = {
@@ -236,4 +278,55 @@ ORACLES = {
                (size * (copies + CASE WHEN upto <= room OR (upto - own < room AND upto - room < room - (upto - own))
                                       THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM c""",
+    "op11_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+                   regexp_extract_all(coalesce(text, ''),
+                                      '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+            FROM documents),
+        c AS (
+            SELECT *, len(units) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(units) + 1) AS x,
+                   ('0x' || substr(h, 9, 8))::BIGINT % (len(units) + 1) AS y,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                             OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+                        WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM d),
+        p AS (
+            SELECT *, array_to_string(units[:least(x, y)], '') AS prefix,
+                   array_to_string(units[least(x, y) + 1:greatest(x, y)], '') AS middle,
+                   array_to_string(units[greatest(x, y) + 1:], '') AS suffix
+            FROM c)
+        SELECT doc_id, n::BIGINT AS n, form,
+               CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""",
+    "op13_quality_rules": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                   list_filter(string_split(coalesce(text, ''), chr(10)),
+                               lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents),
+        w AS (
+            SELECT id, i, array_to_string(words[i:i + 7], ' ') AS seq
+            FROM (SELECT id, words, unnest(range(1, len(words) - 6)) AS i FROM d WHERE len(words) >= 8)),
+        r AS (SELECT id, i FROM w QUALIFY count(*) OVER (PARTITION BY id, seq) > 1),
+        c AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT id, unnest(range(i, i + 8)) FROM r) GROUP BY id),
+        m AS (
+            SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda s: length(s))), 0)::BIGINT
+                       AS word_chars,
+                   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+                   coalesce(n, 0) AS n_repeat_words,
+                   len(list_filter(words, lambda s: s IN ({_STOP_WORDS_SQL}))) AS n_stop_words,
+                   len(list_filter(lines, lambda s: left(ltrim(s, ' '), 1) IN ('-', '*', '•'))) AS n_bullet_lines,
+                   len(list_filter(lines, lambda s: rtrim(s, ' ') LIKE '%...' OR rtrim(s, ' ') LIKE '%…'))
+                       AS n_ellipsis_lines
+            FROM d LEFT JOIN c ON d.id = c.id)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, NOT ({_BASE_SQL}) AS base_failed,
+               ({_BASE_SQL}) AND ({_TABLE_SQL}) AS kept
+        FROM m""",
 }
