@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ class ByteLevelEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # A task has one core; the library would start a thread for each core of the machine.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         letters = byte_letters()
@@ -40,8 +44,8 @@ class ByteLevelEncoder:
         for entry, i in vocab.items():
             self.tokens[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 class PieceEncoder:
@@ -59,91 +63,172 @@ class PieceEncoder:
         # No piece has a space after another character, so texts may be cut before a space.
         self.cuts_before_space = not any(_B_SPACE in p.lstrip(_B_SPACE) for p in pieces)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, num_threads=1)
+    def encode(self, text: str) -> list[int]:
+        return self.library.encode(text)
 
 
-class Stretch:
-    """The aligned tokens of one stretch of text."""
+class Aligned(NamedTuple):
+    """Aligned stretches: links of all in one array, the others a value per stretch."""
 
-    __slots__ = ("links", "n_a", "n_b", "n_groups", "shown")
-
-    def __init__(self, a: list[int], b: list[int], ends_a: np.ndarray, ends_b: np.ndarray, width: int):
-        # Between two neighbouring token ends lies a part of exactly one token of each side, and
-        # two tokens that overlap share exactly one such part: the parts are the links.
-        ends = np.union1d(ends_a, ends_b)
-        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-        ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-        self.links = ids_a[at_a] * width + ids_b[at_b]
-        self.n_a, self.n_b = len(a), len(b)
-        common = np.intersect1d(ends_a, ends_b)
-        self.n_groups = len(common)
-        last_a, last_b = np.searchsorted(ends_a, common) + 1, np.searchsorted(ends_b, common) + 1
-        parts, i, j = [], 0, 0
-        for to_a, to_b in zip(last_a.tolist(), last_b.tolist()):
-            parts.append(",".join(map(str, a[i:to_a])) + "|" + ",".join(map(str, b[j:to_b])))
-            i, j = to_a, to_b
-        self.shown = ";".join(parts)
+    links: np.ndarray
+    n_links: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    shown: list[str]
 
 
 class Aligner:
-    """Aligns whole texts; keeps the stretches it has met, up to a bound of bytes."""
+    """Aligns whole texts; keeps the stretches it has met, up to a bound of bytes.
+
+    A text is cut at single spaces, which no token of either side crosses. Stretches not met
+    before are encoded many at a time, as one text joined by spaces.
+    """
 
-    def __init__(self, vocabulary: str, model: str, kept_bytes: int = 96 << 20, chunk: int = 20_000):
+    def __init__(
+        self, vocabulary: str, model: str, kept_bytes: int = 96 << 20, chunk: int = 20_000, joined_chars: int = 1 << 16
+    ):
         self.a, self.b = ByteLevelEncoder(vocabulary), PieceEncoder(model)
         self.width = len(self.b.tokens)
         self.sizes_a = np.array([len(t) for t in self.a.tokens], dtype=np.int64)
         self.sizes_b = np.array([len(t) for t in self.b.tokens], dtype=np.int64)
-        self.known: dict[str, Stretch | None] = {}
-        self.kept_bytes, self.held, self.chunk = kept_bytes, 0, chunk
-
-    def _align(self, stretches: list[str]) -> list[Stretch | None]:
-        """Each stretch with a space before it; None where the bytes of a side differ from it."""
-        made = []
-        for text, a, b in zip(stretches, self.a.encode([" " + s for s in stretches]), self.b.encode(stretches)):
-            wanted = (" " + text).encode()
-            if b"".join([self.a.tokens[i] for i in a]) != wanted or b"".join([self.b.tokens[i] for i in b]) != wanted:
-                made.append(None)
-                continue
-            ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
-            made.append(Stretch(a, b, ends_a, ends_b, self.width))
-        return made
+        self.names = [str(i) for i in range(max(len(self.a.tokens), len(self.b.tokens)))]
+        self.kept_bytes, self.chunk, self.joined_chars = kept_bytes, chunk, joined_chars
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.shown: list[str] = []
+        self.facts = np.zeros((1024, 5), dtype=np.int64)  # n_a, n_b, n_groups, n_links, first link
+        self.links = np.zeros(1 << 16, dtype=np.int64)
+        self.n_links = self.held = 0
+
+    def encode(self, stretches: list[str]) -> Aligned | None:
+        """The stretches, each with a space before it, as one text; None where bytes differ from it.
+
+        Between two neighbouring token ends lies a part of exactly one token of each side, and
+        two tokens that overlap share exactly one such part: the parts are the links.
+        """
+        text = " ".join(stretches)
+        a, b = self.a.encode(" " + text), self.b.encode(text)
+        wanted = (" " + text).encode()
+        if b"".join([self.a.tokens[i] for i in a]) != wanted or b"".join([self.b.tokens[i] for i in b]) != wanted:
+            return None
+        ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
+        ends, common = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+        links = ids_a[np.searchsorted(ends_a, ends)] * self.width + ids_b[np.searchsorted(ends_b, ends)]
+        borders = np.cumsum([len(s.encode()) + 1 for s in stretches])
+        cut_a, cut_b, cut_links, cut_groups = (
+            np.searchsorted(e, borders, side="right") for e in (ends_a, ends_b, ends, common)
+        )
+        # The ids as they are shown: group by group, those of A before those of B.
+        side = np.r_[2 * np.searchsorted(common, ends_a), 2 * np.searchsorted(common, ends_b) + 1]
+        order = np.argsort(side, kind="stable")
+        side, ids = side[order], np.r_[ids_a, ids_b][order]
+        mark = np.where(side[1:] == side[:-1], ",", np.where(side[:-1] % 2 == 0, "|", ";"))
+        flat = [""] * (2 * len(ids))
+        flat[0::2] = [self.names[i] for i in ids.tolist()]
+        flat[1:-1:2] = mark.tolist()
+        cut_ids = [0, *(2 * (cut_a + cut_b)).tolist()]
+        shown = ["".join(flat[lo : hi - 1]) for lo, hi in zip(cut_ids, cut_ids[1:])]
+        sizes = [np.diff(c, prepend=0) for c in (cut_links, cut_a, cut_b, cut_groups)]
+        return Aligned(links, *sizes, shown)
+
+    def _keep(self, stretches: list[str], found: Aligned) -> None:
+        at, to = len(self.shown), len(self.shown) + len(stretches)
+        while to > len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+        while self.n_links + len(found.links) > len(self.links):
+            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
+        first = self.n_links + np.cumsum(found.n_links) - found.n_links
+        self.facts[at:to] = np.stack([found.n_a, found.n_b, found.n_groups, found.n_links, first], axis=1)
+        self.links[self.n_links : self.n_links + len(found.links)] = found.links
+        self.n_links += len(found.links)
+        self.shown += found.shown
+        self.place.update(zip(stretches, range(at, to)))
+        self.held += 8 * len(found.links) + sum(300 + len(t) + 2 * len(s) for s, t in zip(stretches, found.shown))
 
     def _learn(self, stretches: list[str]) -> None:
+        """Give every stretch a place; a stretch that its tokens do not spell has place -1."""
         if self.held > self.kept_bytes:
-            self.known.clear()
-            self.held = 0
-        fresh = list(dict.fromkeys(s for s in stretches if s not in self.known))
-        for s, made in zip(fresh, self._align(fresh)):
-            self.known[s] = made
-            self.held += 400 + 2 * len(s) + (0 if made is None else 8 * len(made.links) + len(made.shown))
-
-    def align(self, text: str) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray] | None:
-        """(n_a, n_b, n_groups, n_links, digest, linked id pairs, their counts), or None."""
-        stretches = _CUT.split(text) if self.b.cuts_before_space else [text]
+            self._forget()
+        waiting, chars = [], 0
+        for s in set(stretches).difference(self.place):
+            if s and not s[0].isspace() and not s[-1].isspace():
+                waiting.append(s)
+                chars += len(s)
+                if chars > self.joined_chars:
+                    self._learn_joined(waiting)
+                    waiting, chars = [], 0
+            else:
+                self._learn_joined([s])
+        if waiting:
+            self._learn_joined(waiting)
+
+    def _learn_joined(self, stretches: list[str]) -> None:
+        found = self.encode(stretches)
+        if found is not None:
+            self._keep(stretches, found)
+        elif len(stretches) > 1:
+            half = len(stretches) // 2
+            self._learn_joined(stretches[:half])
+            self._learn_joined(stretches[half:])
+        else:
+            self.place[stretches[0]] = -1
+            self.held += 300 + 2 * len(stretches[0])
+
+    def align_all(self, texts: list[str | None]) -> list[tuple | None]:
+        """Each text as by ``align``; the new stretches of neighbouring texts are encoded together."""
+        out: list[tuple | None] = []
+        waiting: list[list[str]] = []
+
+        def finish() -> None:
+            if len(waiting) > 1:
+                self._learn([s for stretches in waiting for s in stretches])
+            out.extend(self._align(stretches) if stretches else None for stretches in waiting)
+            waiting.clear()
+
+        for text in texts:
+            waiting.append([] if not text else _CUT.split(text) if self.b.cuts_before_space else [text])
+            if sum(map(len, waiting)) > self.chunk:
+                finish()
+        finish()
+        return out
+
+    def align(self, text: str) -> tuple | None:
+        return self.align_all([text])[0]
+
+    def _align(self, stretches: list[str]) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray] | None:
+        """(n_a, n_b, n_groups, n_links, digest, linked id pairs, their counts) of a text, or None."""
         digest = hashlib.sha256()
-        totals = np.zeros(3, dtype=np.int64)
+        totals = np.zeros(4, dtype=np.int64)
         links: list[np.ndarray] = []
         for lo in range(0, len(stretches), self.chunk):
             part = stretches[lo : lo + self.chunk]
-            self._learn(part)
-            found = [self.known[s] for s in part]
-            if None in found:
-                return self._whole(text) if len(stretches) > 1 else None
-            digest.update(((";" if lo else "") + ";".join([f.shown for f in found])).encode())
-            totals += np.array([(f.n_a, f.n_b, f.n_groups) for f in found]).sum(axis=0)
-            links.append(np.concatenate([f.links for f in found]))
-        every = np.concatenate(links)
-        pairs, times = np.unique(every, return_counts=True)
-        return (*totals.tolist(), len(every), digest.hexdigest(), pairs, times)
+            places = list(map(self.place.get, part))
+            if None in places:
+                self._learn(part)
+                places = [self.place[s] for s in part]
+            if -1 in places:
+                return self._whole(" ".join(stretches)) if len(stretches) > 1 else None
+            digest.update(((";" if lo else "") + ";".join([self.shown[i] for i in places])).encode())
+            facts = self.facts[places]
+            totals += facts[:, :4].sum(axis=0)
+            sizes = facts[:, 3]
+            inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            links.append(self.links[inner + np.repeat(facts[:, 4], sizes)])
+        pairs, times = np.unique(np.concatenate(links), return_counts=True)
+        return (*totals.tolist(), digest.hexdigest(), pairs, times)
 
     def _whole(self, text: str) -> tuple | None:
         """A stretch differs: only if the joined bytes of the whole still agree are there tokens."""
-        f = self._align([text])[0]
-        if f is None:
+        found = self.encode([text])
+        if found is None:
             return None
-        pairs, times = np.unique(f.links, return_counts=True)
-        return f.n_a, f.n_b, f.n_groups, len(f.links), hashlib.sha256(f.shown.encode()).hexdigest(), pairs, times
+        pairs, times = np.unique(found.links, return_counts=True)
+        numbers = [int(n[0]) for n in (found.n_a, found.n_b, found.n_groups, found.n_links)]
+        return (*numbers, hashlib.sha256(found.shown[0].encode()).hexdigest(), pairs, times)
 
 
 _MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
@@ -176,7 +261,7 @@ def align_texts(docs: DataFrame, vocabulary: str, model: str, *, text: str = "te
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                found = [aligner.align(t) if t else None for t in part.column(0).to_pylist()]
+                found = aligner.align_all(part.column(0).to_pylist())
                 found = [f or (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)) for f in found]
                 *numbers, digests, pairs, times = zip(*found)
                 ends = np.cumsum([0, *map(len, pairs)]).astype(np.int32)

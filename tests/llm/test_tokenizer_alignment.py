@@ -93,7 +93,7 @@ ODD = [
     "café 你好 \U0001f600\U0001f600 x", "a b　c ① d", "x\x00y", "I'll 'tis we've   done", "\r\n", " ",
     "don't\x1c stop \x85 now", "a ▁ b", "▁ ▁a b c",
 ]
-ALIGNER = Aligner(A, B, kept_bytes=20_000, chunk=7)
+ALIGNER = Aligner(A, B, kept_bytes=20_000, chunk=7, joined_chars=9)
 
 
 @settings(max_examples=300, deadline=None)
