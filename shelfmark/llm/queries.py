@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import canonical_turns, conversation_digests, format_turn
+from .chat import MAPPINGS, canonical_turns, conversation_digests, format_turn
 from .decontaminate import find_leaks
 from .fill_in_middle import digests, fill_in_middle
 from .language import held_out, identify_language, train_language_model
@@ -88,7 +90,9 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"),
     )
     raw = _raw_records(given.unionByName(extra))
-    turns = raw.select("conv_id", "turn", canonical_turns(F.col("record")).alias("known")).select(
+    # Roles are kept as they are written; renaming them is for callers who ask for it.
+    mappings = tuple(replace(m, aliases=()) for m in MAPPINGS)
+    turns = raw.select("conv_id", "turn", canonical_turns(F.col("record"), mappings).alias("known")).select(
         "conv_id", "turn", F.posexplode("known.turns").alias("place", "said")
     )
     formatted = turns.select(

@@ -1,6 +1,8 @@
 import hashlib
 import json
 
+import duckdb
+import oracle
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from shelfmark.llm.chat import (
     format_turn,
     read_turn,
 )
+from shelfmark.llm.queries import ORACLES, op8_chat_format
 
 
 def turns_of(spark, *records):
@@ -101,3 +104,16 @@ def test_digests_stream_conversations(spark):
         assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     none = conversation_digests(made.limit(0), "conv_id", ["turn"])
     assert none.count() == 0
+
+
+def test_query_keeps_foreign_roles_null_keys_and_extra_columns(spark, tmp_path):
+    roles = ["human", "gpt", "bot", "model", "tool", "assistant", "user", "system", None]
+    rows = [(c, t, role, f"text {c} {t} <|im_end|>", "x", "y") for c in (1, 2, None) for t, role in enumerate(roles)]
+    rows += [(4, 0, "gpt", None, None, None), (4, 1, "assistant", "", "x", "y")]
+    schema = "conv_id long, turn long, role string, text string, formatted string, made string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = op8_chat_format(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert oracle.compare(got, con, ORACLES["op8_chat_format"]) is None
+    assert {r["conv_id"]: r["loss_chars"] for r in got.collect()}[4] == 0
