@@ -123,20 +123,42 @@ def train_quality_model(
 
     Labels other than 0 and 1 are left out, as are held-out keys and null texts; a key
     with several labels counts with each. The rows are those with the smallest hashes of
-    the key, found by a threshold from the counts; whole texts are used. None without any.
+    the key, found by a threshold from the counts; where keys repeat, those among them with
+    the smallest hashes of key and text, under a threshold tightened until at most a quarter
+    more rows than asked for are left. Whole texts are used, of rows equal in key and text
+    one. None without any.
     """
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).filter(
         F.col("_label").isin(0, 1) & F.col("_key").isNotNull() & ~held_out(F.col("_key"))
-    )
+    ).distinct()
     counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
     if not counts:
         return None
-    share = [min(1.0, sample_rows / 2 / counts[v]) if v in counts else 0.0 for v in (0, 1)]
+    each = sample_rows / 2
+    share = [min(1.0, each / counts[v]) if v in counts else 0.0 for v in (0, 1)]
     spread = F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.filter(spread < F.when(F.col("_label") == 1, share[1]).otherwise(share[0]))
-    # About sample_rows keys and labels: small by the bound above.
+    while True:
+        chosen = known.filter(spread < F.when(F.col("_label") == 1, share[1]).otherwise(share[0]))
+        keys = {r[0]: r[1] for r in chosen.groupBy("_label").count().collect()}
+        over = {v: n for v, n in keys.items() if n > max(1.25 * each, 1)}
+        if not over:
+            break
+        share = [share[v] * each / over[v] if v in over else share[v] for v in (0, 1)]
+    # At most 1.25 * sample_rows keys and labels, counted above.
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
-    rows = rows.join(F.broadcast(chosen), "_key").select("_key", "_label", "_text")
+    rows = rows.join(F.broadcast(chosen), "_key").select(
+        "_key", "_label", "_text", F.xxhash64("_key", "_text").alias("_name")
+    )
+    drawn = F.pmod(F.xxhash64("_name"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = [1.0, 1.0]
+    while True:
+        taken = rows.filter(drawn < F.when(F.col("_label") == 1, share[1]).otherwise(share[0]))
+        many = {r[0]: r[1] for r in taken.select("_label", "_name").distinct().groupBy("_label").count().collect()}
+        over = {v: n for v, n in many.items() if n > max(1.25 * each, 1)}
+        if not over:
+            break
+        share = [share[v] * each / over[v] if v in over else share[v] for v in (0, 1)]
+    rows = taken.dropDuplicates(["_label", "_name"]).select("_key", "_label", "_text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

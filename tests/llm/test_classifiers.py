@@ -1,10 +1,12 @@
 import base64
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.llm import quality as quality_module
 from shelfmark.llm.language import (
     LanguageModel,
     family_of,
@@ -143,6 +145,19 @@ def test_quality_labels_of_odd_kinds(spark, edge):
     assert model is not None
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_quality_sample_keeps_its_bound_under_one_key(spark, monkeypatch, copies):
+    learned = []
+    fit = quality_module.fit_ftrl
+    monkeypatch.setattr(quality_module, "fit_ftrl", lambda x, y, **kw: learned.append(len(x)) or fit(x, y, **kw))
+    key = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 4 != 2)
+    rows = [(key, f"word{i} other{i % 7}") for i in range(5000)] + [(i, f"plain text {i}") for i in range(1000, 1200)]
+    docs = spark.createDataFrame(rows * copies, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k == key or k % 2)) for k in {r[0] for r in rows}] * copies, "doc_id long, quality int")
+    assert train_quality_model(docs, labels, sample_rows=150) is not None
+    assert 75 <= learned[0] <= 190
+
+
 def test_ftrl_separates_and_stays_sparse():
     rng = np.random.default_rng(1)
     examples, labels = [], []
