@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import counted, light, merge_roots, packed, with_root
-from .storage import stored
+from .storage import stored, trimmed
 from .words import find_words, hash_words, lowered, mix64, text_slices
 
 ORDERS = 128
@@ -99,7 +99,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     names=["_key", "_name", "_n", "_set", "_sketch"],
                 )
 
-    return docs.mapInArrow(run, "_key long, _name long, _n long, _set binary, _sketch binary")
+    return docs.mapInArrow(trimmed(run), "_key long, _name long, _n long, _set binary, _sketch binary")
 
 
 def grow(nodes: np.ndarray, owners: np.ndarray, values: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,50 +153,46 @@ def _entries(rows: DataFrame, levels: int, trees: range = range(TREES)) -> DataF
 def compare_pairs(
     pairs: DataFrame, payload: DataFrame, prepare: Callable[[list], list], score: Callable[[list, np.ndarray, np.ndarray], np.ndarray]
 ) -> DataFrame:
-    """(a, b, value) of pairs (a, b, g), from the payload (_key, _data) of both sides.
+    """(a, b, parts, value) of pairs (a, b, g, parts), from the payload (_key, _data) of both sides.
 
-    Pairs of a group g are dealt into cells of at most about CELL documents of either side,
+    Pairs of a group g are dealt by their first document into as many cells as each row says,
     so a document's payload travels once for a cell, not for each pair, and a large group
-    spreads over many cells. ``prepare`` turns a list of payloads into items, ``score``
-    rates pairs of item numbers.
+    spreads over many cells. The rows carry that number; groups are not joined to their
+    sizes. ``prepare`` turns a list of payloads into items, ``score`` rates pairs of item
+    numbers.
     """
-    pairs = stored(pairs.select("a", "b", "g"), "pairs")
+    pairs = stored(pairs.select("a", "b", "g", "parts"), "pairs")
     n = pairs.count()
-    # Only groups of more documents than a cell takes are dealt; there are few of those.
-    sizes = pairs.groupBy("g").agg(
-        F.ceil(F.approx_count_distinct("a") / CELL).alias("_na"), F.ceil(F.approx_count_distinct("b") / CELL).alias("_nb")
-    ).filter((F.col("_na") > 1) | (F.col("_nb") > 1))
-    one = F.lit(1).cast("long")
-    known = pairs.join(light(packed(sizes, n // CELL), n // CELL), "g", "left")
-    dealt = known.select(
-        F.xxhash64(
-            "g",
-            F.pmod(F.xxhash64("a"), F.coalesce("_na", one)),
-            F.pmod(F.xxhash64("b", F.lit(1)), F.coalesce("_nb", one)),
-        ).alias("_cell"),
-        "a", "b",
+    dealt = pairs.select(
+        F.xxhash64("g", "parts", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("_cell"), "a", "b", "parts"
     )
     wanted = dealt.select("_cell", F.explode(F.array("a", "b")).alias("_key")).distinct()
     sides = payload.join(light(packed(wanted, 2 * n), 2 * n), "_key").select(
-        "_cell", F.col("_key").alias("a"), F.lit(None).cast("long").alias("b"), "_data"
+        "_cell", F.col("_key").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("parts"), "_data"
     )
-    rows = sides.union(dealt.select("_cell", "a", "b", F.lit(None).cast("binary").alias("_data")))
+    rows = sides.union(dealt.select("_cell", "a", "b", "parts", F.lit(None).cast("binary").alias("_data")))
 
     def settle(table: pa.Table) -> pa.RecordBatch:
-        cell, a, b = (table.column(i).fill_null(0).to_numpy() for i in (0, 1, 2))
-        is_pair = table.column(3).combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        cell, a, b, parts = (table.column(i).fill_null(0).to_numpy() for i in (0, 1, 2, 3))
+        is_pair = table.column(4).combine_chunks().is_null().to_numpy(zero_copy_only=False)
         docs = np.flatnonzero(~is_pair)
-        items = prepare([table.column(3)[i].as_py() for i in docs])
+        items = prepare([table.column(4)[i].as_py() for i in docs])
         place = {pair: i for i, pair in enumerate(zip(cell[docs].tolist(), a[docs].tolist()))}
         both = np.flatnonzero(is_pair)
         left_at = np.array([place[p] for p in zip(cell[both].tolist(), a[both].tolist())], dtype=np.int64)
         right_at = np.array([place[p] for p in zip(cell[both].tolist(), b[both].tolist())], dtype=np.int64)
         value = score(items, left_at, right_at)
         return pa.RecordBatch.from_arrays(
-            [pa.array(a[both]), pa.array(b[both]), pa.array(value, pa.float64())], names=["a", "b", "value"]
+            [pa.array(a[both]), pa.array(b[both]), pa.array(parts[both]), pa.array(value, pa.float64())],
+            names=["a", "b", "parts", "value"],
         )
 
-    return _by_cells(rows, settle, "a long, b long, value double", 3 * n)
+    return _by_cells(rows, settle, "a long, b long, parts long, value double", 3 * n)
+
+
+def _parts(size: Column) -> Column:
+    """Into how many cells a node of so many documents is dealt: a power of two, CELL documents in each."""
+    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(size / CELL, F.lit(1.0))))).cast("long")
 
 
 def _by_cells(
@@ -222,7 +218,7 @@ def _by_cells(
         if rows_held:
             yield settle(pa.Table.from_batches(held))
 
-    return packed(rows.repartition("_cell"), n, CELL_ROWS).sortWithinPartitions("_cell").mapInArrow(run, schema)
+    return packed(rows.repartition("_cell"), n, CELL_ROWS).sortWithinPartitions("_cell").mapInArrow(trimmed(run), schema)
 
 
 def _estimate(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -260,9 +256,10 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) ->
 
 
 def _within_nodes(mixed: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """Distinct pairs (a, b) of different components that share a node and look similar.
+    """Distinct pairs (a, b, g) of different components that share a node and look similar.
 
-    ``mixed`` has at most ``n`` rows (_node, _key, _size, _part). A node's documents meet in one cell; those of
+    g is a cell in which both documents met, so it has at most two blocks of them. ``mixed``
+    has at most ``n`` rows (_node, _key, _size, _part). A node's documents meet in one cell; those of
     a node that branching could not make small meet in cells of two blocks each.
     """
     blocks = F.ceil(F.col("_size") / CELL)
@@ -277,7 +274,7 @@ def _within_nodes(mixed: DataFrame, reps: DataFrame, n: int) -> DataFrame:
         cell, key, part = (table.column(i).to_numpy() for i in (0, 1, 2))
         items = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint16).reshape(-1, ORDERS)
         ends = np.searchsorted(cell, cell, side="right")
-        lefts, rights = [], []
+        lefts, rights, cells_of = [], [], []
         at = 0
         while at < len(cell):
             to = int(np.searchsorted(np.cumsum(ends[at:] - np.arange(at, len(cell))), 1 << 18)) + at + 1
@@ -291,12 +288,15 @@ def _within_nodes(mixed: DataFrame, reps: DataFrame, n: int) -> DataFrame:
                 near = (items[i] == items[j]).mean(axis=1) >= ESTIMATE
                 lefts.append(key[i[near]])
                 rights.append(key[j[near]])
+                cells_of.append(cell[i[near]])
             at += len(mates)
-        a = np.concatenate([np.zeros(0, np.int64), *lefts])
-        b = np.concatenate([np.zeros(0, np.int64), *rights])
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+        a, b, g = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (lefts, rights, cells_of))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(g)], names=["a", "b", "g"]
+        )
 
-    return packed(_by_cells(rows, settle, "a long, b long", n).distinct(), n)
+    found = _by_cells(rows, settle, "a long, b long, g long", n)
+    return packed(found.groupBy("a", "b").agg(F.min("g").alias("g")), n)
 
 
 def _to_components(
@@ -383,14 +383,14 @@ def similar_components(texts: DataFrame, words: int, similarity: int) -> DataFra
         if live is None:
             live = _texts_of(texts.select("_key", "_text"), shared.select("_key").distinct())
         # First each document meets the smallest of its nodes: most groups of copies join here.
-        ends = shared.filter(F.col("_key") != F.col("_low")).select(
-            F.col("_key").alias("a"), F.col("_low").alias("b"), F.col("_low").alias("g")
+        ends = shared.filter(F.col("_key") != F.col("_low")).groupBy(F.col("_key").alias("a"), F.col("_low").alias("b")).agg(
+            F.max(_parts(F.col("_size"))).alias("parts")
         )
-        best = _estimate(packed(ends.distinct(), n_shared), reps).groupBy("a").agg(
-            F.max_by("b", F.struct("value", F.bitwise_not("b"))).alias("b")
+        best = _estimate(packed(ends, n_shared).withColumn("g", F.col("b")), reps).groupBy("a").agg(
+            F.max_by(F.struct("b", "parts"), F.struct("value", F.bitwise_not("b"))).alias("best")
         )
-        best = packed(best, n_shared)
-        roots = merge_roots(roots, _confirm(best.select("a", "b", F.col("b").alias("g")), live, words, similarity))
+        best = packed(best, n_shared).select("a", "best.*", F.col("best.b").alias("g"))
+        roots = merge_roots(roots, _confirm(best, live, words, similarity))
         # Then nodes that still hold several components: small ones are compared exhaustively.
         before = roots
         inside = with_root(shared.select("_node", "_key", "_size"), before, "_key", "_part")
@@ -408,8 +408,8 @@ def similar_components(texts: DataFrame, words: int, similarity: int) -> DataFra
         last = turn == ROUNDS
         small = mixed if last else mixed.filter(F.col("_size") <= SMALL_NODE)
         # In the last round a document meets several blocks of its node.
-        near = with_root(_within_nodes(small, reps, 1 << 62 if last else mixed.count()), before, "b", "g")
-        roots = merge_roots(roots, _confirm(near.select("a", "b", "g"), live, words, similarity))
+        near = _within_nodes(small, reps, 1 << 62 if last else mixed.count()).withColumn("parts", F.lit(1).cast("long"))
+        roots = merge_roots(roots, _confirm(near, live, words, similarity))
         large = mixed.filter(F.col("_size") > SMALL_NODE)
         if last or large.isEmpty():
             break
@@ -504,5 +504,6 @@ def keep_representatives(
     else:
         lost = found.filter(F.col("_name") != F.col("_root"))
     gone, n = counted(lost.select(F.col("_key").alias("_gone")).distinct())
-    left = docs.join(light(gone, n), row == F.col("_gone"), "left_anti")
+    named = docs.select(row.alias("_gone"), F.struct("*").alias("_given"))
+    left = named.join(light(gone, n), "_gone", "left_anti").select("_given.*")
     return left.dropDuplicates([key, text]) if repeats else left

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import work_dir
@@ -27,3 +30,25 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(work_dir(spark))
     return df.checkpoint()
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` that gives freed memory back to the system when its task ends.
+
+    Spark keeps its Python workers for later tasks, where memory that the allocators hold on
+    to would be missing.
+    """
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped

@@ -134,3 +134,11 @@ def test_one_row_of_a_component_stays_under_one_key(spark, key):
     df = spark.createDataFrame([(key, t) for t in texts] + [(9, prose(3, 90))], "doc_id long, text string")
     kept = sorted((r["text"] or "").lower()[:200] for r in keep_representatives(df).collect())
     assert kept == ["", "", *sorted([prose(3, 90)[:200], prose(4, 90)[:200]])]
+
+
+def test_stage_takes_columns_of_any_name(spark):
+    rows = [(i, prose(i // 2, 90), i, "x", None) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone long, _given string, _key string")
+    kept = keep_representatives(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == [r for r in rows if r[0] % 2 == 0]
