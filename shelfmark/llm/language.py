@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import trimmed
 from .words import lowered, slices, text_bytes
 
 UNDETERMINED = "und"
@@ -280,7 +281,7 @@ def train_language_model(
                     names=["lang", "cells", "values"],
                 )
 
-    rows = sample.mapInArrow(vectors, "lang string, cells binary, values binary").orderBy("lang", "cells").collect()
+    rows = sample.mapInArrow(trimmed(vectors), "lang string, cells binary, values binary").orderBy("lang", "cells").collect()
     x = np.zeros((len(rows), DIMENSIONS), dtype=np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["cells"], np.uint16)] = np.frombuffer(r["values"], np.float32)
@@ -328,7 +329,7 @@ def identify_language(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=[key, "lang_pred", "score"]
             )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+    return docs.select(key, text).mapInArrow(trimmed(run), f"`{key}` {kind}, lang_pred string, score double")
 
 
 def keep_identified(
@@ -350,4 +351,4 @@ def keep_identified(
                 keep = [n != UNDETERMINED and s >= min_score for n, s in zip(names, scores)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

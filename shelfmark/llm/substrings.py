@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import cut
+from .storage import cut, trimmed
 from .words import find_words, hash_words, mix64, text_slices
 
 RUN_WORDS = 4  # words of the runs that minimisers are chosen from
@@ -271,7 +271,7 @@ def _hot_cells(docs: DataFrame, text_bytes: int) -> np.ndarray:
             part = found[lo : lo + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(cells[part])], names=["cell", "n"])
 
-    counts = docs.select("_text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = docs.select("_text").mapInArrow(trimmed(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     # At most one cell in HOT_FACTOR can exceed the limit, and there are 2 ** 22 at most.
     counts = cut(counts)
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
@@ -392,7 +392,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         found = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
         return pa.table(dict(zip(("_key", "_look", "_from", "_to"), found.T.copy())))
 
-    blocks = given.mapInArrow(pack, "_bucket int, _done boolean, _data binary")
+    blocks = given.mapInArrow(trimmed(pack), "_bucket int, _done boolean, _data binary")
     return blocks.groupBy("_bucket").applyInArrow(settle, "_key long, _look long, _from long, _to long")
 
 
@@ -439,7 +439,7 @@ def _applied(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
             T.StructField("kept_text", T.StringType()),
         ]
     )
-    return joined.mapInArrow(apply, schema)
+    return joined.mapInArrow(trimmed(apply), schema)
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
