@@ -166,7 +166,9 @@ def compare_pairs(
     dealt = pairs.select(
         F.xxhash64("g", "parts", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("_cell"), "a", "b", "parts"
     )
-    wanted = dealt.select("_cell", F.explode(F.array("a", "b")).alias("_key")).distinct()
+    wanted = dealt.select("_cell", F.col("a").alias("_key")).distinct().union(
+        dealt.select("_cell", F.col("b").alias("_key")).distinct()
+    )
     sides = payload.join(light(packed(wanted, 2 * n), 2 * n), "_key").select(
         "_cell", F.col("_key").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("parts"), "_data"
     )
