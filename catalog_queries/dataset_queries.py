@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import shelfmark as sm
 from pyspark.sql import functions as F
 from shelfmark.functions import images
 from shelfmark.functions.arrays import limit_attributes as first_attributes
 from shelfmark.functions.values import parse_compact_date as compact_date
+from shelfmark.session import work_dir
 
 from .selection_queries import LINES
 from .views import table, view, with_views
@@ -186,6 +189,74 @@ FROM (SELECT c.*, p.p_size FROM camera c JOIN part p ON p.p_partkey = c.p_partke
     "camera",
 )
 
+# ---- children of files ----
+
+
+def _boxes(spark, sf_dir):
+    """A tree with one container file per supplier: the turns of the conversation of its number as
+    pages, its line items as pixels, the embeddings of its label as arrays; the folder."""
+    pages = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("box")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("pages")
+    )
+    pixels = view(spark, sf_dir, "pixels").groupBy(F.col("image_id").alias("box")).agg(
+        F.collect_list(F.array("r", "g", "b")).alias("pixels")
+    ).withColumns({"width": F.size("pixels"), "height": F.lit(1)})
+    arrays = table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("box")).agg(
+        F.map_from_entries(
+            F.collect_list(F.struct(F.concat(F.lit("v"), "vec_id"), F.col("embedding").cast("array<double>")))
+        ).alias("arrays")
+    )
+    box = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("box"), F.lit(1).alias("version"))
+    folder = f"{work_dir(spark)}/{uuid.uuid4().hex}/boxes"
+    whole = box.join(pages, "box", "left").join(pixels, "box", "left").join(arrays, "box", "left")
+    # One file per box: a box is one row.
+    whole.repartition(8, "box").write.partitionBy("box").json(folder)
+    return folder
+
+
+def merge_children(spark, sf_dir):
+    """From files to records that carry the profiles of their pages, pixels and arrays."""
+    catalog = sm.build_catalog(
+        spark, _boxes(spark, sf_dir), select={"exclude_globs": ["_SUCCESS"]}, containers=[".json"], tabular=False
+    )
+    return catalog.select(
+        F.regexp_extract("path", "/box=([0-9]+)/", 1).cast("long").alias("box"),
+        "mime_type", "json_valid", "pages.page_count", "pages.text_preview", "pages.word_count",
+        F.col("pages.char_count").alias("page_chars"), "image.width", "image.aspect_ratio", "image.pixel_count",
+        "image.hex", "image.brightness",
+        F.array_join(F.transform("image.dominant", lambda d: F.concat_ws(" ", d["hex"], d["percentage"])), ",").alias("dominant"),
+        "arrays.total_datasets", "arrays.total_elements", "arrays.total_size_bytes",
+        F.round("arrays.min", 6).alias("low"), F.round("arrays.max", 6).alias("high"), F.round("arrays.mean", 6).alias("mean"),
+    )
+
+
+QUERIES["merge_children"] = merge_children
+ORACLES["merge_children"] = with_views(
+    r""", p AS (SELECT conv_id, count(*) AS page_count, string_agg(text || chr(10) || chr(10), '' ORDER BY turn) AS t
+  FROM conversations GROUP BY conv_id),
+c AS (SELECT image_id, count(*) AS width, CAST(round_even(avg(r), 0) AS INTEGER) AS r,
+    CAST(round_even(avg(g), 0) AS INTEGER) AS g, CAST(round_even(avg(b), 0) AS INTEGER) AS b FROM pixels GROUP BY image_id),
+d AS (SELECT image_id, string_agg(printf('#%02x%02x%02x', r, g, b) || ' ' || round_even(n / total * 100, 2), ',' ORDER BY rank)
+    AS dominant
+  FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b) AS rank,
+               sum(n) OVER (PARTITION BY image_id)::DOUBLE AS total
+        FROM (SELECT image_id, r, g, b, count(*) AS n FROM pixels GROUP BY ALL))
+  WHERE rank <= 5 GROUP BY image_id),
+a AS (SELECT label, count(*) AS total_datasets, sum(len(embedding))::BIGINT AS total_elements,
+    min(list_min(embedding::DOUBLE[])) AS low, max(list_max(embedding::DOUBLE[])) AS high,
+    sum(list_sum(embedding::DOUBLE[])) / sum(len(embedding)) AS mean FROM embeddings GROUP BY label)
+SELECT s_suppkey AS box, 'application/json' AS mime_type, true AS json_valid, page_count,
+  CASE WHEN length(t) > 10000 THEN substr(t, 1, 10000) || '...' ELSE t END AS text_preview,
+  len(regexp_extract_all(t, '[\p{L}\p{N}_]+')) AS word_count, length(t) AS page_chars, width,
+  width::DOUBLE AS aspect_ratio, width AS pixel_count, printf('#%02x%02x%02x', r, g, b) AS hex,
+  round_even((0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b) / 255, 2) AS brightness, dominant,
+  total_datasets, total_elements, total_elements * 8 AS total_size_bytes,
+  round(low, 6) AS low, round(high, 6) AS high, round(mean, 6) AS mean
+FROM supplier LEFT JOIN p ON conv_id = s_suppkey LEFT JOIN c ON c.image_id = s_suppkey
+LEFT JOIN d ON d.image_id = s_suppkey LEFT JOIN a ON label = s_suppkey""",
+    "pixels",
+)
+
 # ---- paged documents -----------------------------------------------------------------------
 
 QUERIES["page_count"] = lambda spark, sf_dir: sm.page_count(

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import shelfmark as sm
 from pyspark.sql import functions as F
 
+from shelfmark.session import work_dir
+
 from .selection_queries import LINES, STOP, WORDS, files_text_sql
 from .views import table, view, with_views
 
@@ -279,3 +283,22 @@ ORACLES["profile_delimited_files"] = """SELECT '/' || p_brand || '/' || p_partke
   'integer' AS key_type, 'string' AS name_type, CAST(min(p_size) AS DOUBLE) AS min_size,
   CAST(max(p_size) AS DOUBLE) AS max_size, CAST(median(p_size) AS DOUBLE) AS median_size
 FROM part GROUP BY p_brand, p_partkey // 500"""
+
+
+def read_delimited_quoted(spark, sf_dir):
+    """All documents, whose texts have line ends and quotes, written as delimited files and read back."""
+    folder = f"{work_dir(spark)}/{uuid.uuid4().hex}/documents.csv"
+    table(spark, sf_dir, "documents").select("doc_id", "source", "text").repartition(2, "doc_id").write.options(
+        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(folder)
+    rows = sm.read_delimited(spark, folder, multi_line=True)
+    text = F.coalesce("text", F.lit(""))
+    return rows.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "source", F.length(text).cast("long").alias("n_chars"),
+        F.md5(text).alias("text_md5"),
+    )
+
+
+QUERIES["read_delimited_quoted"] = read_delimited_quoted
+ORACLES["read_delimited_quoted"] = r"""SELECT doc_id, source, length(t) AS n_chars, md5(t) AS text_md5
+FROM (SELECT *, replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) AS t FROM documents)"""

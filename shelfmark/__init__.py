@@ -9,6 +9,15 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from .operators.arrays import array_layout, array_statistics, dataset_totals, list_hierarchy
+from .operators.children import (
+    array_profile,
+    colour_profile,
+    container_profiles,
+    container_tables,
+    merge_children,
+    page_profile,
+    read_containers,
+)
 from .operators.code import (
     code_complexity,
     code_imports,

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import paths
 from ..functions.text import lower_words
+from ..operators.children import container_profiles, merge_children, read_containers
 from ..operators.code import code_struct, module_facts
 from ..operators.identity import basic_metadata, suffix_types
 from ..operators.merging import extraction_errors, merge_profiles
@@ -47,6 +48,7 @@ def catalog_from_files(
     local_prefixes: Sequence[str] = (),
     registry: Registry | None = None,
     keep_profiles: bool = False,
+    children: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """One typed record per file: select, route, profile and merge as one lazy plan.
 
@@ -54,6 +56,8 @@ def catalog_from_files(
     ``select`` come first, so nothing is computed for files they drop. Profiles are
     columns of the file's own row; only the tabular profile regroups cells and is joined
     back by path. ``table_files`` may name a cheaper source of the tabular files alone.
+    ``children`` are profiles of pages, pixels or arrays, one row per path, which the
+    records take in under their names (see ``merge_children``).
     """
     registry = registry or default_registry
     chosen = select_files(files, root=root, **(select or {}))
@@ -89,6 +93,7 @@ def catalog_from_files(
     record = merge_profiles(profiled, order)
     if not keep_profiles:
         record = record.drop(*order)
+    record = merge_children(record, children or {})
     if not tabular:
         return record
 
@@ -153,14 +158,24 @@ def build_catalog(
     ``scan_files`` for ``hidden``.
 
     Only files that a profile takes are opened; ``read_error`` tells why one could not be.
-    The tabular profile reads the tabular files a second time, and no others.
+    The tabular profile reads the tabular files a second time, and no others. Files whose
+    suffix is one of ``containers`` hold pages, pixels and arrays (see ``read_containers``);
+    they are parsed once into the shared work folder, and their child tables are profiled
+    from there into the fields ``pages``, ``image`` and ``arrays``.
     """
     registry = options.get("registry") or default_registry
+    containers = options.pop("containers", ())
     select = options.pop("select", None) or {}
     files = _tree(spark, root, hidden, select, registry, _content_suffixes(registry))
     tables = None
     if options.get("tabular", True):
         tables = _tree(spark, root, hidden, select, registry, TABLE_SUFFIXES)
+    if containers:
+        held = _tree(spark, root, hidden, select, registry, containers)
+        held = held.where(F.col("content").isNotNull() & paths.extension(F.col("path")).isin(*containers))
+        target = f"{work_dir(spark)}/containers-{uuid.uuid4().hex}"
+        read_containers(held).write.parquet(target)
+        options["children"] = {**container_profiles(spark.read.parquet(target)), **(options.get("children") or {})}
     base = qualified_root(spark, root)
     return catalog_from_files(files, root=base, select={"ignore_dot_paths": False}, table_files=tables, **options)
 

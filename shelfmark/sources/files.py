@@ -2,10 +2,13 @@
 
 import uuid
 from collections.abc import Iterator, Sequence
+from itertools import chain, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import paths, text
 from ..operators.selection import exclude_dot_paths
@@ -107,32 +110,43 @@ def scan_files(
     return _with_names(listed.select(*columns), base)
 
 
+PIECE_ENTRIES = 10_000  # entries of a directory that a task holds at once
+PIECE_BYTES = 32 << 20  # bytes of file contents that a task holds at once, or one file
+
+
 def _scan_directories(batches: Iterator) -> Iterator:
+    """List directories in bounded pieces; what cannot be read is a row with ``read_error``."""
     import os
     from datetime import datetime, timezone
 
+    columns = LISTED.replace(" bigint", "").replace(" boolean", "").replace(" string", "")
+    columns = columns.replace(" timestamp", "").split(", ")
+
     def at(seconds: float) -> datetime:
         return datetime.fromtimestamp(seconds, timezone.utc)
 
+    def row(entry: os.DirEntry) -> tuple | None:
+        try:
+            # A link to a file is a file; a link to a directory is not entered.
+            is_dir = entry.is_dir(follow_symlinks=False)
+            if not is_dir and not entry.is_file():
+                return None
+            s = entry.stat()
+        except OSError as problem:
+            return entry.path, False, None, None, None, None, type(problem).__name__
+        return entry.path, is_dir, s.st_size, at(s.st_ctime), at(s.st_mtime), at(s.st_atime), None
+
+    def rows(directory: str) -> Iterator[tuple]:
+        try:
+            with os.scandir(directory) as entries:
+                yield from filter(None, map(row, entries))
+        except OSError as problem:  # unreadable or gone: the rest of the tree is still listed
+            yield directory, True, None, None, None, None, type(problem).__name__
+
     for batch in batches:
-        rows = []
-        for directory in batch["path"]:
-            try:
-                with os.scandir(directory) as entries:
-                    for entry in entries:
-                        # A link to a file is a file; a link to a directory is not entered.
-                        is_dir = entry.is_dir(follow_symlinks=False)
-                        if not is_dir and not entry.is_file():
-                            continue
-                        s = entry.stat()
-                        rows.append(
-                            (entry.path, is_dir, s.st_size, at(s.st_ctime), at(s.st_mtime),
-                             at(s.st_atime), None)
-                        )
-            except OSError as problem:  # unreadable or gone: the rest of the tree is still listed
-                rows.append((directory, True, None, None, None, None, type(problem).__name__))
-        columns = LISTED.replace(" bigint", "").replace(" boolean", "").replace(" string", "")
-        yield pd.DataFrame(rows, columns=columns.replace(" timestamp", "").split(", "))
+        found = chain.from_iterable(map(rows, batch["path"]))
+        while piece := list(islice(found, PIECE_ENTRIES)):
+            yield pd.DataFrame(piece, columns=columns)
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -159,28 +173,45 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     return files.where(~F.col("is_dir") | F.col("read_error").isNotNull()).drop("is_dir")
 
 
-def _read_all(names: pd.Series) -> pd.Series:
-    def read(name: str | None) -> bytes | None:
-        if name is None:
-            return None
+def with_bytes(files: DataFrame, wanted: Column) -> DataFrame:
+    """Add the bytes of the wanted files of a mounted tree as ``content``; a file that cannot
+    be read gets a ``read_error``.
+
+    A task holds the contents of about ``PIECE_BYTES`` at once, or of one larger file,
+    however many files a partition has.
+    """
+    names = files.columns
+    at_path, at_error, bound = names.index("path"), names.index("read_error"), PIECE_BYTES
+    asked = files.withColumn("__take", F.coalesce(wanted, F.lit(False)) & F.col("read_error").isNull())
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
+
+    def read(name: str) -> tuple[bytes | None, str | None]:
         try:
             with open(name, "rb") as f:
-                return f.read()
+                return f.read(), None
         except OSError:
-            return None
-
-    return names.map(read)
-
-
-def with_bytes(files: DataFrame, wanted: Column) -> DataFrame:
-    """Add the bytes of the wanted files of a mounted tree as ``content``; a file that cannot
-    be read gets a ``read_error``."""
-    take = wanted & F.col("read_error").isNull()
-    asked = files.withColumn("__name", F.when(take, F.col("path")))
-    read = asked.withColumn("content", F.pandas_udf(_read_all, "binary")(F.col("__name")))
-    failed = F.col("__name").isNotNull() & F.col("content").isNull()
-    error = F.when(failed, F.lit("could not be read")).otherwise(F.col("read_error"))
-    return read.withColumn("read_error", error).drop("__name")
+            return None, "could not be read"
+
+    def piece(rows: pa.RecordBatch, contents: list[bytes | None], errors: list[str | None]) -> pa.RecordBatch:
+        columns = [*rows.columns[:-1], pa.array(contents, pa.binary())]
+        columns[at_error] = pa.array(errors, pa.string())
+        return pa.RecordBatch.from_arrays(columns, names=[*names, "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo, size, contents, errors = 0, 0, [], []
+            for i, (name, take) in enumerate(zip(batch.column(at_path).to_pylist(), batch.column(len(names)).to_pylist())):
+                content, problem = read(name) if take else (None, batch.column(at_error)[i].as_py())
+                contents.append(content)
+                errors.append(problem)
+                size += len(content or b"")
+                if size >= bound:
+                    yield piece(batch.slice(lo, i + 1 - lo), contents, errors)
+                    lo, size, contents, errors = i + 1, 0, [], []
+            if contents:
+                yield piece(batch.slice(lo), contents, errors)
+
+    return asked.mapInArrow(run, schema)
 
 
 def read_text_content(

@@ -6,28 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tabular import is_record_array
+from .quoted import quoted_records
 
 
 class NonTabularError(ValueError):
     """The JSON text is not an array of objects."""
 
 
+def _text_columns(names: list[str]) -> str:
+    return ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+
+
 def read_delimited(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A ``.csv`` file (comma) or any other delimited file (tab) with a header line.
 
-    All columns are text. Files are split between tasks unless ``multi_line`` is asked
-    for, which quoted line ends need.
+    All columns are text. Files are split between tasks, also with ``multi_line``, which
+    quoted line ends need: then records are found by ``quoted_records`` in two passes over
+    the splits, and each is parsed by Spark on its own. Empty lines are no records.
     """
     separator = "," if path.lower().endswith(".csv") else "\t"
-    return (
-        spark.read.option("header", True)
-        .option("sep", separator)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("inferSchema", False)
-        .csv(path)
-    )
+    options = {"sep": separator, "quote": '"', "escape": '"'}
+    reader = spark.read.options(header=True, inferSchema=False, **options)
+    if not multi_line:
+        return reader.csv(path)
+    # Only the first record is read for the names.
+    schema = _text_columns(reader.option("multiLine", True).csv(path).columns)
+    records = quoted_records(spark, path, separator).where(~F.col("is_first") & (F.col("text") != ""))
+    return records.select(F.from_csv("text", schema, options).alias("r")).select("r.*")
 
 
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
@@ -44,8 +49,7 @@ def read_json_records(spark: SparkSession, path: str) -> DataFrame:
     ).head()
     if head is None or head["keys"] is None:
         raise NonTabularError(path)
-    schema = ", ".join(f"`{k.replace('`', '``')}` string" for k in head["keys"])
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(_text_columns(head["keys"])).option("multiLine", True).json(path)
 
 
 def json_table_summary(df: DataFrame, content: str = "content") -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import shelfmark as sm
+from shelfmark.sources import files as files_module
 from shelfmark.operators.routing import Registry
 
 
@@ -189,3 +190,24 @@ def test_new_fields_and_empty_refresh(spark, rows, tmp_path):
     sm.refresh_index(spark, rows([("/b", 2, "x"), (None, 3, "y")], "path string, n long, more string"), index)
     got = {r["subject"]: r["content"]["more"] for r in sm.read_index(spark, index).collect()}
     assert got == {"file:///a": None, "file:///b": "x"}
+
+
+def test_directories_and_contents_come_in_bounded_pieces(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        (tmp_path / f"f{i:02}.bin").write_bytes(bytes([i]) * (i * 10))
+    monkeypatch.setattr(files_module, "PIECE_ENTRIES", 7)
+    monkeypatch.setattr(files_module, "PIECE_BYTES", 500)
+    pieces = list(files_module._scan_directories(iter([pd.DataFrame({"path": [str(tmp_path), f"{tmp_path}/gone"]})])))
+    assert [len(p) for p in pieces] == [7, 7, 7, 7, 7, 6]
+    assert pieces[-1].iloc[-1]["read_error"] == "FileNotFoundError"
+    listed = sm.scan_files(spark, str(tmp_path)).coalesce(1)
+    lost = listed.where("filename = 'f03.bin'").withColumn("path", F.concat("path", F.lit(".gone")))
+    read = files_module.with_bytes(listed.unionByName(lost).coalesce(1), F.col("filename") != "f05.bin").collect()
+    assert len(read) == 41
+    for r in read:
+        i = int(r["filename"][1:3])
+        if r["path"].endswith(".gone"):
+            assert (r["content"], r["read_error"]) == (None, "could not be read")
+        else:
+            assert r["read_error"] is None
+            assert r["content"] == (None if i == 5 else bytes([i]) * (i * 10))
