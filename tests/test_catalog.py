@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
