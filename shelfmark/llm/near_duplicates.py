@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import counted, light, merge_roots, packed, with_root
+from .components import Roots, counted, light, merge_roots, packed, with_root
 from .storage import stored, trimmed
 from .words import find_words, hash_words, lowered, mix64, text_slices
 
@@ -257,9 +257,37 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) ->
     return compare_pairs(pairs, payload, prepare, score).filter(F.col("value") > 0).select("a", "b")
 
 
-def _within_nodes(mixed: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+def _mixed_nodes(shared: DataFrame, roots: Roots | None, n: int) -> DataFrame | None:
+    """The rows (_node, _key, _size) of nodes that hold several components, if any, with _part, and
+    the size _most and name _main of the node's largest component."""
+    inside = with_root(shared.select("_node", "_key", "_size"), roots, "_key", "_part")
+    parts = packed(inside.groupBy("_node", "_part").agg(F.count(F.lit(1)).alias("_n")), n)
+    split, n_split = counted(
+        parts.groupBy("_node").agg(
+            F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_n", F.bitwise_not("_part").alias("_not"))).alias("_top")
+        ).filter(F.col("_parts") > 1).select(
+            "_node", F.col("_top._n").alias("_most"), F.bitwise_not("_top._not").alias("_main")
+        )
+    )
+    return stored(inside.join(light(split, n_split), "_node"), "mixed-nodes") if n_split else None
+
+
+def _best_of_parts(cell: np.ndarray, left: np.ndarray, right: np.ndarray, part: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Of pairs (row numbers left, right) the places of the most similar one of each component in each cell."""
+    cells, places = np.tile(cell[left], 2), np.tile(np.arange(len(left)), 2)
+    parts = np.concatenate([part[left], part[right]])
+    order = np.lexsort((places, -np.tile(value, 2), parts, cells))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (cells[order][1:] != cells[order][:-1]) | (parts[order][1:] != parts[order][:-1])
+    return np.unique(places[order[first]])
+
+
+def _within_nodes(mixed: DataFrame, reps: DataFrame, n: int, best: bool = False) -> DataFrame:
     """Distinct pairs (a, b, g) of different components that share a node and look similar.
 
+    With ``best`` only the most similar pair of each component in each cell: their links join
+    most components that belong together, before all remaining pairs are looked at.
+
     g is a cell in which both documents met, so it has at most two blocks of them. ``mixed``
     has at most ``n`` rows (_node, _key, _size, _part). A node's documents meet in one cell; those of
     a node that branching could not make small meet in cells of two blocks each.
@@ -276,7 +304,7 @@ def _within_nodes(mixed: DataFrame, reps: DataFrame, n: int) -> DataFrame:
         cell, key, part = (table.column(i).to_numpy() for i in (0, 1, 2))
         items = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint16).reshape(-1, ORDERS)
         ends = np.searchsorted(cell, cell, side="right")
-        lefts, rights, cells_of = [], [], []
+        lefts, rights, values = [], [], []
         at = 0
         while at < len(cell):
             to = int(np.searchsorted(np.cumsum(ends[at:] - np.arange(at, len(cell))), 1 << 18)) + at + 1
@@ -287,14 +315,19 @@ def _within_nodes(mixed: DataFrame, reps: DataFrame, n: int) -> DataFrame:
             left, right = left[differ], right[differ]
             for lo in range(0, len(left), 8192):
                 i, j = left[lo : lo + 8192], right[lo : lo + 8192]
-                near = (items[i] == items[j]).mean(axis=1) >= ESTIMATE
-                lefts.append(key[i[near]])
-                rights.append(key[j[near]])
-                cells_of.append(cell[i[near]])
+                value = (items[i] == items[j]).mean(axis=1)
+                near = value >= ESTIMATE
+                lefts.append(i[near])
+                rights.append(j[near])
+                values.append(value[near])
             at += len(mates)
-        a, b, g = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (lefts, rights, cells_of))
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (lefts, rights))
+        if best and len(i):
+            taken = _best_of_parts(cell, i, j, part, np.concatenate(values))
+            i, j = i[taken], j[taken]
+        a, b = key[i], key[j]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(g)], names=["a", "b", "g"]
+            [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(cell[i])], names=["a", "b", "g"]
         )
 
     found = _by_cells(rows, settle, "a long, b long, g long", n)
@@ -393,25 +426,21 @@ def similar_components(texts: DataFrame, words: int, similarity: int) -> DataFra
         )
         best = packed(best, n_shared).select("a", "best.*", F.col("best.b").alias("g"))
         roots = merge_roots(roots, _confirm(best, live, words, similarity))
-        # Then nodes that still hold several components: small ones are compared exhaustively.
-        before = roots
-        inside = with_root(shared.select("_node", "_key", "_size"), before, "_key", "_part")
-        parts = packed(inside.groupBy("_node", "_part").agg(F.count(F.lit(1)).alias("_n")), n_shared)
-        split, n_split = counted(
-            parts.groupBy("_node").agg(
-                F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_n", F.bitwise_not("_part").alias("_not"))).alias("_top")
-            ).filter(F.col("_parts") > 1).select(
-                "_node", F.col("_top._n").alias("_most"), F.bitwise_not("_top._not").alias("_main")
-            )
-        )
-        if not n_split:
+        # Then nodes that still hold several components: small ones are compared exhaustively,
+        # first for the best pair of each component alone. In the last round a document meets
+        # several blocks of its node.
+        last, one = turn == ROUNDS, F.lit(1).cast("long")
+        mixed = shared
+        for best_alone in (True, False):
+            before = roots
+            mixed = _mixed_nodes(mixed, before, n_shared)
+            if mixed is None:
+                break
+            small = mixed if last else mixed.filter(F.col("_size") <= SMALL_NODE)
+            near = _within_nodes(small, reps, 1 << 62 if last else mixed.count(), best_alone)
+            roots = merge_roots(roots, _confirm(near.withColumn("parts", one), live, words, similarity))
+        if mixed is None:
             break
-        mixed = stored(inside.join(light(split, n_split), "_node"), "mixed-nodes")
-        last = turn == ROUNDS
-        small = mixed if last else mixed.filter(F.col("_size") <= SMALL_NODE)
-        # In the last round a document meets several blocks of its node.
-        near = _within_nodes(small, reps, 1 << 62 if last else mixed.count()).withColumn("parts", F.lit(1).cast("long"))
-        roots = merge_roots(roots, _confirm(near, live, words, similarity))
         large = mixed.filter(F.col("_size") > SMALL_NODE)
         if last or large.isEmpty():
             break
