@@ -257,48 +257,118 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) ->
     return compare_pairs(pairs, payload, prepare, score).filter(F.col("value") > 0).select("a", "b")
 
 
-def _within_nodes(mixed: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """Distinct pairs (a, b, g) of different components that share a node and look similar.
+def _cells_of(mixed: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """(_cell, _node, _key, _part, _own, _x, _met, _sketch): the documents of each cell of the nodes.
 
-    g is a cell in which both documents met, so it has at most two blocks of them. ``mixed``
-    has at most ``n`` rows (_node, _key, _size, _part). A node's documents meet in one cell; those of
-    a node that branching could not make small meet in cells of two blocks each.
+    ``mixed`` has at most ``n`` rows (_node, _key, _size, _part). A node's documents meet in one
+    cell; those of a node that branching could not make small meet in cells of two blocks
+    each, _own and _x. _met holds the document's nodes in order; trees and levels are few, so
+    it is short.
     """
     blocks = F.ceil(F.col("_size") / CELL)
-    own = F.pmod(F.xxhash64("_key"), blocks)
-    dealt = mixed.select("_node", "_key", "_part", own.alias("_own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_x"))
-    cells = dealt.select(
-        F.xxhash64("_node", F.least("_own", "_x"), F.greatest("_own", "_x")).alias("_cell"), "_key", "_part"
+    met = mixed.groupBy("_key").agg(F.array_sort(F.collect_set("_node")).alias("_met"))
+    docs = reps.select("_key", "_sketch").join(packed(met, n), "_key")
+    dealt = mixed.select(
+        "_node",
+        "_key",
+        "_part",
+        F.pmod(F.xxhash64("_key"), blocks).alias("_own"),
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_x"),
+    )
+    cell = F.xxhash64("_node", F.least("_own", "_x"), F.greatest("_own", "_x"))
+    return docs.join(light(dealt, n), "_key").select(
+        cell.alias("_cell"), "_node", "_key", "_part", "_own", "_x", "_met", "_sketch"
     )
-    rows = reps.select("_key", "_sketch").join(light(cells, n), "_key").select("_cell", "_key", "_part", "_sketch")
 
-    def settle(table: pa.Table) -> pa.RecordBatch:
-        cell, key, part = (table.column(i).to_numpy() for i in (0, 1, 2))
-        items = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint16).reshape(-1, ORDERS)
-        ends = np.searchsorted(cell, cell, side="right")
-        lefts, rights, cells_of = [], [], []
-        at = 0
-        while at < len(cell):
-            to = int(np.searchsorted(np.cumsum(ends[at:] - np.arange(at, len(cell))), 1 << 18)) + at + 1
-            mates = ends[at:to] - np.arange(at, min(to, len(cell))) - 1
-            left = np.repeat(np.arange(at, at + len(mates)), mates)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(mates) - mates, mates)
-            differ = part[left] != part[right]
-            left, right = left[differ], right[differ]
-            for lo in range(0, len(left), 8192):
-                i, j = left[lo : lo + 8192], right[lo : lo + 8192]
-                near = (items[i] == items[j]).mean(axis=1) >= ESTIMATE
-                lefts.append(key[i[near]])
-                rights.append(key[j[near]])
-                cells_of.append(cell[i[near]])
-            at += len(mates)
-        a, b, g = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (lefts, rights, cells_of))
+
+def _look_alikes(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers (left, right) and estimate of look-alikes of whole cells, from columns as _cells_of has them.
+
+    Only pairs of different components, and each pair in one cell alone: that of the first node
+    that both documents have, and there in the cell of their two blocks.
+    """
+    cell, node, _, part, own, x = (table.column(i).to_numpy() for i in range(6))
+    met = table.column(6).combine_chunks()
+    nodes, at_node = met.flatten().to_numpy(), met.offsets.to_numpy() - met.offsets[0].as_py()
+    items = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint16).reshape(-1, ORDERS)
+    ends = np.searchsorted(cell, cell, side="right")
+    at = 0
+    while at < len(cell):
+        to = int(np.searchsorted(np.cumsum(ends[at:] - np.arange(at, len(cell))), 1 << 18)) + at + 1
+        mates = ends[at:to] - np.arange(at, min(to, len(cell))) - 1
+        left = np.repeat(np.arange(at, at + len(mates)), mates)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(mates) - mates, mates)
+        apart = (part[left] != part[right]) & ((own[left] != own[right]) | (own[left] == x[left]))
+        left, right = left[apart], right[apart]
+        for lo in range(0, len(left), 8192):
+            i, j = left[lo : lo + 8192], right[lo : lo + 8192]
+            alike = (items[i] == items[j]).mean(axis=1)
+            near = alike >= ESTIMATE
+            i, j, alike = i[near], j[near], alike[near]
+            first = np.array(
+                [
+                    np.intersect1d(
+                        nodes[at_node[p] : at_node[p + 1]], nodes[at_node[q] : at_node[q + 1]], assume_unique=True
+                    )[0] == node[p]
+                    for p, q in zip(i.tolist(), j.tolist())
+                ],
+                dtype=bool,
+            )
+            yield i[first], j[first], alike[first]
+        at += len(mates)
+
+
+def _within_nodes(
+    mixed: DataFrame, reps: DataFrame, texts: DataFrame, words: int, similarity: int, n: int
+) -> DataFrame:
+    """Confirmed links (a, b) that connect the components of documents which share a node.
+
+    Pairs never leave the task that compares a cell. First the sketches travel, and the
+    documents with a look-alike of another component stay; then the texts of these, and each
+    cell confirms its look-alikes, the closest first, but for those that confirmed links of the
+    cell already connect. So a cell gives fewer links than it has documents.
+    """
+    cells = _cells_of(mixed, reps, n)
+    schema = "_cell long, _node long, _key long, _part long, _own long, _x long, _met array<long>, _sketch binary"
+
+    def sift(table: pa.Table) -> pa.RecordBatch:
+        stays = np.zeros(len(table), dtype=bool)
+        for left, right, _ in _look_alikes(table):
+            stays[left] = stays[right] = True
+        kept = table.filter(pa.array(stays)).combine_chunks()
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(g)], names=["a", "b", "g"]
+            [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in kept.columns], names=kept.column_names
         )
 
-    found = _by_cells(rows, settle, "a long, b long, g long", n)
-    return packed(found.groupBy("a", "b").agg(F.min("g").alias("g")), n)
+    left = stored(_by_cells(cells, sift, schema, n), "look-alikes")
+    n_left = left.count()
+    rows = left.join(texts.select("_key", F.col("_text").cast("binary").alias("_data")), "_key").select(*left.columns, "_data")
+
+    def settle(table: pa.Table) -> pa.RecordBatch:
+        keys, parts = table.column(2).to_numpy(), table.column(3).to_numpy()
+        cell, data = table.column(0).to_numpy(), table.column(8).to_pylist()
+        sizes = np.array([len(d) for d in data], dtype=np.int64)
+        sets = shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum(sizes)], words)
+        found = [np.concatenate(x) for x in zip(*_look_alikes(table))]
+        joined: dict[tuple[int, int], tuple[int, int]] = {}  # a component within a cell -> one it is connected to
+
+        def top(name: tuple[int, int]) -> tuple[int, int]:
+            while (above := joined.get(name, name)) != name:
+                joined[name] = joined.get(above, above)
+                name = above
+            return name
+
+        a, b = [], []
+        for at in np.argsort(-found[2], kind="stable").tolist() if found else []:
+            i, j = int(found[0][at]), int(found[1][at])
+            one, other = top((int(cell[i]), int(parts[i]))), top((int(cell[j]), int(parts[j])))
+            if one != other and _linked(sets[i], sets[j], similarity):
+                joined[one] = other
+                a.append(int(max(keys[i], keys[j])))
+                b.append(int(min(keys[i], keys[j])))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _by_cells(rows, settle, "a long, b long", n_left)
 
 
 def _to_components(
@@ -410,8 +480,8 @@ def similar_components(texts: DataFrame, words: int, similarity: int) -> DataFra
         last = turn == ROUNDS
         small = mixed if last else mixed.filter(F.col("_size") <= SMALL_NODE)
         # In the last round a document meets several blocks of its node.
-        near = _within_nodes(small, reps, 1 << 62 if last else mixed.count()).withColumn("parts", F.lit(1).cast("long"))
-        roots = merge_roots(roots, _confirm(near, live, words, similarity))
+        links = _within_nodes(small, reps, live, words, similarity, 1 << 62 if last else mixed.count())
+        roots = merge_roots(roots, links)
         large = mixed.filter(F.col("_size") > SMALL_NODE)
         if last or large.isEmpty():
             break
