@@ -21,6 +21,7 @@ Q = 8
 SLICE_CHARS = 1 << 20
 ITEM_CHARS = 4 << 20  # item text that one pass over the documents looks for
 _ALIGN_STEP = 1 << 22  # alignment cells of one batch
+_POSTINGS = 1 << 20  # q-gram places of items that are expanded at a time
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,8 +57,22 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
     return part * np.uint64(0xD6E8FEB86659FD93)
 
 
+def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every stretch of so many characters."""
+    out = np.zeros(max(len(codes) - size + 1, 0), np.uint64)
+    for i in range(size if len(out) else 0):
+        out = out * _BASE + codes[i : i + len(out)].astype(np.uint64) + np.uint64(1)
+    return out
+
+
 def budget(size: int, rate: float) -> int:
-    """Edits allowed for an item: its share, and few enough for the lemma to hold."""
+    """Edits allowed for an item: its share, and few enough for the lemma to hold.
+
+    An item of n characters has at least n - Q + 1 - Q * edits q-grams in common with its
+    damaged form, which must be 1 or more: so items of 30 and 31 characters may have 2 edits
+    at a rate of 0.1, not 3, and items below 24 fewer than the rate asks wherever it asks more
+    than (n - Q) / Q.
+    """
     return max(0, min(int(size * rate), (size - Q) // Q))
 
 
@@ -66,11 +81,18 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int):
         letters = Letters()
-        rows = []
+        rows, short = [], {}
         for name, text in items:
             codes = letters.reduce([text or ""])[0]
             if len(codes) >= max(min_chars, Q):
                 rows.append((name, codes))
+            elif len(codes):
+                short.setdefault(len(codes), {}).setdefault(codes.tobytes(), []).append(name)
+        # By length: the hashes to look for, and the items of each spelling.
+        self.short = {
+            size: (np.unique(np.concatenate([window_hashes(np.frombuffer(c, codes.dtype), size) for c in spelt])), spelt)
+            for size, spelt in sorted(short.items())
+        }
         self.names = [name for name, _ in rows]
         self.codes = [codes for _, codes in rows]
         self.sizes = np.array([len(c) for c in self.codes], dtype=np.int64)
@@ -106,21 +128,62 @@ def candidate_regions(items: Items, codes: np.ndarray, first: np.ndarray) -> np.
     inside = at + Q <= first[doc + 1]
     at, found, doc = at[inside], found[inside], doc[inside]
     times = items.first[found + 1] - items.first[found]
-    posting = np.arange(int(times.sum())) + np.repeat(items.first[found] - (np.cumsum(times) - times), times)
-    item = items.item[posting]
-    diagonal = np.repeat(at, times) - items.place[posting] + int(items.sizes.max())  # not negative
-    width = items.edits[item] + 1
-    band = diagonal // width
-    bands = int(len(codes) + items.sizes.max()) + 2
-    key = (np.repeat(doc, times) * len(items.names) + item) * bands
-    keys, count = np.unique(np.concatenate([key + band, key + band - (band > 0)]), return_counts=True)
+    upto = np.cumsum(times)
+    most = int(items.sizes.max())
+    bands = int(len(codes) + most) + 2
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    reached = []
+    lo = 0
+    while lo < len(at):
+        # Postings are expanded some at a time, in the order of the text.
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - times[lo] + _POSTINGS, side="right")))
+        here = times[lo:hi]
+        posting = np.arange(int(here.sum())) + np.repeat(items.first[found[lo:hi]] - (np.cumsum(here) - here), here)
+        item = items.item[posting]
+        diagonal = np.repeat(at[lo:hi], here) - items.place[posting] + most  # not negative
+        band = diagonal // (items.edits[item] + 1)
+        key = (np.repeat(doc[lo:hi], here) * len(items.names) + item) * bands + band
+        new, count = np.unique(np.concatenate([key, key - (band > 0)]), return_counts=True)
+        keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        counts = np.bincount(back, weights=np.concatenate([counts, count]), minlength=len(keys)).astype(np.int64)
+        # A band that no later q-gram can fall into is settled; a few for each item stay open.
+        item = keys // bands % len(items.names)
+        width = items.edits[item] + 1
+        settled = np.ones(len(keys), dtype=bool)
+        if hi < len(at):
+            settled = at[hi] - (items.sizes[item] - Q) + most >= (keys % bands + 2) * width
+        reached.append(keys[settled & (counts >= items.least[item])])
+        keys, counts = keys[~settled], counts[~settled]
+        lo = hi
+    if not reached:
+        return none
+    keys = np.sort(np.concatenate(reached))
     item = keys // bands % len(items.names)
-    good = count >= items.least[item]
-    keys, item = keys[good], item[good]
-    low = (keys % bands) * (items.edits[item] + 1) - int(items.sizes.max())
+    low = (keys % bands) * (items.edits[item] + 1) - most
     return np.stack([keys // bands // len(items.names), item, low, low + 2 * items.edits[item] + 1], axis=1)
 
 
+def find_short(items: Items, codes: np.ndarray, place: np.ndarray, first: np.ndarray) -> list[tuple]:
+    """(text, item name, 0, start, end) of the first verbatim place of each short item, as whole words."""
+    # A character begins a word if the one before it is no neighbour in the text.
+    begins = np.r_[True, np.diff(place) > 1, True]
+    begins[first] = True
+    found = []
+    for size, (hashes, spelt) in items.short.items():
+        look = window_hashes(codes, size)
+        at = np.flatnonzero(begins[: len(look)] & begins[size : size + len(look)])
+        at = at[np.isin(look[at], hashes)]
+        doc = np.searchsorted(first, at, side="right") - 1
+        inside = at + size <= first[doc + 1]
+        seen = set()
+        for d, s in zip(doc[inside].tolist(), at[inside].tolist()):
+            letters = codes[s : s + size].tobytes()
+            if (d, letters) not in seen:
+                seen.add((d, letters))
+                found += [(d, name, 0, s, s + size) for name in spelt.get(letters, ())]
+    return found
+
+
 def align(item: np.ndarray, codes: np.ndarray, low: np.ndarray, high: int, most: int, begin: np.ndarray,
           end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(edits, start, end) of the item's best stretch in each region of ``codes``.
@@ -176,8 +239,8 @@ def _take_exact(best: dict, k: int, item: np.ndarray, codes: np.ndarray, first:
     return np.isin(regions[:, 0], regions[row, 0])
 
 
-def find_items(items: Items, texts: list[str], letters: Letters) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, edits, first character, character after the last) of the best place of each."""
+def find_items(items: Items, texts: list[str], letters: Letters) -> list[tuple]:
+    """(text, item name, edits, first character, character after the last) of the best place of each."""
     codes, place, first = letters.reduce(texts)
     regions = candidate_regions(items, codes, first)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -185,8 +248,10 @@ def find_items(items: Items, texts: list[str], letters: Letters) -> list[tuple[i
         own = regions[regions[:, 1] == k]
         most = int(items.edits[k])
         high = 2 * most + 1
-        own = own[~_take_exact(best, int(k), items.codes[k], codes, first, own, high)]
         step = max(1, _ALIGN_STEP // (high + 2 * most + 1))
+        pieces = [own[lo : lo + step] for lo in range(0, len(own), step)]
+        sure = [part[_take_exact(best, int(k), items.codes[k], codes, first, part, high), 0] for part in pieces]
+        own = own[~np.isin(own[:, 0], np.concatenate(sure))]
         for lo in range(0, len(own), step):
             part = own[lo : lo + step]
             doc = part[:, 0]
@@ -198,7 +263,9 @@ def find_items(items: Items, texts: list[str], letters: Letters) -> list[tuple[i
                 name = (int(doc[i]), int(k))
                 if name not in best or found < best[name]:
                     best[name] = found
-    return [(d, k, e, int(place[s]), int(place[t - 1]) + 1) for (d, k), (e, s, t) in sorted(best.items())]
+    hits = [(d, items.names[k], e, s, t) for (d, k), (e, s, t) in sorted(best.items())]
+    hits += find_short(items, codes, place, first)
+    return [(d, name, e, int(place[s]), int(place[t - 1]) + 1) for d, name, e, s, t in hits]
 
 
 def find_leaks(
@@ -215,9 +282,9 @@ def find_leaks(
     """key, item, edits, start_char, end_char: every benchmark item found in a document.
 
     Compared are letters and digits in lower case; an item may differ by ``rate`` of its
-    characters (insertions, deletions, exchanges). Items of fewer than ``min_chars`` such
-    characters name too little to be a leak and are not looked for. One row per document
-    and item, at its best place; places are characters of the whole text. Null texts and
+    characters (insertions, deletions, exchanges; see ``budget``). Items of fewer than
+    ``min_chars`` such characters (or than a q-gram) are leaks only where they stand verbatim,
+    as whole words. One row per document and item, at its best place; places are characters of the whole text. Null texts and
     items hold nothing. Repeated rows are searched each on their own; other columns are
     ignored. A benchmark of more text than ITEM_CHARS is looked for in several passes, so
     what a task holds of it is bounded.
@@ -287,7 +354,7 @@ def _searcher(table: Items, key: str, item: str):
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(pa.array([lo + d for d in doc])),
-                            pa.array([table.names[i] for i in k]),
+                            pa.array(k),
                             pa.array(edits, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()),
                         ],
                         names=[key, item, "edits", "start_char", "end_char"],

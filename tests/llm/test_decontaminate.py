@@ -1,4 +1,6 @@
 import random
+import re
+import tracemalloc
 
 import numpy as np
 from llm_samples import prose
@@ -105,3 +107,49 @@ def test_rows_of_every_kind(edge, nothing, spark):
 def test_letters_that_change_length_in_lower_case():
     codes, place, _ = module.Letters().reduce(["İx Ab"])
     assert len(codes) == 4 and place.tolist() == [0, 1, 3, 4] and np.all(codes[1:] == [ord(c) for c in "xab"])
+
+
+def test_postings_in_small_steps_give_the_same_regions(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(400))) for _ in range(12)] + ["a" * 500, "", "ab" * 200]
+    items = module.Items([(i, "".join(rng.choice("ab") for _ in range(30 + 7 * i))) for i in range(9)] + [(9, "a" * 64)], 0.1, 24)
+    codes, _, first = module.Letters().reduce(texts)
+    whole = module.candidate_regions(items, codes, first)
+    assert len(whole) > 50
+    for step in (1, 7, 1000):
+        monkeypatch.setattr(module, "_POSTINGS", step)
+        assert np.array_equal(module.candidate_regions(items, codes, first), whole)
+
+
+def test_monotonous_texts_and_common_phrases_stay_within_bounded_memory():
+    phrase = prose(9, 4)
+    cases = [
+        (module.Items([(1, "a" * 64)], 0.1, 24), "a" * 200_000),
+        (module.Items([(i, f"{phrase} {prose(i, 8)}") for i in range(60)], 0.1, 24), (phrase + " ") * 300),
+    ]
+    for items, text in cases:
+        letters = module.Letters()
+        tracemalloc.start()
+        found = module.find_items(items, [text], letters)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 300 << 20
+        assert [f[:4] for f in found] == ([(0, 1, 0, 0)] if text[0] == text[1] == "a" and len(items.names) == 1 else [])
+
+
+def test_short_items_are_found_verbatim_as_whole_words(spark):
+    rng = random.Random(3)
+    words = ["ab", "abc", "c", "xyz", "x", "7", "Abc"]
+    texts = [(i, "".join(rng.choice(words) + rng.choice([" ", "-", "", "\n"]) for _ in range(rng.randrange(25)))) for i in range(80)]
+    items = [(1, "c"), (2, "abc x"), (3, "X-Y"), (4, "ab abc"), (5, "7"), (6, "--"), (7, "abcx yz x abc"), (8, "ABC X")]
+    want = []
+    for k, text in texts:
+        found = re.findall(r"[a-z0-9]+", text.lower())
+        spelt = {"".join(found[i:j]) for i in range(len(found)) for j in range(i + 1, len(found) + 1)}
+        want += [(k, name, 0) for name, item in items if letters(item) and letters(item) in spelt]
+    got = find_leaks(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), benchmark(spark, items)).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in got) == sorted(want)
+    assert {r["item_id"] for r in got} == {1, 2, 4, 5, 8} and len(want) > 60
+    for r in got:
+        piece = dict(texts)[r["doc_id"]][r["start_char"] : r["end_char"]]
+        assert letters(piece) == letters(dict(items)[r["item_id"]])
