@@ -101,6 +101,16 @@ FROM (SELECT subject, CAST('0x' || substr(md5(subject), 1, 8) AS BIGINT)
       FROM old_entries)"""
 )
 
+QUERIES["number_batches"] = lambda spark, sf_dir: sm.number_batches(
+    _old_entries(spark, sf_dir), n=20, rows_per_bucket=100
+).select("subject", "batch_no")
+ORACLES["number_batches"] = _entry_sql(
+    """SELECT subject, (row_number() OVER (ORDER BY bucket, subject) - 1) // 20 AS batch_no
+FROM (SELECT subject, CAST('0x' || substr(md5(subject), 1, 8) AS BIGINT)
+        % (SELECT CAST(ceil(count(*) / 100) AS BIGINT) FROM old_entries) AS bucket
+      FROM old_entries)"""
+)
+
 
 def publish_summary(spark, sf_dir):
     entries = _old_entries(spark, sf_dir).withColumn(

@@ -34,6 +34,7 @@ from .operators.publishing import (
     delete_entries,
     index_stats,
     latest_per_key,
+    number_batches,
     publish_summary,
     to_entries,
     upsert_entries,

@@ -100,16 +100,43 @@ def batch_entries(
     is repeatable and no task numbers more than a bucket. The number of buckets follows
     the number of entries unless it is given; at most one batch per bucket is not full.
     """
+    order = Window.partitionBy("bucket").orderBy(key)
+    return _bucketed(entries, key, buckets, rows_per_bucket).withColumn(
+        "batch_no", F.floor((F.row_number().over(order) - 1) / n).cast("long")
+    )
+
+
+def number_batches(
+    entries: DataFrame, n: int = BATCH_SIZE, key: str = "subject", rows_per_bucket: int = 100_000
+) -> DataFrame:
+    """Add ``batch_no``, dense over all entries: only the last batch has fewer than ``n``.
+
+    Entries are ordered by digest bucket, then key. Buckets are counted in one pass; the sums
+    of the buckets before each, one row a bucket, are added to the places within it, so no
+    task orders more than a bucket and numbers are repeatable for unique keys. Null keys come
+    last, as a bucket of their own; no entries give no rows.
+    """
+    dealt = _bucketed(entries.select(F.struct("*").alias("_entry"), F.col(key).alias("_key")), "_key", None, rows_per_bucket)
+    dealt = dealt.withColumn("bucket", F.coalesce("bucket", F.lit(2**62)))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("bucket").agg(F.count("*").alias("_n")).select(
+        "bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("_key")) - 1
+    numbered = dealt.withColumn("_place", place).join(before, "bucket")
+    batch = F.floor((F.col("_before") + F.col("_place")) / n).cast("long").alias("batch_no")
+    return numbered.select("_entry.*", batch)
+
+
+def _bucketed(entries: DataFrame, key: str, buckets: int | None, rows_per_bucket: int) -> DataFrame:
+    """Add ``bucket`` by the digest of the key; their number follows the entries unless given."""
     digest = F.conv(F.substring(F.md5(F.col(key)), 1, 8), 16, 10).cast("long")
     if buckets is None:
         counted = entries.agg(F.ceil(F.count("*") / rows_per_bucket).alias("n"))
         number = F.greatest(F.lit(1).cast("long"), counted.scalar())
     else:
         number = F.lit(buckets).cast("long")
-    order = Window.partitionBy("bucket").orderBy(key)
-    return entries.withColumn("bucket", F.pmod(digest, number)).withColumn(
-        "batch_no", F.floor((F.row_number().over(order) - 1) / n).cast("long")
-    )
+    return entries.withColumn("bucket", F.pmod(digest, number))
 
 
 def index_stats(entries: DataFrame) -> DataFrame:

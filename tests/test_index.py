@@ -134,3 +134,16 @@ def test_buckets_follow_the_number_of_entries(spark):
     batched = sm.batch_entries(subjects, n=30, rows_per_bucket=100)
     assert batched.select("bucket").distinct().count() == 10
     assert sm.batch_entries(subjects.limit(0)).count() == 0
+
+
+def test_dense_batches_leave_one_short(spark):
+    subjects = spark.range(1003).select(F.concat(F.lit("s"), "id").alias("subject"), F.lit(1).alias("bucket"))
+    subjects = subjects.union(spark.createDataFrame([(None, 2)] * 2, "subject string, bucket int"))
+    batched = sm.number_batches(subjects, n=30, rows_per_bucket=100)
+    assert batched.columns == ["subject", "bucket", "batch_no"]
+    sizes = {r["batch_no"]: r["count"] for r in batched.groupBy("batch_no").count().collect()}
+    assert sizes == {i: 30 for i in range(33)} | {33: 15}
+    assert {r["batch_no"] for r in batched.where("subject is null").collect()} == {33}
+    again = sm.number_batches(subjects.repartition(5), n=30, rows_per_bucket=100)
+    assert sorted(map(str, again.collect())) == sorted(map(str, batched.collect()))
+    assert sm.number_batches(subjects.limit(0)).count() == 0
