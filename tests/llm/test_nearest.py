@@ -65,10 +65,35 @@ def test_estimates_stay_within_their_bounds():
     rng = np.random.default_rng(3)
     vectors, queries = rng.normal(size=(2000, 64)) + 1, rng.normal(size=(50, 64))
     centre, turn = vectors.mean(axis=0), rotation(64, 256, 1)
-    codes = Codes(vectors, centre, turn)
-    estimate = codes.estimates(queries, centre, turn, codes.signs())
-    unit = codes.error * np.sqrt((queries**2).sum(axis=1))[:, None]
+    codes = Codes.of(vectors, centre, turn)
+    estimate, unit = codes.estimates(queries, centre, turn)
     off = (estimate - queries @ vectors.T) / unit
     assert (np.abs(off) > 4).mean() < 1e-3
     assert abs(off.mean()) < 0.05 and 0.5 < off.std() < 1.5
-    assert codes.bits.nbytes == 2000 * 32
+    assert codes.words.nbytes == 2000 * 32
+
+
+def test_bit_counts_give_the_product_with_the_signs():
+    rng = np.random.default_rng(5)
+    vectors, queries = rng.normal(size=(300, 25)), rng.normal(size=(20, 25))
+    centre, turn = vectors.mean(axis=0), rotation(25, 100, 2)
+    codes = Codes.of(vectors, centre, turn)
+    signs = np.where((vectors - centre) @ turn > 0, 1.0, -1.0)
+    turned = queries @ turn
+    low, step = turned.min(axis=1, keepdims=True), np.ptp(turned, axis=1, keepdims=True) / (2**nearest.PLANES - 1)
+    cut = low + step * np.rint((turned - low) / step)
+    want = cut @ signs.T * codes.scale + (queries @ centre)[:, None]
+    estimate, _ = codes.estimates(queries, centre, turn)
+    assert np.allclose(estimate, want, atol=1e-4)
+
+
+def test_floats_and_doubles_are_not_rounded(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(40)]
+    wide = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest_by_product(wide, wide.filter("vec_id % 20 = 0"), k=3)
+    for q, n, i, score in map(tuple, got.collect()):
+        total = 0.0  # sum() would compensate for rounding
+        for a, b in zip(rows[q][1], rows[i][1]):
+            total += a * b
+        assert score == total
