@@ -234,6 +234,14 @@ ORACLES["page_results"] = with_views(
     "files",
 )
 
+# A page far from the front: its range is selected by counts, and only the range is sorted.
+_PRICED = ["l_extendedprice", "l_shipdate", "l_orderkey", "l_linenumber"]
+QUERIES["page_results_deep"] = lambda spark, sf_dir: sm.page_results(
+    table(spark, sf_dir, "lineitem").select(*_PRICED), [("l_extendedprice", "desc"), *_PRICED[1:]], n=50, page=100
+)
+ORACLES["page_results_deep"] = """SELECT l_extendedprice, l_shipdate, l_orderkey, l_linenumber FROM lineitem
+ORDER BY l_extendedprice DESC, l_shipdate, l_orderkey, l_linenumber LIMIT 50 OFFSET 4950"""
+
 QUERIES["result_view"] = lambda spark, sf_dir: sm.result_view(_catalog(spark, sf_dir))
 ORACLES["result_view"] = _search_sql(
     """filename AS heading, directory, size_bytes AS size, extension, language, line_count,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..fixed_values import FACET_SIZE, PUBLIC, RESULTS_PER_PAGE
+from . import paging
 
 
 def get_entry(entries: DataFrame, subject: str) -> DataFrame:
@@ -85,18 +86,26 @@ def filter_date_range(
 
 def page_results(
     df: DataFrame,
-    order_by: Sequence[str | Column],
+    order_by: Sequence[str | tuple[str, str] | Column],
     n: int = RESULTS_PER_PAGE,
     page: int = 1,
 ) -> DataFrame:
     """One page of results (from 1); ``order_by`` must be a total order.
 
-    Pages near the front are a distributed top-k; Spark sorts the whole table only when
-    the page lies very deep.
+    Keys are names, or names with ``"asc"`` or ``"desc"``; nulls come first going up and last
+    going down. Pages near the front are a distributed top-k. A deeper page is found by
+    counting rows between sampled borders, and only the range that holds it is sorted; the
+    counts run when the plan is built. Keys given as columns are sorted whole at any depth.
     """
     if page < 1 or n < 1:
         raise ValueError("page and n start at 1")
-    ordered = df.orderBy(*order_by)
+    keys = [(k, "asc") if isinstance(k, str) else k for k in order_by]
+    named = all(isinstance(k, tuple) for k in keys)
+    if any(isinstance(k, tuple) and k[1] not in ("asc", "desc") for k in keys):
+        raise ValueError("a key is sorted asc or desc")
+    if named and page > 1 and page * n > paging.SHALLOW_ROWS:
+        return paging.deep_page(df, [(name, way == "desc") for name, way in keys], n, page)
+    ordered = df.orderBy(*[paging.sort_columns([(k[0], k[1] == "desc")])[0] if isinstance(k, tuple) else k for k in keys])
     return (ordered.offset((page - 1) * n) if page > 1 else ordered).limit(n)
 
 
