@@ -64,6 +64,31 @@ SELECT file_key, '.txt' AS extension, strlen(content) AS size_bytes, CAST(3 AS I
 UNION ALL SELECT file_key, '.csv', CAST(size_bytes AS BIGINT), 2 FROM tables"""
 
 
+def scan_changes(spark, sf_dir):
+    """Brands with a part larger than 48 are written again between two scans, without it."""
+    folder = _written_tree(spark, sf_dir)
+    before = sm.scan_files(spark, folder)
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", "p_type")
+    touched = parts.where("p_size > 48").select("p_brand").distinct()
+    again = parts.join(touched, "p_brand", "left_semi").where("p_size <= 48").repartition("p_brand")
+    again.sortWithinPartitions("p_brand").write.partitionBy("p_brand").option("header", True).option(
+        "partitionOverwriteMode", "dynamic"
+    ).mode("overwrite").csv(f"{folder}/tables")
+    changes = sm.listing_changes(sm.scan_files(spark, folder), before, folder)
+    return changes.where(F.col("filename") != "_SUCCESS").select("change", _file_key(), "size_bytes")
+
+
+QUERIES["scan_changes"] = scan_changes
+ORACLES["scan_changes"] = """WITH lines AS (
+  SELECT p_brand, p_size, length(p_partkey || ',' || p_size || ',' || p_type) + 1 AS n FROM part),
+sizes AS (
+  SELECT 'p_brand=' || replace(p_brand, '#', '%23') AS file_key, max(p_size) AS largest, sum(n) AS old_size,
+    sum(CASE WHEN p_size <= 48 THEN n ELSE 0 END) AS new_size, length('p_partkey,p_size,p_type') + 1 AS head
+  FROM lines GROUP BY p_brand)
+SELECT 'removed' AS change, file_key, CAST(old_size + head AS BIGINT) AS size_bytes FROM sizes WHERE largest > 48
+UNION ALL SELECT 'added', file_key, CAST(new_size + head AS BIGINT) FROM sizes WHERE largest > 48 AND new_size > 0"""
+
+
 def build_catalog_tree(spark, sf_dir):
     """The whole job over real files: list, select, read, profile, merge."""
     catalog = sm.build_catalog(spark, _written_tree(spark, sf_dir), select={"exclude_globs": ["_SUCCESS"]})

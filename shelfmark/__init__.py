@@ -70,6 +70,7 @@ from .plans.catalog import build_catalog, catalog_errors, catalog_from_files, re
 from .plans.index_store import clean_up, lookup_entry, read_index
 from .session import configure
 from .sources.catalog_json import read_catalog_json, to_index_schema, write_catalog_json
+from .sources.changes import listing_changes, next_listing
 from .sources.files import files_from_table, read_text_content, scan_files
 from .sources.tables import json_table_summary, read_delimited, read_json_records
 
