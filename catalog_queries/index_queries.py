@@ -234,6 +234,17 @@ ORACLES["page_results"] = with_views(
     "files",
 )
 
+# Facets of fields with very many values: only values of cells that can hold a shown one are counted.
+_KEYS = ["l_orderkey", "l_partkey", "l_suppkey"]
+QUERIES["term_facets_frequent"] = lambda spark, sf_dir: sm.term_facets(
+    table(spark, sf_dir, "lineitem"), _KEYS, size=20, cells=1 << 16
+)
+ORACLES["term_facets_frequent"] = " UNION ALL ".join(
+    f"""SELECT * FROM (SELECT '{k}' AS facet, CAST({k} AS VARCHAR) AS value, count(*) AS n FROM lineitem
+WHERE {k} IS NOT NULL GROUP BY {k} ORDER BY n DESC, value LIMIT 20)"""
+    for k in _KEYS
+)
+
 # A page far from the front: its range is selected by counts, and only the range is sorted.
 _PRICED = ["l_extendedprice", "l_shipdate", "l_orderkey", "l_linenumber"]
 QUERIES["page_results_deep"] = lambda spark, sf_dir: sm.page_results(

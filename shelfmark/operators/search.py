@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..fixed_values import FACET_SIZE, PUBLIC, RESULTS_PER_PAGE
-from . import paging
+from . import frequent, paging
 
 
 def get_entry(entries: DataFrame, subject: str) -> DataFrame:
@@ -32,14 +32,18 @@ def _field_type(schema: T.StructType, field: str) -> T.DataType:
 
 
 def term_facets(
-    df: DataFrame, fields: Sequence[str] | Mapping[str, str], size: int = FACET_SIZE
+    df: DataFrame, fields: Sequence[str] | Mapping[str, str], size: int = FACET_SIZE, cells: int | None = None
 ) -> DataFrame:
     """``facet, value, n``: the most frequent values of each field, all in one pass.
 
     ``fields`` are column paths, or a mapping of facet names to them. Array fields count
     every element. Missing values are no facet values. Counting combines on the map side
-    and the cut to ``size`` is made before the counts are gathered per facet.
+    and the cut to ``size`` is made before the counts are gathered per facet. With ``cells``,
+    for fields of very many values, the same result takes three passes and shuffles counts of
+    hashed cells in place of a row for each value and task (see ``frequent.top_counts``).
     """
+    if size < 1 or (cells is not None and cells < 1):
+        raise ValueError("size and cells start at 1")
     named = dict(fields) if isinstance(fields, Mapping) else {f: f for f in fields}
     pairs = []
     for name, field in named.items():
@@ -53,7 +57,10 @@ def term_facets(
             values = F.array(column.cast("string"))
         pairs.append(_tag(values, name))
     long = df.select(F.inline(F.concat(*pairs))).where(F.col("value").isNotNull())
-    counts = long.groupBy("facet", "value").agg(F.count("*").alias("n"))
+    if cells is None:
+        counts = long.groupBy("facet", "value").agg(F.count("*").alias("n"))
+    else:
+        counts = frequent.top_counts(long, size, cells, len(named))
     order = Window.partitionBy("facet").orderBy(F.desc("n"), "value")
     ranked = counts.withColumn("__rank", F.row_number().over(order))
     return ranked.where(F.col("__rank") <= size).select("facet", "value", "n")
