@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _NONE = np.int32(2**31 - 1)
+LONG_BYTES = 4_096  # longer sequences are merged with work only where a pair changes
 
 
 def byte_letters() -> dict[str, int]:
@@ -72,7 +74,9 @@ def merged_lengths(table: MergeTable, pieces: list[bytes]) -> np.ndarray:
     """
     sizes = np.array([len(p) for p in pieces], dtype=np.int64)
     counts = sizes.copy()
-    live = np.flatnonzero(sizes > 1)
+    for i in np.flatnonzero(sizes > LONG_BYTES).tolist():
+        counts[i] = merged_length(table, pieces[i])
+    live = np.flatnonzero((sizes > 1) & (sizes <= LONG_BYTES))
     if not len(live):
         return counts
     symbols = table.byte_ids[np.frombuffer(b"".join(pieces[i] for i in live), dtype=np.uint8)]
@@ -117,6 +121,60 @@ def merged_lengths(table: MergeTable, pieces: list[bytes]) -> np.ndarray:
         rank[touched] = ranks_at(touched)
 
 
+def merged_length(table: MergeTable, piece: bytes) -> int:
+    """``merged_lengths`` of one long sequence, whose rounds are very many.
+
+    The symbols are a linked list, and the places of each rank wait together, so a round
+    touches the places of the lowest rank and their neighbours alone.
+    """
+    symbols = table.byte_ids[np.frombuffer(piece, dtype=np.uint8)]
+    n = len(symbols)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[-1] = -1
+    rank = np.append(table.rank(symbols[:-1], symbols[1:]), _NONE)
+    waiting: dict[int, list[np.ndarray]] = {}
+    lowest: list[int] = []
+
+    def wait(places: np.ndarray) -> None:
+        places = places[rank[places] != _NONE]
+        places = places[np.argsort(rank[places], kind="stable")]
+        ranks = rank[places]
+        cuts = np.flatnonzero(np.diff(ranks)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)]):
+            if lo < hi:
+                r = int(ranks[lo])
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(lowest, r)
+                waiting[r].append(places[lo:hi])
+
+    wait(np.arange(n))
+    while lowest:
+        r = heappop(lowest)
+        hit = np.unique(np.concatenate(waiting.pop(r)))
+        hit = hit[rank[hit] == r]  # places whose pair has changed wait elsewhere, or are gone
+        if not len(hit):
+            continue
+        # Of hits that overlap (a run of one symbol) every second one is taken, from the left.
+        run = np.r_[True, after[hit[:-1]] != hit[1:]]
+        nth = np.arange(len(hit)) - np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
+        hit = hit[nth % 2 == 0]
+        gone = after[hit]
+        symbols[hit] = table.made[r]
+        rank[gone] = _NONE
+        n -= len(hit)
+        follow = after[gone]
+        after[hit] = follow
+        linked = follow >= 0
+        before[follow[linked]] = hit[linked]
+        touched = np.unique(np.concatenate([hit, before[hit]]))
+        touched = touched[touched >= 0]
+        ends = after[touched]
+        rank[touched] = np.where(ends >= 0, table.rank(symbols[touched], symbols[np.maximum(ends, 0)]), _NONE)
+        wait(touched)
+    return n
+
+
 class TokenCounter:
     """Counts tokens of texts; keeps the lengths of pre-tokens it has met, up to a bound."""
 

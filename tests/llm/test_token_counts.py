@@ -1,10 +1,12 @@
+import random
+
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from shelfmark.llm.token_counts import TokenCounter, count_tokens
+from shelfmark.llm.token_counts import TokenCounter, count_tokens, merged_length, merged_lengths
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -28,6 +30,21 @@ def test_special_strings_runs_and_long_texts():
     assert small.count(texts) == [by_library(t) for t in texts]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab eést\n<|", max_size=80))
+def test_long_sequences_merge_as_short_ones_do(text):
+    piece = text.encode()
+    if len(piece) > 1:
+        assert merged_length(COUNTER.table, piece) == merged_lengths(COUNTER.table, [piece])[0]
+
+
+def test_very_long_pre_tokens():
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("etaoinshrdlu", k=60_000)), "a" * 30_001, "the" * 9_000, "é" * 5_000]
+    texts.append(" ".join([texts[0][:20_000], "short", texts[2]]))
+    assert COUNTER.count(texts) == [by_library(t) for t in texts]
+
+
 def test_rows_of_every_kind(edge):
     got = sorted(map(tuple, count_tokens(edge, PATH).collect()), key=str)
     expected = sorted(
