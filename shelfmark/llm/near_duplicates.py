@@ -147,7 +147,7 @@ def _entries(rows: DataFrame, levels: int, trees: range = range(TREES)) -> DataF
                     [pa.array(nodes.view(np.int64)), pa.array(keys[owners])], names=["_node", "_key"]
                 )
 
-    return rows.mapInArrow(run, "_node long, _key long")
+    return rows.mapInArrow(trimmed(run), "_node long, _key long")
 
 
 def compare_pairs(

@@ -35,6 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
 Batches = Iterator[pa.RecordBatch]
 
 
+def give_back() -> None:
+    """Give memory that the allocators hold on to back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """``run`` that gives freed memory back to the system when its task ends.
 
@@ -46,9 +54,6 @@ def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return wrapped

@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import cut, trimmed
+from .storage import cut, give_back, trimmed
 from .words import find_words, hash_words, mix64, text_slices
 
 RUN_WORDS = 4  # words of the runs that minimisers are chosen from
 LONGEST = 64  # windows of one packed string
 BUCKET_BYTES = 12 << 20  # packed text that a bucket holds on average
+SHARE_BYTES = 32 << 20  # text whose stretches are brought together in one group
 FLUSH_BYTES = 20 << 20  # packed text that a task gathers before it writes
 KNOWN_STRINGS = 20_000  # repeated strings that a task remembers
 HOT_FACTOR = 8  # a cell is hot from so many times the mean count
@@ -325,17 +326,54 @@ def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[order][new], place
 
 
+def _shares(found: np.ndarray, shares: int) -> pa.Table:
+    """Stretches (rows of four numbers) packed by the share that their document belongs to."""
+    name = mix64(found[:, 0].astype(np.uint64)) ^ found[:, 1].astype(np.uint64)
+    share = (mix64(name) % np.uint64(shares)).astype(np.int32)
+    order = np.argsort(share, kind="stable")
+    ids, heads = np.unique(share[order], return_index=True)
+    data = [part.tobytes() for part in np.split(found[order], heads[1:])] if len(ids) else []
+    return pa.table({"_share": pa.array(ids, pa.int32()), "_data": pa.array(data, pa.binary())})
+
+
+def _by_document(found: np.ndarray) -> pa.Table:
+    """One row per document: its stretches in order, those that touch or overlap as one."""
+    found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+    ends = found[:, 3].copy()
+    new = np.r_[True, (found[1:, :2] != found[:-1, :2]).any(axis=1)] if len(found) else np.zeros(0, bool)
+    document = np.cumsum(new)
+    # The furthest end so far within the document: ends are raised by the document's number.
+    step = int(ends.max()) + 1 if len(found) else 1
+    reach = np.maximum.accumulate(ends + document * step) - document * step
+    fresh = new.copy()
+    fresh[1:] |= found[1:, 2] > reach[:-1]
+    heads = np.flatnonzero(fresh)
+    lasts = np.r_[heads[1:], len(found)] - 1 if len(heads) else heads
+    offsets = pa.array(np.r_[np.flatnonzero(new[heads]), len(heads)], pa.int32())
+    first = found[new]
+    return pa.table(
+        {
+            "_key": pa.array(first[:, 0]),
+            "_look": pa.array(first[:, 1]),
+            "_from": pa.ListArray.from_arrays(offsets, pa.array(found[heads, 2])),
+            "_to": pa.ListArray.from_arrays(offsets, pa.array(reach[lasts])),
+        }
+    )
+
+
 def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
-    """(_key, _look, _from, _to): word stretches all of whose windows occur earlier in the corpus.
+    """(_key, _look, _from, _to): one row per document with word stretches all of whose windows
+    occur earlier in the corpus, as arrays of first words and of words after the last.
 
     Earlier means in a smaller key, in an equal key with a text of smaller hash, or at an
-    earlier word of the same text. Stretches of a document may overlap. A null key counts
-    as the smallest.
+    earlier word of the same text. A document's stretches come in order and apart. A null
+    key counts as the smallest. Documents without stretches have no row.
     """
     given = docs.select(*_row_names(docs, key, text), F.col(text).alias("_text"))
     size = given.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     hot = _hot_cells(given, size)
     buckets = max(1, int(np.ceil(size * 3.2 / BUCKET_BYTES)))
+    shares = max(1, int(np.ceil(size / SHARE_BYTES)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, hot, buckets)
@@ -384,29 +422,36 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         data = table.column("_data").to_pylist()
         parts = [np.frombuffer(d, np.int64).reshape(-1, 4) for d, f in zip(data, done) if f]
         blocks = [d for d, f in zip(data, done) if not f]
+        del data
         if blocks:
             keys, *strings = _open_blocks(blocks)
             names, place = _ranked(keys)
             at, begins, ends = repeated_in_bucket(window, place, *strings)
             parts.append(np.column_stack([names[at], begins, ends]))
-        found = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
-        return pa.table(dict(zip(("_key", "_look", "_from", "_to"), found.T.copy())))
+        packed = _shares(np.concatenate(parts) if parts else np.zeros((0, 4), np.int64), shares)
+        parts, blocks, keys, strings, names, place = (None,) * 6
+        give_back()
+        return packed
+
+    def gather(table: pa.Table) -> pa.Table:
+        found = np.concatenate([np.frombuffer(d, np.int64) for d in table.column("_data").to_pylist()])
+        return _by_document(found.reshape(-1, 4))
 
     blocks = given.mapInArrow(trimmed(pack), "_bucket int, _done boolean, _data binary")
-    return blocks.groupBy("_bucket").applyInArrow(settle, "_key long, _look long, _from long, _to long")
+    packed = blocks.groupBy("_bucket").applyInArrow(settle, "_share int, _data binary")
+    return packed.groupBy("_share").applyInArrow(
+        gather, "_key long, _look long, _from array<long>, _to array<long>"
+    )
 
 
 def _applied(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
     """(_row, n_words, n_removed, kept_text): each row as a struct, and what is left of its text."""
     spans = repeated_spans(docs, key=key, text=text, window=window)
-    spans = spans.groupBy("_key", "_look").agg(F.collect_list(F.struct("_from", "_to")).alias("_spans"))
     given = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         *_row_names(docs, key, text),
     )
-    joined = given.join(spans, ["_key", "_look"], "left").select(
-        "_row", F.col("_spans._from").alias("_from"), F.col("_spans._to").alias("_to")
-    )
+    joined = given.join(spans, ["_key", "_look"], "left").select("_row", "_from", "_to")
     place = docs.columns.index(text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

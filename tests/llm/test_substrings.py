@@ -100,3 +100,25 @@ def test_rows_of_one_key_lose_only_their_own_repeats(spark, key):
     assert all(sum(o in t for t in kept) == 1 for o in own)  # no clean text goes
     assert sum(copied in t for t in kept) == 1  # one copy stays, although two begin alike
     assert sum(r["n_removed"] for r in remove_repeats(df).collect()) == 3 * 60
+
+
+def test_stretches_come_as_one_row_per_document(spark):
+    """However many buckets find them, and merged where they touch; they used to be a row each."""
+    rows = [(i, prose(i % 10, 400)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = substrings.repeated_spans(df).collect()
+    assert sorted(r["_key"] for r in found) == list(range(10, 40))
+    assert {(tuple(r["_from"]), tuple(r["_to"])) for r in found} == {((0,), (len(SPACE.findall(rows[0][1])),))}
+
+
+def test_stretches_of_a_document_are_merged():
+    found = np.array([[5, 0, 30, 60], [5, 0, 0, 25], [5, 0, 25, 28], [5, 0, 31, 50], [7, 0, 10, 30], [5, 1, 2, 22]])
+    packed = substrings._shares(found, 3)
+    assert sum(len(d) for d in packed.column("_data").to_pylist()) == found.astype(np.int64).nbytes
+    assert substrings._by_document(found).to_pylist() == [
+        {"_key": 5, "_look": 0, "_from": [0, 30], "_to": [28, 60]},
+        {"_key": 5, "_look": 1, "_from": [2], "_to": [22]},
+        {"_key": 7, "_look": 0, "_from": [10], "_to": [30]},
+    ]
+    assert substrings._by_document(found[:0]).num_rows == 0
+    assert substrings._shares(found[:0], 3).num_rows == 0
