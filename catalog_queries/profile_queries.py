@@ -288,7 +288,7 @@ FROM part GROUP BY p_brand, p_partkey // 500"""
 def read_delimited_quoted(spark, sf_dir):
     """All documents, whose texts have line ends and quotes, written as delimited files and read back."""
     folder = f"{work_dir(spark)}/{uuid.uuid4().hex}/documents.csv"
-    table(spark, sf_dir, "documents").select("doc_id", "source", "text").repartition(2, "doc_id").write.options(
+    table(spark, sf_dir, "documents").select("doc_id", "source", "text").write.options(
         header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(folder)
     rows = sm.read_delimited(spark, folder, multi_line=True)

@@ -25,6 +25,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def wide(spark: SparkSession) -> int:
+    """Tasks for work that is dear for its size: several a core, and no fewer than shuffles have.
+
+    As a given number it also holds where Spark would join small partitions.
+    """
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 _private_folders: dict[str, str] = {}
 
 

@@ -82,3 +82,22 @@ def test_open_cell_at_the_end_quotes_inside_cells_and_empty_files(spark, tmp_pat
     assert found["a.csv"] == (sorted(["h,i", '5" pipe,"x\ny"', 'z,"open\n' + "\n".join(["tail,"] * 30)]), 1)
     assert found["c.csv"] == (sorted(['"h\n1",i', "1,2", "", "3,4"]), 1)
     assert "b.csv" not in found
+
+
+def test_the_query_writes_its_files_without_bringing_rows_together(spark, tmp_path, monkeypatch):
+    """All rows used to be dealt to two tasks, whatever their number."""
+    from catalog_queries import profile_queries
+
+    made = spark.createDataFrame([(i, "s", f'a "{i}"\nb, c') for i in range(60)], "doc_id long, source string, text string")
+    made.repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(profile_queries, "work_dir", lambda spark: str(tmp_path / "work"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "2000")
+    try:
+        got = profile_queries.read_delimited_quoted(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r["doc_id"] for r in got) == list(range(60))
+    assert sorted(r["n_chars"] for r in got) == sorted(len(f'a "{i}"\nb, c') for i in range(60))
+    assert len(list((tmp_path / "work").glob("*/documents.csv/part-*"))) > 2
