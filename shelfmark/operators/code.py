@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 from collections import Counter
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import BRANCH_KINDS, STANDARD_LIBRARY_MODULES, STATEMENT_KINDS
 from ..functions.arrow import map_texts
 from ..functions.text import char_count, line_count
+from ..session import wide
 
 PARAMETER = "struct<name string, annotation string>"
 SYMBOL = (
@@ -25,10 +27,12 @@ SYMBOL = (
     "annotation string, value_type string, docstring string>"
 )
 IMPORT = "struct<module string, level int, names array<string>>"
-MODULE_TYPE = (
-    f"struct<error string, module_docstring string, symbols array<{SYMBOL}>, "
-    f"imports array<{IMPORT}>, kinds map<string, bigint>>"
-)
+FACTS = {
+    "module_docstring": "string",
+    "symbols": f"array<{SYMBOL}>",
+    "imports": f"array<{IMPORT}>",
+    "kinds": "map<string, bigint>",
+}
 
 
 def _expression_name(node: ast.expr) -> str:
@@ -108,7 +112,7 @@ def _symbols(tree: ast.Module) -> list[dict]:
     return rows
 
 
-def _module_facts(text: str) -> dict:
+def _module_facts(text: str, parts: Sequence[str]) -> dict:
     try:
         tree = ast.parse(text)
         nodes = list(ast.walk(tree))
@@ -121,21 +125,21 @@ def _module_facts(text: str) -> dict:
                     {"module": node.module, "level": node.level,
                      "names": [a.name for a in node.names]}
                 )
-        return {
-            "module_docstring": ast.get_docstring(tree) or None,
-            "symbols": _symbols(tree),
-            "imports": imports,
-            "kinds": list(Counter(type(n).__name__ for n in nodes).items()),
-        }
+        # Symbols are made even where they are not asked for: a module where that fails has no facts.
+        facts = {"module_docstring": ast.get_docstring(tree) or None, "symbols": _symbols(tree), "imports": imports}
+        if "kinds" in parts:
+            facts["kinds"] = [(kind.__name__, n) for kind, n in Counter(map(type, nodes)).items()]
+        return {name: fact for name, fact in facts.items() if name in parts}
     except SyntaxError as problem:
         return {"error": f"Syntax error: {problem}"}
     except Exception as problem:  # e.g. NUL characters, or nesting beyond the parser
         return {"error": f"{type(problem).__name__}: {problem}"}
 
 
-def module_facts(content: Column) -> Column:
-    """The plain facts of a module text as one struct (null for null)."""
-    return map_texts(content, _module_facts, MODULE_TYPE)
+def module_facts(content: Column, parts: Sequence[str] = tuple(FACTS)) -> Column:
+    """The plain facts of a module text as one struct (null for null): ``error`` and the ``parts``."""
+    fields = ", ".join(f"{name} {FACTS[name]}" for name in parts)
+    return map_texts(content, partial(_module_facts, parts=tuple(parts)), f"struct<error string, {fields}>")
 
 
 def comment_lines(content: Column) -> Column:
@@ -244,11 +248,19 @@ def code_facts(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("facts", module_facts(F.col(content)))
 
 
+def _dealt_facts(df: DataFrame, key: str, content: str, part: str) -> DataFrame:
+    """The key and one part of ``facts``. Parsing is dear for the size of a text, and a small
+    file is read by one task, so the texts are dealt over all tasks first."""
+    texts = df.select(F.col(key).alias("__key"), F.col(content).alias("__content"))
+    dealt = texts.repartition(wide(df.sparkSession), "__key", "__content")
+    return dealt.select(F.col("__key").alias(key), module_facts(F.col("__content"), [part]).alias("facts"))
+
+
 def code_symbols(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """One row per class, method, function and global variable."""
     # The outer form here and below: the plain one lets Spark derive a filter on the parsed
     # array and evaluate the parser a second time for it.
-    rows = code_facts(df, content).select(key, F.inline_outer("facts.symbols"))
+    rows = _dealt_facts(df, key, content, "symbols").select(key, F.inline_outer("facts.symbols"))
     return rows.where(F.col("kind").isNotNull()).withColumn("visibility", visibility(F.col("kind"), F.col("name")))
 
 
@@ -259,7 +271,7 @@ def code_imports(
     local_prefixes: Sequence[str] = (),
 ) -> DataFrame:
     """One row per import with its class and display text."""
-    rows = code_facts(df, content).select(key, F.explode_outer("facts.imports").alias("item"))
+    rows = _dealt_facts(df, key, content, "imports").select(key, F.explode_outer("facts.imports").alias("item"))
     return rows.where(F.col("item").isNotNull()).select(
         key,
         F.col("item.module").alias("module"),
@@ -278,7 +290,7 @@ def import_frequency(imports: DataFrame, k: int | None = None) -> DataFrame:
 
 def code_complexity(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """Statement count, branch counts and ``1 + branches`` per module that parses."""
-    parsed = code_facts(df, content).select(
+    parsed = _dealt_facts(df, key, content, "kinds").select(
         key, F.explode_outer(F.array("facts.kinds")).alias("kinds")
     )
     return parsed.where(F.col("kinds").isNotNull()).select(key, complexity(F.col("kinds")).alias("c")).select(

@@ -1,6 +1,8 @@
 """Source-code profile on hand-built modules."""
 
 import shelfmark as sm
+from pyspark.sql import functions as F
+from shelfmark.operators.code import module_facts
 
 MODULE = '''"""Doc."""
 import os, numpy.linalg as la
@@ -89,3 +91,22 @@ def test_errors_are_reported_per_profile(rows):
     record = {r["path"]: r for r in catalog.collect()}
     assert record["/a.py"]["word_count"] == 1  # the other profiles survive
     assert record["/b.py"]["complexity"]["statement_count"] == 1
+
+
+def test_modules_of_one_partition_are_parsed_by_many_tasks(spark, rows):
+    """A small file is read by one task, which used to parse all of it."""
+    texts = [(f"m{i}", f"import a{i}\nx = {i}\n") for i in range(400)]
+    modules = rows(texts, "path string, content string").coalesce(1)
+    for found, n in ((sm.code_imports(modules), 400), (sm.code_symbols(modules), 400), (sm.code_complexity(modules), 400)):
+        per_task = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert sum(r["count"] for r in per_task) == n
+        assert len(per_task) > 8 and max(r["count"] for r in per_task) < n / 4
+
+
+def test_facts_that_are_not_asked_for_are_left_out(rows):
+    for part in ("symbols", "imports", "kinds"):
+        facts = frame(rows).select("path", module_facts(F.col("content"), [part]).alias("f"))
+        assert facts.schema["f"].dataType.fieldNames() == ["error", part]
+        whole = frame(rows).select("path", module_facts(F.col("content")).alias("f"))
+        few = sorted(map(str, facts.select("path", "f.error", f"f.{part}").collect()))
+        assert few == sorted(map(str, whole.select("path", "f.error", f"f.{part}").collect()))
