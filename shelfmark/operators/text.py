@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import KEYWORDS_PER_FILE, PREVIEW_CHARS
 from ..functions import text as tf
+from ..session import wide
+
+ROWS_OF_A_KEY = 64  # rows of one key whose texts may meet in one task
 
 
 def _fields(content: Column, lowered: Column, k: int) -> dict[str, Column]:
@@ -51,18 +54,25 @@ def extract_keywords(
 ) -> DataFrame:
     """Long form: one row per document and keyword with its rank (from 1).
 
-    Words are counted as rows, line by line, and combined before the shuffle, so no task
-    holds the words of a whole document. Rows of one key count as one document.
+    Words are counted as rows, line by line, and combined before any shuffle of them, so no task
+    holds the words of a whole document. Rows of one key count as one document. Where keys
+    hardly repeat, texts meet by key; else counted words do, so that no task has all rows
+    of a key.
     """
-    lines = df.select(
+    texts = df.select(key, content)
+    most = texts.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if most <= ROWS_OF_A_KEY:
+        # The texts are smaller than their counted words, and nothing else is shuffled then.
+        texts = texts.repartition(wide(df.sparkSession), key)
+    lines = texts.select(
         F.col(key), F.posexplode(F.split(F.lower(F.col(content)), "\n", -1)).alias("line", "__text")
     )
     found = lines.select(
         key, "line", F.posexplode(tf.words(F.col("__text"))).alias("place", "keyword")
     ).where(tf.may_be_keyword(F.col("keyword")))
-    counted = found.groupBy(key, "keyword").agg(
-        F.count("*").alias("n"), F.min(F.struct("line", "place")).alias("first")
-    )
+    # Line and place as one number: a minimum of structs would sort, and spill, all words.
+    first = F.shiftleft(F.col("line").cast("long"), 32) + F.col("place")
+    counted = found.groupBy(key, "keyword").agg(F.count("*").alias("n"), F.min(first).alias("first"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), "first")
     ranked = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(key, "rank", "keyword")

@@ -70,3 +70,21 @@ def test_decoding(rows):
 def test_profile_needs_no_shuffle(rows):
     plan = sm.text_profile(rows([(1, "x")], "id int, content string"))._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Python" not in plan.split("Physical Plan")[1]
+
+
+@pytest.mark.parametrize("bound", [64, 0])
+def test_keywords_over_rows_of_a_key_and_one_shuffle_of_texts(spark, monkeypatch, bound):
+    """Counted words used to be shuffled even where no key repeats, at several times the text."""
+    from shelfmark.operators import text as operator
+
+    monkeypatch.setattr(operator, "ROWS_OF_A_KEY", bound)
+    rows = [("a", "walrus walrus tiger\nzebra tiger walrus"), ("b", "tiger\n\nzebra zebra"), (None, "lonely"), ("c", None)]
+    df = spark.createDataFrame(rows, "path string, content string")
+    found = sm.extract_keywords(df, "path")
+    expected = [("a", 1, "walrus"), ("a", 2, "tiger"), ("a", 3, "zebra"), ("b", 1, "zebra"), ("b", 2, "tiger"), (None, 1, "lonely")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange ") == (1 if bound else 2)
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    twice = sm.extract_keywords(df.unionByName(df), "path")
+    assert sorted(map(tuple, twice.collect()), key=str) == sorted(expected, key=str)
