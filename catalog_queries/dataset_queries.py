@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import images
 from shelfmark.functions.arrays import limit_attributes as first_attributes
 from shelfmark.functions.values import parse_compact_date as compact_date
-from shelfmark.session import work_dir
+from shelfmark.session import wide, work_dir
 
 from .selection_queries import LINES
 from .views import table, view, with_views
@@ -210,7 +210,7 @@ def _boxes(spark, sf_dir):
     folder = f"{work_dir(spark)}/{uuid.uuid4().hex}/boxes"
     whole = box.join(pages, "box", "left").join(pixels, "box", "left").join(arrays, "box", "left")
     # One file per box: a box is one row.
-    whole.repartition(8, "box").write.partitionBy("box").json(folder)
+    whole.repartition(wide(spark), "box").write.partitionBy("box").json(folder)
     return folder
 
 

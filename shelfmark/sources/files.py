@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import paths, text
 from ..operators.selection import exclude_dot_paths
-from ..session import work_dir
+from ..session import wide, work_dir
 
 LISTED = (
     "path string, is_dir boolean, size_bytes bigint, created_at timestamp, "
@@ -159,7 +159,7 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     folder = f"{work_dir(spark)}/listing-{uuid.uuid4().hex}"
     level, frontier = 0, spark.createDataFrame([(root,)], "path string")
     while True:
-        spread = frontier.repartition(F.col("path")) if level else frontier
+        spread = frontier.repartition(wide(spark), F.col("path")) if level else frontier
         target = f"{folder}/level={level}"
         spread.mapInPandas(_scan_directories, LISTED).write.parquet(target)
         listed = spark.read.parquet(target)
@@ -173,16 +173,24 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     return files.where(~F.col("is_dir") | F.col("read_error").isNotNull()).drop("is_dir")
 
 
+def _dealt(asked: DataFrame) -> DataFrame:
+    """The files of a listing in turn over many tasks, at least one for so many bytes to read."""
+    total = asked.agg(F.sum(F.when(F.col("__take"), F.col("size_bytes")))).first()[0]
+    return asked.repartition(max(wide(asked.sparkSession), -(-total // PIECE_BYTES))) if total else asked
+
+
 def with_bytes(files: DataFrame, wanted: Column) -> DataFrame:
     """Add the bytes of the wanted files of a mounted tree as ``content``; a file that cannot
     be read gets a ``read_error``.
 
     A task holds the contents of about ``PIECE_BYTES`` at once, or of one larger file,
-    however many files a partition has.
+    however many files a partition has. A listing is small and would stay in few tasks, so
+    its files are dealt out first.
     """
     names = files.columns
     at_path, at_error, bound = names.index("path"), names.index("read_error"), PIECE_BYTES
     asked = files.withColumn("__take", F.coalesce(wanted, F.lit(False)) & F.col("read_error").isNull())
+    asked = _dealt(asked)
     schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
 
     def read(name: str) -> tuple[bytes | None, str | None]:

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import shelfmark as sm
+from pyspark.sql import functions as F
 from shelfmark.sources import changes
 
 
@@ -47,3 +48,14 @@ def test_what_cannot_be_read_is_not_judged(spark, monkeypatch, bound):
     assert got == {("removed", "/r/ab/z"), ("added", "/r/broken")}
     following = sm.next_listing(second, first, "/r")
     assert {r["path"] for r in following.collect()} == {"/r/a/x", "/r/a/b/y", "/r/f", "/r/broken", "/r/kept"}
+
+
+def test_contents_are_read_by_many_tasks(spark, tmp_path):
+    """A listing is one small file, and its one task used to read all contents."""
+    for i in range(64):
+        (tmp_path / f"f{i}.txt").write_text(f"text {i}")
+    files = sm.scan_files(spark, str(tmp_path), with_content=True)
+    read = files.select("filename", F.col("content").cast("string").alias("text"), F.spark_partition_id().alias("task")).collect()
+    assert {(r["filename"], r["text"]) for r in read} == {(f"f{i}.txt", f"text {i}") for i in range(64)}
+    tasks = [r["task"] for r in read]
+    assert max(map(tasks.count, tasks)) <= 8
