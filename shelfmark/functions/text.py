@@ -60,31 +60,35 @@ def word_count(content: Column, lowered: Column | None = None) -> Column:
     return F.when(split_by_case, F.size(words(content))).otherwise(F.size(lowered)).cast("long")
 
 
-def detect_language(lowered: Column) -> Column:
-    """The language with strictly the most common-word hits, else ``unknown``."""
+def language_hits(lowered: Column) -> Column:
+    """A struct of the common words found, per language."""
     listed = sorted({word for known in LANGUAGE_WORDS.values() for word in known})
 
     def count_of(hits: Column, known: list[str]) -> Column:
         return F.size(F.filter(hits, lambda w: w.isin(known)))
 
-    def choose(n: Column) -> Column:
-        chosen = F.lit(UNKNOWN_LANGUAGE)
-        for code in LANGUAGE_WORDS:
-            others = [n.getField(o) for o in LANGUAGE_WORDS if o != code]
-            wins = reduce(lambda a, b: a & b, [n.getField(code) > o for o in others])
-            chosen = F.when(wins, F.lit(code)).otherwise(chosen)
-        return chosen
-
     # One set lookup per word leaves the few listed words; those are counted per language.
     return let(
         F.filter(lowered, lambda w: w.isin(listed)),
-        lambda hits: let(
-            F.struct(*[count_of(hits, known).alias(c) for c, known in LANGUAGE_WORDS.items()]),
-            choose,
-        ),
+        lambda hits: F.struct(*[count_of(hits, known).alias(c) for c, known in LANGUAGE_WORDS.items()]),
     )
 
 
+def choose_language(hits: Column) -> Column:
+    """The language with strictly the most hits, else ``unknown``."""
+    chosen = F.lit(UNKNOWN_LANGUAGE)
+    for code in LANGUAGE_WORDS:
+        others = [hits.getField(o) for o in LANGUAGE_WORDS if o != code]
+        wins = reduce(lambda a, b: a & b, [hits.getField(code) > o for o in others])
+        chosen = F.when(wins, F.lit(code)).otherwise(chosen)
+    return chosen
+
+
+def detect_language(lowered: Column) -> Column:
+    """The language with strictly the most common-word hits, else ``unknown``."""
+    return let(language_hits(lowered), choose_language)
+
+
 def may_be_keyword(word: Column) -> Column:
     """Long enough and not a common word."""
     return (F.length(word) >= MIN_KEYWORD_LENGTH) & ~word.isin(STOP_WORDS)

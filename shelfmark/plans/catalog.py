@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -21,14 +21,23 @@ from ..operators.routing import Registry, default_registry, route_extractors
 from ..operators.selection import select_files
 from ..operators.semistructured import json_judgement, json_struct, yaml_struct
 from ..operators.tabular import file_cells, profile_files
-from ..operators.text import text_struct
-from ..sources.files import max_length, qualified_root, read_text_content, scan_files, with_bytes
+from ..operators.text import profile_pieces, text_fields
+from ..sources.files import (
+    is_long,
+    max_length,
+    qualified_root,
+    read_text_content,
+    scan_files,
+    text_pieces,
+    with_bytes,
+)
 from ..session import work_dir
 from . import index_store
 
 ROW_PROFILES = ["text", "python", "json", "yaml"]
 PREFIX = "profile_"
 TABLE_SUFFIXES = [".csv", ".tsv", ".json"]
+FILE_ONLY = ("content", "filename", "directory", "extension", "depth")  # columns that a record does not keep
 
 
 def _for_profile(name: str, content: Column) -> Column:
@@ -49,6 +58,7 @@ def catalog_from_files(
     registry: Registry | None = None,
     keep_profiles: bool = False,
     children: Mapping[str, DataFrame] | None = None,
+    pieces: DataFrame | None = None,
 ) -> DataFrame:
     """One typed record per file: select, route, profile and merge as one lazy plan.
 
@@ -56,6 +66,8 @@ def catalog_from_files(
     ``select`` come first, so nothing is computed for files they drop. Profiles are
     columns of the file's own row; only the tabular profile regroups cells and is joined
     back by path. ``table_files`` may name a cheaper source of the tabular files alone.
+    ``pieces`` are the decoded texts of the long files among them (see ``text_pieces``); the
+    text profile of these comes from the pieces, whether ``files`` has their content or not.
     ``children`` are profiles of pages, pixels or arrays, one row per path, which the
     records take in under their names (see ``merge_children``).
     """
@@ -68,6 +80,8 @@ def catalog_from_files(
         {"__text": _for_profile("text", content), "__code": _for_profile("python", content),
          "__json": _for_profile("json", content), "__yaml": _for_profile("yaml", content)}
     )
+    if pieces is not None:
+        shared = shared.withColumn("__text", F.when(~is_long(F.col("size_bytes")), F.col("__text")))
     if max_chars is not None:
         shared = shared.withColumn("__text", F.substring("__text", 1, max_chars))
     shared = shared.withColumns(
@@ -78,21 +92,31 @@ def catalog_from_files(
         }
     )
     profiles = {
-        "text": text_struct(F.col("__text"), F.col("__words")),
         "python": code_struct(F.col("__code"), F.col("__facts"), local_prefixes),
         "json": json_struct(F.col("__json"), F.col("__valid"), max_document_chars),
         "yaml": yaml_struct(F.col("__yaml")),
     }
     for name, fn in registry.functions.items():
         profiles[name] = fn(_for_profile(name, content))
-    profiled = shared.withColumns({PREFIX + n: c for n, c in profiles.items()}).drop(
-        *[c for c in shared.columns if c.startswith("__")],
-        "content", "filename", "directory", "extension", "depth",
-    )
+    kept = [c for c in shared.columns if not c.startswith("__") and c not in FILE_ONLY]
+    texts = {f"__text_{n}": c for n, c in text_fields(F.col("__text"), F.col("__words")).items()}
+    computed = {PREFIX + n: c for n, c in profiles.items()} | texts
+    profiled = shared.select(*kept, *[c.alias(n) for n, c in computed.items()])
+    if pieces is not None:
+        profiled = _with_long_texts(profiled, profile_pieces(pieces))
     order = [PREFIX + n for n in [*ROW_PROFILES, *registry.functions]]
-    record = merge_profiles(profiled, order)
-    if not keep_profiles:
-        record = record.drop(*order)
+    if "text" in profiles:
+        record = merge_profiles(profiled, order)
+    else:
+        # The text fields are columns, the last choice of the merge: of a struct over a join Spark
+        # would compute the fields that nobody reads as well.
+        own = {n.removeprefix("__text_"): F.col(n) for n in texts}
+        profiled = profiled.withColumns({n: F.coalesce(c, n) if n in kept else c for n, c in own.items()})
+        if keep_profiles:
+            profiled = profiled.withColumn(order[0], F.struct(*[c.alias(n) for n, c in own.items()]))
+        record = merge_profiles(profiled, order[1:])
+    shown = [*kept, *(dict.fromkeys(order) if keep_profiles else ())]
+    record = record.select(*shown, *[c for c in record.columns if c not in (*shown, *order, *texts)])
     record = merge_children(record, children or {})
     if not tabular:
         return record
@@ -116,31 +140,46 @@ def catalog_from_files(
     )
 
 
-def _content_suffixes(registry: Registry) -> list[str]:
-    """The suffixes of all files whose content some profile may take."""
-    routes = [r for r in registry.routes if r.name in (*ROW_PROFILES, *registry.functions)]
-    suffixes = {s for r in routes for s in r.suffixes} | set(TABLE_SUFFIXES)
+def _with_long_texts(profiled: DataFrame, texts: DataFrame) -> DataFrame:
+    """Put the text profiles of long files, one row per path, into the ``__text_`` columns of their files."""
+    named = texts.select("path", *[F.col(c).alias(f"__long_{c}") for c in texts.columns if c != "path"])
+    joined = profiled.join(named, "path", "left")
+    merged = {c: F.coalesce(f"__long_{c.removeprefix('__text_')}", c) for c in profiled.columns if c.startswith("__text_")}
+    if "read_error" in profiled.columns:
+        merged["read_error"] = F.coalesce("read_error", "__long_read_error")
+    return joined.withColumns(merged).select(*profiled.columns)
+
+
+def _route_suffixes(registry: Registry, names: Iterable[str]) -> set[str]:
+    """The suffixes of all files that some of these profiles may take."""
+    routes = [r for r in registry.routes if r.name in names]
+    suffixes = {s for r in routes for s in r.suffixes}
     prefixes = tuple(p for r in routes for p in r.mime_prefixes)
-    return sorted(suffixes | {s for s, mime in suffix_types().items() if mime.startswith(prefixes)})
+    return suffixes | {s for s, mime in suffix_types().items() if mime.startswith(prefixes)}
+
+
+def _has_suffix(suffixes: Iterable[str]) -> Column:
+    return F.coalesce(paths.extension(F.col("path")).isin(sorted(suffixes)), F.lit(False))
 
 
 def _tree(
-    spark: SparkSession, root: str, hidden: bool | None, select: Mapping[str, Any], registry: Registry,
-    suffixes: Sequence[str],
+    spark: SparkSession, root: str, listed: DataFrame | None, select: Mapping[str, Any],
+    suffixes: Sequence[str], in_pieces: Column | None = None,
 ) -> DataFrame:
     """Selected files with the content of those that a profile takes.
 
-    On a mounted tree the path rules come before any file is opened. Elsewhere Spark reads
+    On a mounted tree (``listed``) the path rules come before any file is opened, and files that
+    are read in pieces elsewhere are not. Elsewhere Spark reads
     the files of the suffixes in question up to its length limit, and lists the others
     without opening them. A file that a profile would take but that is too long gets a
     ``read_error`` and no content.
     """
     base, limit = qualified_root(spark, root), max_length(spark)
-    taken = F.coalesce(paths.extension(F.col("path")).isin(*suffixes), F.lit(False))
+    taken = _has_suffix(suffixes)
     fits = F.col("size_bytes") <= limit
-    if hidden or (hidden is None and base.startswith("/")):
-        listed = select_files(scan_files(spark, root, hidden=hidden), root=base, **select)
-        files = with_bytes(listed, taken & F.coalesce(fits, F.lit(False)))
+    if listed is not None:
+        wanted = taken & F.coalesce(fits, F.lit(False))
+        files = with_bytes(listed, wanted if in_pieces is None else wanted & ~in_pieces)
     else:
         opened = scan_files(spark, root, with_content=True, hidden=False, suffixes=suffixes)
         rest = scan_files(spark, root, hidden=False).withColumn("content", F.lit(None).cast("binary"))
@@ -158,7 +197,8 @@ def build_catalog(
     ``scan_files`` for ``hidden``.
 
     Only files that a profile takes are opened; ``read_error`` tells why one could not be.
-    The tabular profile reads the tabular files a second time, and no others. Files whose
+    The tabular profile reads the tabular files a second time, and no others. On a mounted tree
+    the texts of long files are read and profiled in pieces, unless ``max_chars`` is given. Files whose
     suffix is one of ``containers`` hold pages, pixels and arrays (see ``read_containers``);
     they are parsed once into the shared work folder, and their child tables are profiled
     from there into the fields ``pages``, ``image`` and ``arrays``.
@@ -166,17 +206,28 @@ def build_catalog(
     registry = options.get("registry") or default_registry
     containers = options.pop("containers", ())
     select = options.pop("select", None) or {}
-    files = _tree(spark, root, hidden, select, registry, _content_suffixes(registry))
+    base, listed, in_pieces = qualified_root(spark, root), None, None
+    whole = {*ROW_PROFILES, *registry.functions} - ({"text"} - set(registry.functions))
+    suffixes = _route_suffixes(registry, [*ROW_PROFILES, *registry.functions]) | set(TABLE_SUFFIXES)
+    if hidden or (hidden is None and base.startswith("/")):
+        listed = select_files(scan_files(spark, root, hidden=hidden), root=base, **select)
+    if listed is not None and options.get("max_chars") is None and "text" not in whole:
+        fits = F.col("read_error").isNull() & (F.col("size_bytes") <= max_length(spark))
+        long = listed.where(is_long(F.col("size_bytes")) & fits & _has_suffix(_route_suffixes(registry, ["text"])))
+        if not long.isEmpty():
+            options["pieces"] = read_text_content(text_pieces(long))
+            # Only what some other profile takes is read whole as well.
+            in_pieces = is_long(F.col("size_bytes")) & ~_has_suffix(_route_suffixes(registry, whole))
+    files = _tree(spark, root, listed, select, sorted(suffixes), in_pieces)
     tables = None
     if options.get("tabular", True):
-        tables = _tree(spark, root, hidden, select, registry, TABLE_SUFFIXES)
+        tables = _tree(spark, root, listed, select, TABLE_SUFFIXES)
     if containers:
-        held = _tree(spark, root, hidden, select, registry, containers)
+        held = _tree(spark, root, listed, select, containers)
         held = held.where(F.col("content").isNotNull() & paths.extension(F.col("path")).isin(*containers))
         target = f"{work_dir(spark)}/containers-{uuid.uuid4().hex}"
         read_containers(held).write.parquet(target)
         options["children"] = {**container_profiles(spark.read.parquet(target)), **(options.get("children") or {})}
-    base = qualified_root(spark, root)
     return catalog_from_files(files, root=base, select={"ignore_dot_paths": False}, table_files=tables, **options)
 
 

@@ -112,6 +112,7 @@ def scan_files(
 
 PIECE_ENTRIES = 10_000  # entries of a directory that a task holds at once
 PIECE_BYTES = 32 << 20  # bytes of file contents that a task holds at once, or one file
+TEXT_BYTES = 2 << 20  # bytes of a text that are profiled at once; longer files come in pieces
 
 
 def _scan_directories(batches: Iterator) -> Iterator:
@@ -222,6 +223,71 @@ def with_bytes(files: DataFrame, wanted: Column) -> DataFrame:
     return asked.mapInArrow(run, schema)
 
 
+def is_long(size_bytes: Column) -> Column:
+    """Whether a text of this size is profiled in pieces."""
+    return F.coalesce(size_bytes > TEXT_BYTES, F.lit(False))
+
+
+def text_pieces(files: DataFrame) -> DataFrame:
+    """``path, piece, content, read_error``: the bytes of files of a mounted tree in numbered pieces
+    of about ``TEXT_BYTES``, read by many tasks.
+
+    A piece ends behind ASCII white space or another control character, but not behind a carriage
+    return. So no character, line end or word is cut, and each piece can be decoded, lower-cased
+    and cut into words on its own. A run without such a byte stays in one piece; the pieces that
+    begin within it are empty. The last piece goes to the end that the file has when it is read.
+    """
+    step, block = TEXT_BYTES, 1 << 16
+    last = F.floor(F.greatest(F.col("size_bytes") - 1, F.lit(0)) / step)
+    places = files.select("path", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+    total = files.agg(F.sum("size_bytes")).first()[0] or 0
+    dealt = places.repartition(max(wide(files.sparkSession), -(-total // PIECE_BYTES)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        blank = re.compile(rb"[\x00-\x0c\x0e-\x20]")
+
+        def up_to_blank(f, most: int | None = None) -> tuple[list[bytes], bool]:
+            """The bytes up to the first blank and with it, at most so many; whether there was one."""
+            parts = []
+            while (most is None or most > 0) and (part := f.read(block if most is None else min(block, most))):
+                if found := blank.search(part):
+                    parts.append(part[: found.end()])
+                    return parts, True
+                parts.append(part)
+                most = None if most is None else most - len(part)
+            return parts, False
+
+        def read(name: str, piece: int, last: int) -> bytes:
+            start, end = piece * step, None if piece == last else (piece + 1) * step - 1
+            with open(name, "rb") as f:
+                if piece:
+                    f.seek(start - 1)
+                    skipped, found = up_to_blank(f, None if end is None else end - start + 1)
+                    if not found:
+                        return b""
+                    start += sum(map(len, skipped)) - 1
+                    f.seek(start)
+                if end is None:
+                    return f.read()
+                return b"".join([f.read(end - start), *up_to_blank(f)[0]])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                try:
+                    content, problem = read(row["path"], row["piece"], row["last"]), None
+                except OSError:
+                    content, problem = None, "could not be read"
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["path"]]), pa.array([row["piece"]], pa.int64()),
+                     pa.array([content], pa.binary()), pa.array([problem], pa.string())],
+                    names=["path", "piece", "content", "read_error"],
+                )
+
+    return dealt.mapInArrow(run, "path string, piece bigint, content binary, read_error string")
+
+
 def read_text_content(
     files: DataFrame, max_chars: int | None = None, content: str = "content"
 ) -> DataFrame:

@@ -212,3 +212,75 @@ def test_directories_and_contents_come_in_bounded_pieces(spark, tmp_path, monkey
         else:
             assert r["read_error"] is None
             assert r["content"] == (None if i == 5 else bytes([i]) * (i * 10))
+
+
+LONG_TEXTS = {
+    "plain.txt": ("The cat and the dog, and İstanbul ΟΔΟΣ. " * 400 + "zebra ΣΑΣ\r\n" * 900).encode(),
+    "lines.md": "".join(f"w{i % 997} ünïcode\u3000漢字 {i}\r\n\r" for i in range(3000)).encode(),
+    "tied.txt": " ".join(f"tied{i:05}" for i in range(3000)).encode(),
+    "run.txt": b"x" * 20_000 + b" end " + b"y" * 9_000 + b"\tlast",
+    "late.txt": b"\r" * 6_000 + "é".encode() * 5_000 + b" the end\n" + b"z" * 4_095,
+    "broken.txt": (b"caf\xc3 \xe6\xbc bad\xff\xfe la casa de la \xc3\xa9l\r\n " * 500) + b"\xe6\xbc",
+    "blank.txt": b" " * 9_000, "edge.txt": b"a" * 4_095 + b" " + b"b" * 4_095 + b"\n", "above.txt": b"word " * 820,
+    "table.csv": b"p,q\n" + b"1,the\n" * 2_000, "rows.json": b"[" + b'{"a": 1}, ' * 1_000 + b'{"a": 2}]',
+    "module.py": b"import os\n\n" + b"x = 1\n" * 2_000, "sub/short.txt": b"the short one", "sub/none.bin": b"0" * 9_000,
+}
+
+
+def test_long_texts_are_profiled_in_pieces(spark, tmp_path, monkeypatch):
+    """Every file used to be one row, so a task held all words of a text of any size at once."""
+    root = str(tmp_path)
+    (tmp_path / "sub").mkdir()
+    for name, data in LONG_TEXTS.items():
+        (tmp_path / name).write_bytes(data)
+    found = lambda **options: {
+        r["path"][len(root) + 1:]: r.asDict(True) for r in sm.build_catalog(spark, root, **options).drop("accessed_at").collect()
+    }
+    whole = found()
+    assert set(whole) == set(LONG_TEXTS)
+    monkeypatch.setattr(files_module, "TEXT_BYTES", 4_096)
+    assert found() == whole and list(whole["plain.txt"]["keywords"])[:2] == ["zebra", "σας"]
+    kept = found(keep_profiles=True)
+    assert {n: r["profile_text"]["word_count"] for n, r in kept.items()} == {n: r["word_count"] for n, r in whole.items()}
+    prefix = found(max_chars=5_000, tabular=False)
+    assert prefix["plain.txt"]["char_count"] == 5_000
+
+    listed = sm.scan_files(spark, root)
+    pieces = files_module.text_pieces(listed).withColumn("task", F.spark_partition_id()).collect()
+    joined = {n: [] for n in LONG_TEXTS}
+    for r in sorted(pieces, key=lambda r: r["piece"]):
+        joined[r["path"][len(root) + 1:]].append(bytes(r["content"]))
+    assert {n: b"".join(parts) for n, parts in joined.items()} == LONG_TEXTS
+    assert len({r["task"] for r in pieces}) > 4
+    no_blanks = ("run.txt", "late.txt", "sub/none.bin")
+    assert max(len(p) for n, parts in joined.items() for p in parts if n not in no_blanks) < 4_096 + 50
+
+
+def test_long_texts_that_cannot_be_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files_module, "TEXT_BYTES", 4_096)
+    for name in ("gone.txt", "stays.txt"):
+        (tmp_path / name).write_bytes(b"the words and the rest\n" * 1_000)
+    catalog = sm.build_catalog(spark, str(tmp_path))
+    os.remove(tmp_path / "gone.txt")  # gone between listing and reading
+    got = {r["file"]["filename"]: r for r in catalog.collect()}
+    gone, stays = got["gone.txt"], got["stays.txt"]
+    assert gone["read_error"] == "could not be read" and gone["file"]["size_bytes"] == 23_000
+    assert [gone[n] for n in ("content_preview", "line_count", "word_count", "char_count", "language", "keywords")] == [None] * 6
+    assert (stays["read_error"], stays["word_count"], stays["line_count"], stays["language"]) == (None, 5_000, 1_001, "en")
+    assert stays["keywords"] == ["words", "rest"] and stays["content_preview"] == ("the words and the rest\n" * 50)[:1000]
+
+
+def test_long_texts_are_not_read_whole(spark, tmp_path, monkeypatch):
+    """Only files that another profile takes are rows with their whole content."""
+    from shelfmark.plans import catalog as plan
+
+    monkeypatch.setattr(files_module, "TEXT_BYTES", 4_096)
+    for name in ("long.txt", "long.csv", "long.py", "long.html"):
+        (tmp_path / name).write_bytes(b"a = 1, 2\n" * 1_000)
+    (tmp_path / "short.txt").write_bytes(b"short")
+    asked = []
+    read = plan.with_bytes
+    monkeypatch.setattr(plan, "with_bytes", lambda files, wanted: asked.append(files.where(wanted)) or read(files, wanted))
+    assert sm.build_catalog(spark, str(tmp_path)).where("read_error IS NULL AND word_count > 0").count() == 5
+    names = [sorted(r["filename"] for r in a.select("filename").collect()) for a in asked]
+    assert names == [["long.py", "short.txt"], ["long.csv"]]
